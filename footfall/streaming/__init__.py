@@ -1,0 +1 @@
+"""The measured workloads are daily batches: no stream, watermark or keyed state is needed."""
