@@ -335,7 +335,7 @@ _PLAIN: dict[str, str] = {
     "seed_filter": "select * from seeds",
     "negative_sample": """select id, text from (select doc_id as id, text, row_number() over
         (order by md5(cast(doc_id as varchar)), doc_id) as rn from documents where doc_id not in (select id from seeds))
-        where rn <= 10 * (select count(distinct id) from seeds)""",
+        where rn <= 10 * (select count(distinct id) from seeds where id in (select doc_id from labels where quality = 0))""",
     "word_counts": "select quality, word, count(*) as n from said group by all",
     "keyword_search": f"""select distinct doc_id as id, text from documents where {_any('text', vw.ANY_WORDS)}
         or {' + '.join(f"cast(contains(text, '{w}') as int)" for w in vw.PAIR_WORDS)} >= 2""",

@@ -26,6 +26,7 @@ from footfall.operators import (
     portrait,
     topics,
 )
+from footfall.plans import ad_effect
 from footfall.sources import readers, writers
 from footfall.sources.staging import stage, staging_path
 
@@ -46,9 +47,13 @@ def rounded(df: DataFrame, *cols: str, digits: int = 6) -> DataFrame:
 # --- advertised apps and cohorts
 
 
+def _totals(v: Views) -> DataFrame:
+    return exposure.ad_totals(v.ad_counts, vw.AD_DAYS)
+
+
 @query
 def exposure_summary(v: Views) -> DataFrame:
-    return exposure.exposure_summary(exposure.ads_on(v.ads, vw.SNAPSHOT), v.ad_counts, vw.AD_DAYS)
+    return exposure.exposure_summary(exposure.ads_on(v.ads, vw.SNAPSHOT), _totals(v))
 
 
 @query
@@ -58,8 +63,10 @@ def advertised_apps(v: Views) -> DataFrame:
 
 @query
 def exposed_people(v: Views) -> DataFrame:
-    ads = exposure.ads_on(v.ads, vw.SNAPSHOT)
-    return exposure.exposed_people(ads, v.exposures, advertised_apps(v), vw.AD_DAYS)
+    ads, totals = exposure.ads_on(v.ads, vw.SNAPSHOT), stage(_totals(v), "ad_totals")
+    apps = exposure.advertised_apps(exposure.exposure_summary(ads, totals), vw.MIN_EXPOSURE)
+    kept = stage(exposure.kept_ads(ads, apps), "kept_ads")
+    return exposure.exposed_people(kept, v.exposures, vw.AD_DAYS, totals)
 
 
 @query
@@ -267,7 +274,7 @@ def active_people(v: Views) -> DataFrame:
 
 @query
 def active_use(v: Views) -> DataFrame:
-    return activity.active_use(_active(v), v.all_use, vw.USE_DAYS)
+    return activity.active_use(stage(_active(v), "active_people"), v.all_use, vw.USE_DAYS)
 
 
 def _packages(v: Views) -> DataFrame:
@@ -425,7 +432,10 @@ def seed_filter(v: Views) -> DataFrame:
 
 @query
 def negative_sample(v: Views) -> DataFrame:
-    return keywords.negative_sample(v.ad_text, seed_filter(v))
+    """The verified positives are the matched texts labelled with quality 0."""
+    matched = stage(seed_filter(v).select("id"), "matched_ids")
+    verified = matched.join(v.table("labels").where(F.col("quality") == 0), F.col("id") == F.col("doc_id"), "left_semi")
+    return keywords.negative_sample(v.ad_text, matched, verified)
 
 
 @query
@@ -436,14 +446,15 @@ def word_counts(v: Views) -> DataFrame:
 @query
 def word_mi(v: Views) -> DataFrame:
     counts = keywords.class_word_counts(v.labelled_text, _words(), F.col("quality") == 0)
-    return rounded(keywords.word_mi(counts), "mi", digits=9)
+    return rounded(keywords.word_mi(stage(counts, "word_counts")), "mi", digits=9)
 
 
 @query
 def word_mi_from_lists(v: Views) -> DataFrame:
     negative = keywords.word_counts(v.labelled_text.where(F.col("quality") != 0), _words())
     positive = keywords.word_counts(v.labelled_text.where(F.col("quality") == 0), _words())
-    return rounded(keywords.word_mi(keywords.paired_counts(negative, positive)), "mi", digits=9)
+    counts = keywords.paired_counts(stage(negative, "negative_words"), stage(positive, "positive_words"))
+    return rounded(keywords.word_mi(counts), "mi", digits=9)
 
 
 @query
@@ -489,3 +500,12 @@ def segmented_lines(v: Views) -> DataFrame:
     writers.write_lines(v.ad_text.select(_words().alias("words")), F.concat_ws(" ", "words"), path)
     lines = readers.read_lines(v.spark, path)
     return keywords.word_counts(lines.withColumnRenamed("line", "text"), F.split("text", " "))
+
+
+def flagship(spark: SparkSession, folder: str, min_exposure: int = 1000) -> DataFrame:
+    """From ad exposures to the effect of every app by strata of gender and city level, end to end."""
+    v = Views(spark, folder)
+    tables = ad_effect.AdTables(v.ads, v.exposures, v.app_use, v.browsers, v.people, v.city_level)
+    settings = ad_effect.AdSettings(vw.SNAPSHOT, vw.SNAPSHOT, vw.AD_DAYS, vw.USE_DAYS, vw.CAMPAIGN, min_exposure)
+    people = ad_effect.analysis_people(tables, settings)
+    return ad_effect.effect_by_strata(tables, settings, people, ["base_gender", "city_level"])

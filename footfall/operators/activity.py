@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from footfall.functions.calendar import Weeks
-from footfall.operators.joins import salted_join
+from footfall.operators.joins import salted_join, split_hot_keys
 
 
 def weekly_use_time(people: DataFrame, use: DataFrame, weeks: Weeks, threshold: float) -> DataFrame:
@@ -37,7 +37,7 @@ def active_use(active: DataFrame, use: DataFrame, days: tuple[int, int]) -> Data
     """Use rows of active users in a half-open day range, with their city."""
     rows = use.where((F.col("dayno") >= days[0]) & (F.col("dayno") < days[1]))
     who = active.select("imei", "city").distinct()
-    return salted_join(rows, who, ["imei"], spread_by=["pack_name", "dayno"])
+    return split_hot_keys(rows, who, ["imei"])
 
 
 def package_day_totals(active: DataFrame, use: DataFrame, days: tuple[int, int]) -> DataFrame:

@@ -27,18 +27,24 @@ def inactive_exposed(exposed: DataFrame, use: DataFrame, days: tuple[int, int],
     return first_by_hash(idle, ["appname"], PAIR, quota).select(*PAIR)
 
 
+def cohort_sizes(exposed: DataFrame, active: DataFrame) -> DataFrame:
+    """Per app with active users: users seen, active ones, and the controls that match the exposed side."""
+    seen = exposed.select(*PAIR).distinct().groupBy("appname").agg(F.count("*").alias("n_seen"))
+    sizes = active.groupBy("appname").agg(F.count("*").alias("n_active")).join(seen, "appname")
+    idle = F.least("n_active", F.col("n_seen") - F.col("n_active"))
+    return sizes.withColumn("n_controls", F.col("n_active") + idle)
+
+
 def _ring_start(app: Column, size: Column) -> Column:
     return F.conv(F.substring(F.md5(app), 1, 8), 16, 10).cast("long") % size
 
 
-def unexposed_controls(
-    population: DataFrame, exposed: DataFrame, quota: DataFrame, block: int = BLOCK
-) -> DataFrame:
-    """Per app, up to ``quota`` users of the population that never saw its ads.
+def unexposed_controls(population: DataFrame, exposed: DataFrame, sizes: DataFrame, block: int = BLOCK) -> DataFrame:
+    """Per app, up to ``n_controls`` users of the population that never saw its ads.
 
     Users stand on a ring in md5 order and every app reads on from its own hashed start. Among the first
-    ``quota + exposed`` users there are ``quota`` unexposed ones, or the ring is used up, so each app meets
-    only that many users instead of the whole population.
+    ``n_controls + n_seen`` users there are ``n_controls`` unexposed ones, or the ring is used up, so each
+    app meets only that many users instead of the whole population.
     """
     users = population.select("imei").distinct().withColumn("_md5", md5_key("imei"))
     ring = numbered(
@@ -48,11 +54,10 @@ def unexposed_controls(
 
     seen = exposed.select(*PAIR).distinct()
     reach = (
-        quota.join(seen.groupBy("appname").agg(F.count("*").alias("n_seen")), "appname")
-        .withColumn("size", size)
+        sizes.withColumn("size", size)
         .where(F.col("size") > 0)
         .withColumn("start", _ring_start(F.col("appname"), F.col("size")))
-        .withColumn("reach", F.least(F.col("quota") + F.col("n_seen"), F.col("size")))
+        .withColumn("reach", F.least(F.col("n_controls") + F.col("n_seen"), F.col("size")))
         .where(F.col("reach") > 0)
     )
     stop = F.col("start") + F.col("reach")
@@ -74,15 +79,15 @@ def unexposed_controls(
     )
     free = met.join(seen, PAIR, "left_anti")
     steps = {"_steps": F.expr(f"step div {block}")}
+    quota = sizes.select("appname", F.col("n_controls").alias("quota"))
     return numbered(free, ["appname"], steps, [F.col("step")], "_rn", quota).select(*PAIR)
 
 
 def matched_cohort(exposed: DataFrame, use: DataFrame, population: DataFrame, days: tuple[int, int]) -> DataFrame:
     """Per app: exposed users with use, as many without, and as many unexposed users as both together."""
     active = active_exposed(exposed, use, days)
-    per_app = active.groupBy("appname").agg(F.count("*").alias("quota"))
-    idle = inactive_exposed(exposed, use, days, per_app)
-    treated = active.unionByName(idle)
-    quota = treated.groupBy("appname").agg(F.count("*").alias("quota"))
-    controls = unexposed_controls(population, exposed, quota)
+    sizes = cohort_sizes(exposed, active)
+    quota = sizes.select("appname", F.col("n_active").alias("quota"))
+    treated = active.unionByName(inactive_exposed(exposed, use, days, quota))
+    controls = unexposed_controls(population, exposed, sizes)
     return treated.withColumn("is_expose", F.lit(1)).unionByName(controls.withColumn("is_expose", F.lit(0)))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from footfall.operators.joins import salted_join
+from footfall.operators.joins import split_hot_keys
 
 BRAND = ["brand_name", "app_cat2_name"]
 
@@ -15,16 +15,18 @@ def ads_on(ads: DataFrame, day: int) -> DataFrame:
     return ads.where(F.col("dayno") == day)
 
 
-def exposure_summary(ads: DataFrame, exposures: DataFrame, days: tuple[int, int]) -> DataFrame:
-    """Total exposures and number of ads per (brand, category) over a closed day range.
+def ad_totals(exposures: DataFrame, days: tuple[int, int]) -> DataFrame:
+    """Exposures and rows per ad over a closed day range: a very popular ad becomes one row."""
+    seen = exposures.where(F.col("dayno").between(*days))
+    return seen.groupBy("ad_id").agg(F.sum("expose_cnt").alias("expose_cnt"), F.count("*").alias("n_rows"))
 
-    Exposures are summed per ad first, so a very popular ad reaches the join as one row.
-    """
-    per_ad = exposures.where(F.col("dayno").between(*days)).groupBy("ad_id").agg(F.sum("expose_cnt").alias("n"))
+
+def exposure_summary(ads: DataFrame, totals: DataFrame) -> DataFrame:
+    """Total exposures and number of ads per (brand, category)."""
     return (
-        per_ad.join(ads.select("ad_id", *BRAND), "ad_id")
+        totals.join(ads.select("ad_id", *BRAND), "ad_id")
         .groupBy(*BRAND)
-        .agg(F.sum("n").alias("expose_cnt"), F.count_distinct("ad_id").alias("adnum"))
+        .agg(F.sum("expose_cnt").alias("expose_cnt"), F.count_distinct("ad_id").alias("adnum"))
     )
 
 
@@ -33,8 +35,14 @@ def advertised_apps(summary: DataFrame, min_exposure: int = 10000) -> DataFrame:
     return summary.where(F.col("expose_cnt") >= min_exposure).select(*BRAND)
 
 
-def exposed_people(ads: DataFrame, exposures: DataFrame, apps: DataFrame, days: tuple[int, int]) -> DataFrame:
-    """Distinct (user, app) pairs that saw an ad of one of the kept apps."""
-    kept = ads.join(apps, BRAND, "left_semi").select("ad_id", F.col("brand_name").alias("appname")).distinct()
-    seen = exposures.where(F.col("dayno").between(*days)).select("imei", "ad_id").distinct()
-    return salted_join(seen, kept, ["ad_id"], spread_by=["imei"]).select("imei", "appname").distinct()
+def kept_ads(ads: DataFrame, apps: DataFrame) -> DataFrame:
+    """Ads of the kept apps, with the app they advertise."""
+    return ads.join(apps, BRAND, "left_semi").select("ad_id", F.col("brand_name").alias("appname")).distinct()
+
+
+def exposed_people(
+    kept: DataFrame, exposures: DataFrame, days: tuple[int, int], totals: DataFrame | None = None
+) -> DataFrame:
+    """Distinct (user, app) pairs that saw an ad of one of the kept apps; ``totals`` tell which ads are hot."""
+    seen = exposures.where(F.col("dayno").between(*days)).select("imei", "ad_id")
+    return split_hot_keys(seen, kept, ["ad_id"], counts=totals).select("imei", "appname").distinct()

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from footfall.functions.calendar import Campaign, Period, in_campaign, period_of, snapshot_period
 from footfall.functions.numeric import flag, zero_if_null
-from footfall.operators.joins import salted_join
+from footfall.operators.joins import salted_join, split_hot_keys
 
 PAIR = ["imei", "appname"]
 KEY = [*PAIR, "time"]
@@ -24,6 +24,11 @@ def _timed(facts: DataFrame, campaign: Campaign, *cols: str) -> DataFrame:
     )
 
 
+def of_apps(facts: DataFrame, apps: DataFrame) -> DataFrame:
+    """Facts of the studied apps only: with a written, short app list this is decided inside the scan's task."""
+    return salted_join(facts, apps.select("appname").distinct(), ["appname"], spread_by=["imei"], how="left_semi")
+
+
 def install_pairs(installs: DataFrame, campaign: Campaign) -> DataFrame:
     fresh = installs.where(F.col("is_upgrade_install") == 0)
     return _timed(fresh, campaign, *PAIR).distinct()
@@ -53,7 +58,7 @@ def search_totals(cohort: DataFrame, queries: DataFrame, campaign: Campaign, *,
     query, app = F.col("query"), F.col("appname")
     named: Column = F.rlike(query, app) if regex else F.contains(query, app)
     pairs = cohort.select(*PAIR).distinct()
-    hits = salted_join(asked, pairs, ["imei"], spread_by=["query"]).where(named)
+    hits = split_hot_keys(asked, pairs, ["imei"]).where(named)
     return hits.groupBy(*KEY).agg(F.sum("n").alias("searchnum"))
 
 

@@ -25,10 +25,10 @@ def user_sample(active: DataFrame, n: int = 10000) -> DataFrame:
 
 
 def _category_rows(sample: DataFrame, use: DataFrame, categories: DataFrame) -> DataFrame:
-    per_package = use.groupBy("imei", "dayno", "pack_name").agg(F.sum("duration").alias("duration"))
-    mine = per_package.join(sample.select("imei", "city"), "imei")
+    mine = salted_join(use, sample.select("imei", "city"), ["imei"], spread_by=["dayno", "pack_name"])
+    per_package = mine.groupBy(*USER_DAY, "pack_name").agg(F.sum("duration").alias("duration"))
     lookup = categories.select("pack_name", "newcat").distinct()
-    return salted_join(mine, lookup, ["pack_name"], spread_by=["imei", "dayno"])
+    return salted_join(per_package, lookup, ["pack_name"], spread_by=["imei", "dayno"])
 
 
 def category_time_by_day(sample: DataFrame, use: DataFrame, categories: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 N_SALTS = 8
+ROWS_PER_TASK = 2_000_000
 
 
 def salted_join(
@@ -16,13 +17,38 @@ def salted_join(
     how: str = "inner",
     n_salts: int = N_SALTS,
 ) -> DataFrame:
-    """Join row-level ``facts`` to a narrow ``lookup``, each fact key spread over ``n_salts`` tasks.
+    """Join folded facts to a short lookup, each fact key spread over ``n_salts`` tasks.
 
-    The lookup is repeated once per salt, so it should be the side with few rows per key. No broadcast
-    is forced: Spark broadcasts the lookup when its size is under ``autoBroadcastJoinThreshold`` and
-    shuffles by (key, salt) otherwise. ``how`` is any type that keeps the fact side.
+    The lookup is repeated once per salt, so this is for dimension-sized lookups. No broadcast is forced:
+    Spark broadcasts the lookup when its size is under ``autoBroadcastJoinThreshold`` and shuffles by
+    (key, salt) otherwise. ``how`` is any type that keeps the fact side.
     """
     salt = F.pmod(F.xxhash64(*spread_by), F.lit(n_salts)).cast("int")
     left = facts.withColumn("_salt", salt)
     right = lookup.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(n_salts - 1))))
     return left.join(right, [*on, "_salt"], how).drop("_salt")
+
+
+def split_hot_keys(
+    facts: DataFrame,
+    lookup: DataFrame,
+    on: list[str],
+    how: str = "inner",
+    rows_per_task: int = ROWS_PER_TASK,
+    counts: DataFrame | None = None,
+) -> DataFrame:
+    """Join raw facts of any skew to a long lookup: only keys above ``rows_per_task`` are split.
+
+    Rows per key come from ``counts`` (the key and ``n_rows``) or from a first pass over the key column. A
+    key with n rows gets n / rows_per_task parts, its facts are dealt to them by the hash of the whole row,
+    and only its lookup rows are repeated. The list of hot keys is broadcast: it cannot be longer than
+    rows / rows_per_task.
+    """
+    if counts is None:
+        counts = facts.groupBy(*on).agg(F.count("*").alias("n_rows"))
+    parts = F.ceil(F.col("n_rows") / rows_per_task).cast("int").alias("_parts")
+    hot = F.broadcast(counts.where(F.col("n_rows") > rows_per_task).select(*on, parts))
+    n_parts = F.coalesce("_parts", F.lit(1))
+    left = facts.join(hot, on, "left").withColumn("_salt", F.pmod(F.xxhash64(*facts.columns), n_parts).cast("int"))
+    right = lookup.join(hot, on, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), n_parts - 1)))
+    return left.drop("_parts").join(right.drop("_parts"), [*on, "_salt"], how).drop("_salt")

@@ -24,11 +24,13 @@ def seed_filter(ads: DataFrame, words: tuple[str, ...] | list[str] = SEED_WORDS)
     return ads.where(tx.contains_any(F.col("text"), words)).distinct()
 
 
-def negative_sample(ads: DataFrame, positives: DataFrame, ratio: int = NEGATIVE_RATIO) -> DataFrame:
-    """``ratio`` times as many ads as ``positives``, drawn by id among the others; texts are not shuffled to draw."""
-    chosen = positives.select("id").distinct()
-    others = ads.select("id").distinct().join(chosen, "id", "left_anti")
-    quota = chosen.agg((F.count("*") * ratio).alias("quota"))
+def negative_sample(ads: DataFrame, matched: DataFrame, verified: DataFrame, ratio: int = NEGATIVE_RATIO) -> DataFrame:
+    """``ratio`` negative ads per verified positive one, drawn by id from the ads the seed words did not match.
+
+    Only ids are shuffled to draw; texts join once the ids are known.
+    """
+    others = ads.select("id").distinct().join(matched.select("id"), "id", "left_anti")
+    quota = verified.select("id").distinct().agg((F.count("*") * ratio).alias("quota"))
     sample = first_by_hash(others, [], ["id"], quota).select("id")
     return ads.join(sample, "id", "left_semi")
 

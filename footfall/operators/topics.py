@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
+from multiprocessing.pool import ThreadPool
 
+from pyspark import StorageLevel, inheritable_thread_target
 from pyspark.ml.clustering import LDA, LDAModel
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.stat import Summarizer
@@ -29,17 +32,38 @@ def training_rows(scaled: DataFrame, names: list[str], n_partitions: int) -> Dat
     return stage(ordered, "training_rows")
 
 
-def fit_topics(rows: DataFrame, k: int, max_iter: int = MAX_ITER, seed: int = SEED) -> LDAModel:
+@contextmanager
+def _cached(rows: DataFrame) -> Iterator[DataFrame]:
+    """Keep the written rows in memory while fits read them; a lost executor reads its part again."""
+    rows.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        yield rows
+    finally:
+        rows.unpersist()
+
+
+def _fit(rows: DataFrame, k: int, max_iter: int, seed: int = SEED) -> LDAModel:
     return LDA(k=k, seed=seed, maxIter=max_iter, optimizer="online").fit(rows)
 
 
-def sweep(rows: DataFrame, ks: Iterable[int] = SWEEP, max_iter: int = MAX_ITER) -> DataFrame:
-    """Log likelihood and log perplexity for each number of topics."""
-    weight = float(rows.agg(Summarizer.sum(F.col("features"))).first()[0].toArray().sum())
-    fits = []
-    for k in ks:
-        likelihood = fit_topics(rows, k, max_iter).logLikelihood(rows)
-        fits.append((k, -likelihood / weight, likelihood))
+def fit_topics(rows: DataFrame, k: int, max_iter: int = MAX_ITER, seed: int = SEED) -> LDAModel:
+    with _cached(rows):
+        return _fit(rows, k, max_iter, seed)
+
+
+def sweep(
+    rows: DataFrame, ks: Iterable[int] = SWEEP, max_iter: int = MAX_ITER, parallelism: int = 4
+) -> DataFrame:
+    """Log likelihood and log perplexity for each number of topics; several fits run side by side."""
+
+    def likelihood(k: int) -> float:
+        return _fit(rows, k, max_iter).logLikelihood(rows)
+
+    ks = list(ks)
+    with _cached(rows), ThreadPool(parallelism) as pool:
+        weight = float(rows.agg(Summarizer.sum(F.col("features"))).first()[0].toArray().sum())
+        found = pool.map(inheritable_thread_target(rows.sparkSession)(likelihood), ks)
+    fits = [(k, -value / weight, value) for k, value in zip(ks, found, strict=True)]
     return rows.sparkSession.createDataFrame(fits, "k int, log_perplexity double, log_likelihood double")
 
 

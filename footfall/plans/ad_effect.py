@@ -4,9 +4,8 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 
-from footfall.catalogue.views import AD_DAYS, CAMPAIGN, SNAPSHOT, USE_DAYS, Views
 from footfall.functions.calendar import Campaign
 from footfall.operators import categories, cohort, did, exposure, facts, ols, panel, portrait
 from footfall.sources.staging import stage
@@ -49,17 +48,22 @@ STUDY = AdSettings(
 def analysis_people(t: AdTables, s: AdSettings) -> DataFrame:
     """The matched cohort, written once because every later step reads it."""
     ads = exposure.ads_on(t.ads, s.snapshot)
-    summary = exposure.exposure_summary(ads, t.exposures, s.ad_days)
-    apps = exposure.advertised_apps(summary, s.min_exposure)
-    exposed = stage(exposure.exposed_people(ads, t.exposures, apps, s.ad_days), "exposed_people")
-    return stage(cohort.matched_cohort(exposed, t.use, t.population, s.use_days), "analysis_people")
+    totals = stage(exposure.ad_totals(t.exposures, s.ad_days), "ad_totals")
+    apps = exposure.advertised_apps(exposure.exposure_summary(ads, totals), s.min_exposure)
+    kept = stage(exposure.kept_ads(ads, apps), "kept_ads")
+    exposed = stage(exposure.exposed_people(kept, t.exposures, s.ad_days, totals), "exposed_people")
+    use = facts.of_apps(t.use, kept)
+    return stage(cohort.matched_cohort(exposed, use, t.population, s.use_days), "analysis_people")
 
 
-def effect_by_strata(
-    t: AdTables, s: AdSettings, people: DataFrame, keys: list[str] | None = None
-) -> DataFrame:
+def studied_apps(people: DataFrame) -> DataFrame:
+    """The apps of the cohort as a small written table, by which facts are filtered before any shuffle."""
+    return stage(people.select("appname").distinct(), "studied_apps")
+
+
+def effect_by_strata(t: AdTables, s: AdSettings, people: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """Adjusted rates of use and double differences of every app in one job."""
-    used = facts.use_by_period(people, t.use, s.campaign)
+    used = facts.use_by_period(people, facts.of_apps(t.use, studied_apps(people)), s.campaign)
     who = portrait.people_portrait(t.people, t.city_level, s.people_snapshot)
     return did.did_by_app(did.strata(used, who, keys or portrait.ATTRIBUTES, s.campaign), s.campaign)
 
@@ -76,15 +80,9 @@ def effect_by_regression(
 ) -> DataFrame:
     """Regression of use during and after the campaign on exposure, prior behaviour and portrait, per app."""
     who = portrait.people_portrait(t.people, t.city_level, s.people_snapshot)
-    wide = panel.conversion_panel(people, t.use, installs, searches, clicks, s.campaign)
-    spent = categories.category_time(people, facts.use_by_period(people, t.use, s.campaign), groups)
+    apps = studied_apps(people)
+    use, installs, clicks = (facts.of_apps(f, apps) for f in (t.use, installs, clicks))
+    wide = panel.conversion_panel(people, use, installs, searches, clicks, s.campaign)
+    spent = categories.category_time(people, facts.use_by_period(people, use, s.campaign), groups)
     data = panel.regression_data(wide, portrait.portrait_indicators(people, who), spent)
     return ols.ols_by_group(panel.regression_features(data), "appname", panel.PREDICTORS, panel.RESPONSES)
-
-
-def flagship(spark: SparkSession, folder: str, min_exposure: int = 1000) -> DataFrame:
-    """Effect by strata of gender and city level on the test tables."""
-    v = Views(spark, folder)
-    tables = AdTables(v.ads, v.exposures, v.app_use, v.browsers, v.people, v.city_level)
-    settings = AdSettings(SNAPSHOT, SNAPSHOT, AD_DAYS, USE_DAYS, CAMPAIGN, min_exposure)
-    return effect_by_strata(tables, settings, analysis_people(tables, settings), ["base_gender", "city_level"])
