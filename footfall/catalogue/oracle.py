@@ -154,6 +154,10 @@ VIEWS: dict[str, str] = {
     + " from panel p join onehot o on p.imei = o.imei join category_time g on p.imei = g.imei",
     "strata_users": """select u.appname, u.is_expose, u.imei, u.time, a.base_gender, a.base_age, a.city_level, a.on_price
         from use_facts u join portrait a on u.imei = a.imei""",
+    "cohort_users": """select c.appname, c.is_expose, c.imei, a.base_gender, a.base_age, a.city_level, a.on_price
+        from cohort c join portrait a on c.imei = a.imei""",
+    "numbers": """select city, imei, row_number() over (order by md5(city || '|' || cast(imei as varchar))) as imei_number
+        from (select distinct city, imei from active)""",
     "week_time": f"""select city, u.imei, w.week, sum(duration) as sumtime from all_use u
         join portrait p on u.imei = p.imei join weeks w on u.dayno between w.lo and w.hi
         group by all having sum(duration) > {vw.WEEKLY_TIME}""",
@@ -211,11 +215,11 @@ def _cell(n: str, row: str, col: str) -> str:
     return f"case when {n} = 0 then 0 else {n} / (l + r) * log2((l + r) * {n} / (({row}) * {col})) end"
 
 
-def _did(keys: list[str], *, rates: bool = True) -> str:
+def _did(keys: list[str], *, rates: bool = True, n_from: str = "strata_users") -> str:
     """Rates per app and arm, written as the weighted mean over shared strata."""
     k = ", ".join(keys)
     same = " and ".join(f"a.{c} = b.{c}" for c in ["appname", *keys])
-    arms = f"""with n as (select appname, {k}, is_expose, count(distinct imei) as n from strata_users group by all),
+    arms = f"""with n as (select appname, {k}, is_expose, count(distinct imei) as n from {n_from} group by all),
     m as (select appname, {k}, is_expose, time, count(distinct imei) as m from strata_users group by all),
     shared as (select a.appname, {', '.join('a.' + c for c in keys)}, a.n as n1, b.n as n0 from n a join n b on {same}
         where a.is_expose = 1 and b.is_expose = 0),
@@ -240,9 +244,9 @@ def _did(keys: list[str], *, rates: bool = True) -> str:
         {names}, {dids} from (select {counts}, {cells} {base})"""
 
 
-def _did_with(keys: list[str], *, rates: bool = True) -> str:
+def _did_with(keys: list[str], *, rates: bool = True, n_from: str = "strata_users") -> str:
     """Both WITH lists in one."""
-    head, body = _with("select 1 from strata_users").rsplit("\n", 1)[0], _did(keys, rates=rates)
+    head, body = _with(f"select 1 from strata_users, {n_from}").rsplit("\n", 1)[0], _did(keys, rates=rates, n_from=n_from)
     return head + ",\n" + body.removeprefix("with ")
 
 
@@ -302,6 +306,10 @@ _PLAIN: dict[str, str] = {
         for name, fn in (("slope", "regr_slope"), ("intercept", "regr_intercept"), ("r2", "regr_r2"))
     )
     + f" from ({FEATURES}) group by appname",
+    "ols_normal_equations": "select appname, count(*) as n, 0.0 as gap_r1, 0.0 as gap_r2 from regression group by appname",
+    "user_numbers": "select * from numbers",
+    "user_day_keys": """select distinct n.city, n.imei, cast(imei_number as varchar) || '-' || cast(dayno as varchar) as daynum,
+        imei_number, dayno from active_rows a join numbers n on a.city = n.city and a.imei = n.imei""",
     "weekly_use_time": _rounded("week_time", ["sumtime"], ["city", "imei", "week"]),
     "active_people": "select city, imei, imeinums from active",
     "active_use": "select * from active_rows",
@@ -363,6 +371,10 @@ ORACLE["cohort_matched"] = ORACLE["cohort_matched_browsers"].replace(VIEWS["popu
 ORACLE["strata_counts"] = _did_with(["base_gender", "city_level"], rates=False)
 ORACLE["did_by_app"] = _did_with(["base_gender", "city_level"])
 ORACLE["did_by_app_4key"] = _did_with(["base_age", "base_gender", "city_level", "on_price"])
+ORACLE["did_by_app_whole_cohort"] = _did_with(["base_gender", "city_level"], n_from="cohort_users")
+ORACLE["word_counts_without_stop_words"] = _with(
+    "select word, count(*) as n from said where length(word) > 2 group by word"
+).replace(VIEWS["texts"], "select doc_id as id, text, 0 as quality from documents")
 ORACLE["segmented_lines"] = _with("select word, count(*) as n from said group by word").replace(
     VIEWS["texts"], "select doc_id as id, text, 0 as quality from documents"
 )

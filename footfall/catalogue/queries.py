@@ -228,6 +228,15 @@ def ols_by_app(v: Views) -> DataFrame:
     return ols.ols_by_group(_regression_features(v), "appname", panel.PREDICTORS, panel.RESPONSES)
 
 
+@query
+def ols_normal_equations(v: Views) -> DataFrame:
+    """Every predictor is orthogonal to the residuals of the fits, aliased ones included."""
+    data = stage(_regression_features(v), "regression_features")
+    fits = ols.ols_by_group(data, "appname", panel.PREDICTORS, panel.RESPONSES)
+    gaps = ols.normal_equations(data, fits, "appname", panel.PREDICTORS, panel.RESPONSES)
+    return rounded(gaps, "gap_r1", "gap_r2")
+
+
 # --- strata and difference-in-differences
 
 
@@ -255,6 +264,15 @@ def did_by_app_4key(v: Views) -> DataFrame:
     return _did(v, portrait.ATTRIBUTES)
 
 
+@query
+def did_by_app_whole_cohort(v: Views) -> DataFrame:
+    """Rates over all cohort users of a stratum instead of those with use."""
+    people = _people(v)
+    cells = did.strata(_use(v, people), portrait_buckets(v), ["base_gender", "city_level"], vw.CAMPAIGN, people)
+    out = did.did_by_app(cells, vw.CAMPAIGN)
+    return rounded(out, *(c for c in out.columns if c.startswith(("before", "now", "after", "did"))))
+
+
 # --- steady users, their use and places
 
 
@@ -315,6 +333,20 @@ def user_sample(v: Views) -> DataFrame:
     return features.user_sample(_active(v), 5)
 
 
+@query
+def user_numbers(v: Views) -> DataFrame:
+    return features.user_numbers(_active(v))
+
+
+@query
+def user_day_keys(v: Views) -> DataFrame:
+    """Days of active users, keyed by number and day and read back from the key."""
+    active = stage(_active(v), "active_people")
+    days = activity.active_use(active, v.all_use, vw.USE_DAYS).select("city", "imei", "dayno").distinct()
+    keyed = features.with_day_key(days, features.user_numbers(active)).select("city", "imei", "daynum")
+    return features.from_day_key(keyed)
+
+
 def _sample(v: Views) -> DataFrame:
     return stage(features.user_sample(_active(v)), "user_sample")
 
@@ -443,6 +475,17 @@ def word_counts(v: Views) -> DataFrame:
     return keywords.word_counts(v.labelled_text, _words(), ["quality"])
 
 
+@query
+def word_counts_without_stop_words(v: Views) -> DataFrame:
+    """Words of one or two letters as a stop word list in a Chinese encoding."""
+    path = staging_path(v.spark, "stop_words")
+    counts = stage(keywords.word_counts(v.ad_text, _words()), "word_counts")
+    readers.allow_encoding(v.spark, "GB18030")
+    short = counts.where(F.length("word") <= 2).select("word")
+    writers.write_csv(short, path, header=False, encoding="GB18030")
+    return keywords.without_stop_words(counts, readers.read_lines(v.spark, path, encoding="GB18030"))
+
+
 @query
 def word_mi(v: Views) -> DataFrame:
     counts = keywords.class_word_counts(v.labelled_text, _words(), F.col("quality") == 0)

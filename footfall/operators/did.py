@@ -8,17 +8,21 @@ from pyspark.sql import functions as F
 from footfall.functions.calendar import Campaign
 
 ARMS = (1, 0)
+WHO = ["imei", "appname", "is_expose"]
 
 
-def strata(use_facts: DataFrame, portrait: DataFrame, keys: list[str], campaign: Campaign) -> DataFrame:
+def strata(
+    use_facts: DataFrame, portrait: DataFrame, keys: list[str], campaign: Campaign, cohort: DataFrame | None = None
+) -> DataFrame:
     """Users per app, stratum and arm: with any use (``n1``, ``n0``) and with use in a period (``m1_now``, ...).
 
-    Use is folded to one row per (user, app, arm) first, so plain counts are counts of distinct users.
+    Use is folded to one row per (user, app, arm) first, so plain counts are counts of distinct users. With a
+    ``cohort``, ``n1`` and ``n0`` count all of its users and not only those with use.
     """
     periods = campaign.labels
-    users = use_facts.groupBy("imei", "appname", "is_expose").agg(
-        *(F.max((F.col("time") == t).cast("int")).alias(t) for t in periods)
-    )
+    users = use_facts.groupBy(*WHO).agg(*(F.max((F.col("time") == t).cast("int")).alias(t) for t in periods))
+    if cohort is not None:
+        users = cohort.select(*WHO).join(users, WHO, "left").fillna(0, list(periods))
     people = portrait.select("imei", *keys).distinct()
 
     def arm(e: int, x: Column) -> Column:

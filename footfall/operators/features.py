@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from footfall.functions.numeric import log_ratio, zero_if_null
 from footfall.operators.joins import salted_join
-from footfall.operators.ranking import first_by_hash
+from footfall.operators.ranking import PREFIX, first_by_hash, md5_key, numbered
 
 USER_DAY = ["city", "imei", "dayno"]
 
@@ -24,6 +24,25 @@ def user_sample(active: DataFrame, n: int = 10000) -> DataFrame:
     return first_by_hash(active.select("city", "imei").distinct(), ["city"], ["imei"], n).select("city", "imei")
 
 
+def user_numbers(users: DataFrame) -> DataFrame:
+    """Short numbers from 1 for the users of all cities together, the same in every run."""
+    hashed = users.select("city", "imei").distinct().withColumn("_md5", md5_key("city", "imei"))
+    buckets = {"_bucket": F.substring("_md5", 1, PREFIX + 1)}
+    return numbered(hashed, [], buckets, [F.col("_md5"), F.col("city"), F.col("imei")], "imei_number").drop("_md5")
+
+
+def with_day_key(user_days: DataFrame, numbers: DataFrame) -> DataFrame:
+    """User-days keyed by ``number-day``."""
+    key = F.concat_ws("-", F.col("imei_number"), F.col("dayno"))
+    return user_days.join(numbers, ["city", "imei"]).withColumn("daynum", key)
+
+
+def from_day_key(df: DataFrame) -> DataFrame:
+    """Number and day read back from the key."""
+    parts = {name: F.split_part("daynum", F.lit("-"), F.lit(i)) for i, name in ((1, "imei_number"), (2, "dayno"))}
+    return df.withColumns({"imei_number": parts["imei_number"].cast("long"), "dayno": parts["dayno"].cast("int")})
+
+
 def _category_rows(sample: DataFrame, use: DataFrame, categories: DataFrame) -> DataFrame:
     mine = salted_join(use, sample.select("imei", "city"), ["imei"], spread_by=["dayno", "pack_name"])
     per_package = mine.groupBy(*USER_DAY, "pack_name").agg(F.sum("duration").alias("duration"))

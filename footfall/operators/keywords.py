@@ -42,6 +42,11 @@ def word_counts(texts: DataFrame, words: Column, by: list[str] | None = None) ->
     return said.groupBy(*keys, "word").agg(F.count("*").alias("n"))
 
 
+def without_stop_words(counts: DataFrame, stop_words: DataFrame) -> DataFrame:
+    """Counts of the words that are on no line of a stop word list; done after counting, when rows are few."""
+    return counts.join(stop_words.select(F.col("line").alias("word")), "word", "left_anti")
+
+
 def paired_counts(negative: DataFrame, positive: DataFrame) -> DataFrame:
     """Two word lists side by side; a word missing from one of them counts 0 there."""
     left = negative.select("word", F.col("n").alias("l1"))

@@ -6,9 +6,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from footfall.operators.joins import salted_join
+
 TOLERANCE = 1e-9
 FLUSH_GROUPS = 1024  # partial matrices a task holds before it hands them on
 
@@ -120,3 +122,25 @@ def simple_ols_by_group(data: DataFrame, group: str, predictor: str, responses:
         for name, fn in (("slope", F.regr_slope), ("intercept", F.regr_intercept), ("r2", F.regr_r2))
     ]
     return data.groupBy(group).agg(F.count("*").alias("n"), *fits)
+
+
+def normal_equations(data: DataFrame, fits: DataFrame, group: str, predictors: list[str], responses: list[str]) -> DataFrame:
+    """Largest product of a predictor with the residuals, per group and response: 0 for a least squares fit."""
+    terms = ["intercept", *predictors]
+    pos = F.array_position(F.array(*map(F.lit, terms)), F.col("term"))
+    by_term = F.sort_array(F.collect_list(F.struct(pos.alias("pos"), "c1", "c2")))
+    coefficients = fits.groupBy(group).agg(by_term.alias("b"))
+    x = F.array(F.lit(1.0), *(F.col(p).cast("double") for p in predictors))
+
+    def residual(y: str, c: str) -> Column:
+        products = F.zip_with("x", "b", lambda value, b: value * F.coalesce(b[c], F.lit(0.0)))
+        return F.col(y) - F.aggregate(products, F.lit(0.0), lambda total, p: total + p)
+
+    names = [f"r{i + 1}" for i in range(len(responses))]
+    residuals = [residual(y, f"c{i + 1}").alias(r) for i, (r, y) in enumerate(zip(names, responses, strict=True))]
+    rows = salted_join(data.withColumn("x", x), coefficients, [group], spread_by=["imei"])
+    products = rows.select(group, "x", *residuals).select(group, *names, F.posexplode("x").alias("pos", "value"))
+    sums = products.groupBy(group, "pos").agg(
+        F.count("*").alias("n"), *(F.abs(F.sum(F.col("value") * F.col(r))).alias(f"gap_{r}") for r in names)
+    )
+    return sums.groupBy(group).agg(F.max("n").alias("n"), *(F.max(f"gap_{r}").alias(f"gap_{r}") for r in names))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from contextlib import contextmanager
 from multiprocessing.pool import ThreadPool
 
@@ -52,12 +52,22 @@ def fit_topics(rows: DataFrame, k: int, max_iter: int = MAX_ITER, seed: int = SE
 
 
 def sweep(
-    rows: DataFrame, ks: Iterable[int] = SWEEP, max_iter: int = MAX_ITER, parallelism: int = 4
+    rows: DataFrame,
+    ks: Iterable[int] = SWEEP,
+    max_iter: int = MAX_ITER,
+    parallelism: int = 4,
+    keep: Callable[[int, LDAModel], None] | None = None,
 ) -> DataFrame:
-    """Log likelihood and log perplexity for each number of topics; several fits run side by side."""
+    """Log likelihood and log perplexity for each number of topics; several fits run side by side.
+
+    ``keep`` is handed every fitted model, to write what should stay of it.
+    """
 
     def likelihood(k: int) -> float:
-        return _fit(rows, k, max_iter).logLikelihood(rows)
+        model = _fit(rows, k, max_iter)
+        if keep:
+            keep(k, model)
+        return model.logLikelihood(rows)
 
     ks = list(ks)
     with _cached(rows), ThreadPool(parallelism) as pool:

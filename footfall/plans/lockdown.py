@@ -4,11 +4,14 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+from pyspark.ml.clustering import LDAModel
 from pyspark.sql import DataFrame
 
 from footfall.functions.calendar import ACTIVITY_WEEKS, PLACE_WEEKS, Weeks
 from footfall.operators import activity, features, kmodes, places, portrait, topics
+from footfall.operators.topics import MAX_ITER
 from footfall.sources.staging import stage
+from footfall.sources.writers import write_csv, write_table
 
 
 @dataclass(frozen=True)
@@ -33,10 +36,11 @@ class CitySettings:
     place_weeks: Weeks = PLACE_WEEKS
     weekly_time: float = 25200.0
     sample: int = 10000
+    sweep: range = topics.SWEEP
     topics: int = 20
     clusters: int = 30
     partitions: int = 200
-    max_iter: int = topics.MAX_ITER
+    max_iter: int = MAX_ITER
 
 
 def steady_users(t: CityTables, s: CitySettings) -> tuple[DataFrame, DataFrame]:
@@ -64,6 +68,18 @@ def day_features(t: CityTables, s: CitySettings, active: DataFrame, names: list[
     return topics.training_rows(features.scaled_by_mean(wide, names), names, s.partitions)
 
 
+def topic_sweep(rows: DataFrame, s: CitySettings, names: list[str], folder: str) -> DataFrame:
+    """Fit every number of topics; write terms, user-day mixes and daily shares of each, and return the scores."""
+
+    def keep(k: int, model: LDAModel) -> None:
+        mix = topics.topic_mix(model, rows)
+        write_table(topics.topic_terms(model, names), f"{folder}/terms/k={k}")
+        write_table(mix, f"{folder}/mix/k={k}")
+        write_csv(topics.topic_share(mix, ["city", "dayno"], k), f"{folder}/share/k={k}")
+
+    return topics.sweep(rows, s.sweep, s.max_iter, keep=keep)
+
+
 def user_clusters(rows: DataFrame, s: CitySettings, days: list[int]) -> kmodes.KModes:
     """Topics of every user-day, the heaviest one per day, and clusters of users by their days."""
     model = topics.fit_topics(rows, s.topics, s.max_iter)
