@@ -151,22 +151,21 @@ def search_by_period_regex(v: Views) -> DataFrame:
 
 @query
 def use_panel(v: Views) -> DataFrame:
-    people = _people(v)
-    return rounded(facts.period_panel(people, _use(v, people), F.col("duration"), vw.CAMPAIGN), "sum_data")
+    folded = facts.use_folded(v.app_use, vw.CAMPAIGN)
+    return rounded(facts.period_panel(_cohort(v, v.browsers), folded, vw.CAMPAIGN), "sum_data")
 
 
 @query
 def install_panel(v: Views) -> DataFrame:
-    people = _people(v)
-    installs = facts.installs_by_period(people, v.installs, vw.CAMPAIGN)
-    return facts.period_panel(people, installs, F.lit(1), vw.CAMPAIGN)
+    folded = facts.installs_folded(v.installs, vw.CAMPAIGN)
+    return facts.period_panel(_cohort(v, v.browsers), folded, vw.CAMPAIGN)
 
 
 @query
 def search_panel(v: Views) -> DataFrame:
     people = _people(v)
-    found = facts.search_by_period(people, v.searches, vw.CAMPAIGN)
-    return facts.period_panel(people, found, F.col("searchnum"), vw.CAMPAIGN)
+    folded = facts.searches_folded(people, v.searches, vw.CAMPAIGN)
+    return facts.period_panel(people, folded, vw.CAMPAIGN)
 
 
 # --- category groups, panel and regression
@@ -197,8 +196,9 @@ def conversion_panel(v: Views) -> DataFrame:
 
 def _regression_data(v: Views) -> DataFrame:
     people = _people(v)
-    wide = portrait.portrait_indicators(people, portrait_buckets(v))
-    return panel.regression_data(_panel(v, people), wide, _category_time(v, people))
+    conversions = stage(_panel(v, people), "conversion_panel")
+    spent = categories.category_time(people, panel.total_use(conversions, vw.CAMPAIGN), v.app_group)
+    return panel.regression_data(conversions, portrait.portrait_indicators(people, portrait_buckets(v)), spent)
 
 
 @query

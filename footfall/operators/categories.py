@@ -30,7 +30,10 @@ def app_groups(ads: DataFrame, app_cat: DataFrame, game_cat: DataFrame, day: int
 
 
 def category_time(cohort: DataFrame, use_facts: DataFrame, groups: DataFrame) -> DataFrame:
-    """Use time of every cohort user in each group, zero-filled: one row per user."""
+    """Use time of every cohort user in each group, zero-filled: one row per user.
+
+    ``use_facts`` is the use of cohort pairs, by period or in total.
+    """
     app_group = groups.select("appname", "hl").distinct()
     timed = salted_join(use_facts.select("imei", "appname", "duration"), app_group, ["appname"], spread_by=["imei"])
     wide = timed.groupBy("imei").agg(*(F.sum(F.when(F.col("hl") == g, F.col("duration"))).alias(g) for g in GROUPS))

@@ -1,11 +1,14 @@
 """What cohort users did with the advertised app in each period of a campaign.
 
-Facts are reduced to (user, app, period) before they meet the cohort, so a user or app with very many
-rows is combined on the map side and joins as at most one row per period.
+Facts are folded to one row per (user, app) with a column per period before they meet the cohort. A user or
+app with very many rows is combined on the map side, and a fact table is shuffled once: the fold and the join
+use the same partitioning, and rows per period are unfolded after the join.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -14,14 +17,6 @@ from footfall.functions.numeric import flag, zero_if_null
 from footfall.operators.joins import salted_join, split_hot_keys
 
 PAIR = ["imei", "appname"]
-KEY = [*PAIR, "time"]
-
-
-def _timed(facts: DataFrame, campaign: Campaign, *cols: str) -> DataFrame:
-    day = F.col("dayno")
-    return facts.where(in_campaign(day, campaign)).select(*cols, period_of(day, campaign).alias("time")).where(
-        F.col("time").isNotNull()
-    )
 
 
 def of_apps(facts: DataFrame, apps: DataFrame) -> DataFrame:
@@ -29,68 +24,99 @@ def of_apps(facts: DataFrame, apps: DataFrame) -> DataFrame:
     return salted_join(facts, apps.select("appname").distinct(), ["appname"], spread_by=["imei"], how="left_semi")
 
 
-def install_pairs(installs: DataFrame, campaign: Campaign) -> DataFrame:
-    fresh = installs.where(F.col("is_upgrade_install") == 0)
-    return _timed(fresh, campaign, *PAIR).distinct()
+def timed(facts: DataFrame, campaign: Campaign, *cols: str) -> DataFrame:
+    """Facts of the campaign with their period; the plain day range can be pushed into the scan."""
+    day = F.col("dayno")
+    rows = facts.where(in_campaign(day, campaign)).select(*cols, period_of(day, campaign).alias("time"))
+    return rows.where(F.col("time").isNotNull())
+
 
+def fresh_installs(installs: DataFrame, campaign: Campaign) -> DataFrame:
+    return timed(installs.where(F.col("is_upgrade_install") == 0), campaign, *PAIR)
 
-def use_totals(use: DataFrame, campaign: Campaign) -> DataFrame:
-    return _timed(use, campaign, *PAIR, "duration").groupBy(*KEY).agg(F.sum("duration").alias("duration"))
 
+def use_rows(use: DataFrame, campaign: Campaign) -> DataFrame:
+    """Use in the campaign; a row without a duration still counts as use."""
+    return timed(use, campaign, *PAIR, "duration").withColumn("duration", zero_if_null(F.col("duration")))
 
-def pay_pairs(pay: DataFrame, campaign: Campaign) -> DataFrame:
+
+def payments(pay: DataFrame, campaign: Campaign) -> DataFrame:
     """Snapshots taken at the end of a period whose last payment lies inside it."""
     label = snapshot_period(F.col("dayno"), F.col("recent_pay_dayno"), campaign)
     ends = [p.hi for p in campaign.periods]
     found = pay.where(F.col("dayno").isin(ends)).select(*PAIR, label.alias("time"))
-    return found.where(F.col("time").isNotNull()).distinct()
+    return found.where(F.col("time").isNotNull())
 
 
-def click_pairs(clicks: DataFrame, period: Period) -> DataFrame:
+def clicks_in(clicks: DataFrame, period: Period) -> DataFrame:
     day = F.col("dayno")
-    hit = clicks.where((day >= period.lo) & (day < period.hi) & (F.col("click_nums") > 0))
-    return hit.select(*PAIR).distinct()
+    return clicks.where((day >= period.lo) & (day < period.hi) & (F.col("click_nums") > 0)).select(*PAIR)
 
 
-def search_totals(cohort: DataFrame, queries: DataFrame, campaign: Campaign, *, regex: bool = False) -> DataFrame:
-    """Searches per (user, app, period) whose text names the app; ``regex`` reads the name as a pattern."""
-    asked = _timed(queries, campaign, "imei", "query").groupBy("imei", "query", "time").agg(F.count("*").alias("n"))
+def search_hits(cohort: DataFrame, queries: DataFrame, campaign: Campaign, *, regex: bool = False) -> DataFrame:
+    """Searches of cohort users whose text names their app; ``regex`` reads the name as a pattern."""
+    asked = timed(queries, campaign, "imei", "query").groupBy("imei", "query", "time").agg(F.count("*").alias("n"))
     query, app = F.col("query"), F.col("appname")
     named: Column = F.rlike(query, app) if regex else F.contains(query, app)
     pairs = cohort.select(*PAIR).distinct()
-    hits = split_hot_keys(asked, pairs, ["imei"]).where(named)
-    return hits.groupBy(*KEY).agg(F.sum("n").alias("searchnum"))
+    # Raw rows bound the folded ones, and counting them shuffles no texts.
+    counts = timed(queries, campaign, "imei").groupBy("imei").agg(F.count("*").alias("n_rows"))
+    return split_hot_keys(asked, pairs, ["imei"], counts=counts).where(named).select(*PAIR, "time", "n")
+
+
+def fold(rows: DataFrame, campaign: Campaign, measure: Column, how: Callable[[Column], Column] = F.sum) -> DataFrame:
+    """One row per (user, app), one column per period; NULL where the period has no row."""
+    cells = [how(F.when(F.col("time") == t, measure)).alias(t) for t in campaign.labels]
+    return rows.groupBy(*PAIR).agg(*cells)
+
+
+def _unfold(wide: DataFrame, campaign: Campaign, measure: str) -> DataFrame:
+    cells = F.array(*(F.struct(F.lit(t).alias("time"), F.col(t).alias(measure)) for t in campaign.labels))
+    return wide.select(*PAIR, "is_expose", F.explode(cells).alias("cell")).select(*PAIR, "is_expose", "cell.*")
 
 
-def of_cohort(cohort: DataFrame, facts: DataFrame) -> DataFrame:
-    """The facts of cohort pairs, with the arm of the user."""
-    return cohort.join(facts, PAIR)
+def by_period(cohort: DataFrame, folded: DataFrame, campaign: Campaign, measure: str) -> DataFrame:
+    """Cohort pairs and periods that have facts."""
+    rows = _unfold(cohort.join(folded, PAIR), campaign, measure)
+    return rows.where(F.col(measure).isNotNull())
+
+
+def period_panel(cohort: DataFrame, folded: DataFrame, campaign: Campaign) -> DataFrame:
+    """Every cohort pair in every period, zero where nothing was seen."""
+    rows = _unfold(cohort.join(folded, PAIR, "left"), campaign, "sum_data")
+    return rows.withColumn("sum_data", zero_if_null(F.col("sum_data")))
+
+
+def installs_folded(installs: DataFrame, campaign: Campaign) -> DataFrame:
+    return fold(fresh_installs(installs, campaign), campaign, F.lit(1), F.max)
+
+
+def use_folded(use: DataFrame, campaign: Campaign) -> DataFrame:
+    return fold(use_rows(use, campaign), campaign, F.col("duration"))
+
+
+def searches_folded(cohort: DataFrame, queries: DataFrame, campaign: Campaign, *, regex: bool = False) -> DataFrame:
+    return fold(search_hits(cohort, queries, campaign, regex=regex), campaign, F.col("n"))
 
 
 def installs_by_period(cohort: DataFrame, installs: DataFrame, campaign: Campaign) -> DataFrame:
-    return of_cohort(cohort, install_pairs(installs, campaign))
+    return by_period(cohort, installs_folded(installs, campaign), campaign, "installed").drop("installed")
 
 
 def use_by_period(cohort: DataFrame, use: DataFrame, campaign: Campaign) -> DataFrame:
-    return of_cohort(cohort, use_totals(use, campaign))
+    return by_period(cohort, use_folded(use, campaign), campaign, "duration")
 
 
 def pay_by_period(cohort: DataFrame, pay: DataFrame, campaign: Campaign) -> DataFrame:
-    return of_cohort(cohort, pay_pairs(pay, campaign))
+    folded = fold(payments(pay, campaign), campaign, F.lit(1), F.max)
+    return by_period(cohort, folded, campaign, "paid").drop("paid")
 
 
 def search_by_period(cohort: DataFrame, queries: DataFrame, campaign: Campaign, *, regex: bool = False) -> DataFrame:
-    return of_cohort(cohort, search_totals(cohort, queries, campaign, regex=regex))
+    return by_period(cohort, searches_folded(cohort, queries, campaign, regex=regex), campaign, "searchnum")
 
 
 def click_flags(cohort: DataFrame, clicks: DataFrame, campaign: Campaign) -> DataFrame:
     """Every cohort pair with 1 if it clicked an ad of the app during the campaign."""
-    hit = click_pairs(clicks, campaign.now).withColumn("hit", F.lit(1))
+    hit = clicks_in(clicks, campaign.now).distinct().withColumn("hit", F.lit(1))
     return cohort.join(hit, PAIR, "left").select(*PAIR, "is_expose", flag(F.col("hit")).alias("is_click"))
-
-
-def period_panel(cohort: DataFrame, facts: DataFrame, measure: Column, campaign: Campaign) -> DataFrame:
-    """Cohort x period with the measure of the fact row, zero where there is none."""
-    grid = cohort.withColumn("time", F.explode(F.array(*(F.lit(t) for t in campaign.labels))))
-    seen = facts.select(*KEY, measure.alias("seen"))
-    return grid.join(seen, KEY, "left").select(*KEY, "is_expose", zero_if_null(F.col("seen")).alias("sum_data"))

@@ -57,9 +57,14 @@ def category_time_by_day(sample: DataFrame, use: DataFrame, categories: DataFram
 
 
 def category_wide(sample: DataFrame, use: DataFrame, categories: DataFrame, names: list[str]) -> DataFrame:
-    """One row per user-day and one column per category, zero-filled."""
+    """One row per user-day and one column per category, zero-filled.
+
+    Rows are moved to their user while they are narrow (a user has at most days x packages of them); the wide
+    rows and the user's means then need no further shuffle.
+    """
+    rows = _category_rows(sample, use, categories).repartition("imei")
     cells = [zero_if_null(F.sum(F.when(F.col("newcat") == c, F.col("duration")))).alias(c) for c in names]
-    return _category_rows(sample, use, categories).groupBy(*USER_DAY).agg(*cells)
+    return rows.groupBy(*USER_DAY).agg(*cells)
 
 
 def scaled_by_mean(wide: DataFrame, names: list[str]) -> DataFrame:

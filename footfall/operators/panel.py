@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -15,10 +17,6 @@ METRICS = ["use", "down", "search"]
 GROUPS = ["GH", "GL", "H", "L"]
 
 
-def metric_columns(campaign: Campaign) -> list[str]:
-    return [f"{t}{m}" for m in METRICS for t in campaign.labels]
-
-
 def conversion_panel(
     cohort: DataFrame,
     use: DataFrame,
@@ -29,35 +27,40 @@ def conversion_panel(
 ) -> DataFrame:
     """Use, installs and searches before, during and after, plus the click flag: one row per cohort pair.
 
-    All facts are stacked and folded by one conditional aggregation, then meet the cohort in one join.
+    The raw facts of all kinds are stacked and folded by one conditional aggregation, so they are shuffled
+    once together, and meet the cohort in one join on the same keys.
     """
+    now = F.lit(campaign.now.label).alias("time")
+    kinds = {
+        "use": (ft.use_rows(use, campaign), "time", F.col("duration")),
+        "down": (ft.fresh_installs(installs, campaign), "time", F.lit(1)),
+        "search": (ft.search_hits(cohort, queries, campaign), "time", F.col("n")),
+        "click": (ft.clicks_in(clicks, campaign.now), now, F.lit(1)),
+    }
     stacked = [
-        ft.use_totals(use, campaign).select(*PAIR, "time", F.lit("use").alias("m"), F.col("duration").alias("x")),
-        ft.install_pairs(installs, campaign).select(*PAIR, "time", F.lit("down").alias("m"), F.lit(1.0).alias("x")),
-        ft.search_totals(cohort, queries, campaign).select(
-            *PAIR, "time", F.lit("search").alias("m"), F.col("searchnum").cast("double").alias("x")
-        ),
-        ft.click_pairs(clicks, campaign.now).select(
-            *PAIR, F.lit(campaign.now.label).alias("time"), F.lit("click").alias("m"), F.lit(1.0).alias("x")
-        ),
+        facts.select(*PAIR, time, F.lit(kind).alias("kind"), amount.cast("double").alias("x"))
+        for kind, (facts, time, amount) in kinds.items()
     ]
-    rows = stacked[0]
-    for more in stacked[1:]:
-        rows = rows.unionByName(more)
+    rows = reduce(DataFrame.unionByName, stacked)
 
-    def cell(period: str, metric: str) -> Column:
-        return F.sum(F.when((F.col("time") == period) & (F.col("m") == metric), F.col("x")))
+    def cell(period: str, kind: str) -> Column:
+        amount = F.when((F.col("time") == period) & (F.col("kind") == kind), F.col("x"))
+        return F.max(amount) if kind in ("down", "click") else F.sum(amount)
 
     cells = [cell(t, m).alias(f"{t}{m}") for m in METRICS for t in campaign.labels]
     wide = rows.groupBy(*PAIR).agg(*cells, cell(campaign.now.label, "click").alias("isclick"))
-    counts = {f"{t}{m}" for m in ("down", "search") for t in campaign.labels} | {"isclick"}
-    filled = [
-        (zero_if_null(F.col(c)).cast("long") if c in counts else zero_if_null(F.col(c))).alias(c)
-        for c in [*metric_columns(campaign), "isclick"]
-    ]
+    filled = [zero_if_null(F.col(f"{t}use")).alias(f"{t}use") for t in campaign.labels]
+    counts = [*(f"{t}{m}" for m in METRICS[1:] for t in campaign.labels), "isclick"]
+    filled += [zero_if_null(F.col(c)).cast("long").alias(c) for c in counts]
     return cohort.join(wide, PAIR, "left").select(*PAIR, "is_expose", *filled)
 
 
+def total_use(panel: DataFrame, campaign: Campaign) -> DataFrame:
+    """Use time of every pair over the whole campaign, read off the panel instead of the facts."""
+    periods = [F.col(f"{t}use") for t in campaign.labels]
+    return panel.select(*PAIR, sum(periods[1:], periods[0]).alias("duration"))
+
+
 def regression_data(panel: DataFrame, portrait_wide: DataFrame, category_time: DataFrame) -> DataFrame:
     """Panel, portrait indicators and category time of every pair; amounts on the log scale."""
     amounts = [c for c in panel.columns if c.endswith(("use", "search"))]

@@ -82,7 +82,7 @@ def effect_by_regression(
     who = portrait.people_portrait(t.people, t.city_level, s.people_snapshot)
     apps = studied_apps(people)
     use, installs, clicks = (facts.of_apps(f, apps) for f in (t.use, installs, clicks))
-    wide = panel.conversion_panel(people, use, installs, searches, clicks, s.campaign)
-    spent = categories.category_time(people, facts.use_by_period(people, use, s.campaign), groups)
+    wide = stage(panel.conversion_panel(people, use, installs, searches, clicks, s.campaign), "conversion_panel")
+    spent = categories.category_time(people, panel.total_use(wide, s.campaign), groups)
     data = panel.regression_data(wide, portrait.portrait_indicators(people, who), spent)
     return ols.ols_by_group(panel.regression_features(data), "appname", panel.PREDICTORS, panel.RESPONSES)

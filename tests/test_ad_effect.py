@@ -11,8 +11,11 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import LinearRegression
 from pyspark.sql import functions as F
 
+from conftest import DATA
+from footfall.catalogue.views import AD_DAYS, SNAPSHOT, USE_DAYS, Views
 from footfall.functions.calendar import Campaign
 from footfall.operators import categories, cohort, did, exposure, facts, ols, panel, portrait
+from footfall.plans import ad_effect
 
 DAYS = (20210201, 20210425)
 CAMPAIGN = Campaign.from_days((20210201, 20210301, 20210329, 20210426))
@@ -142,12 +145,16 @@ def test_search_names_are_plain_text_by_default(spark, rows):
 
 def test_period_panel_is_zero_filled(spark, rows, pairs):
     use = spark.createDataFrame([(1, "a", 20210201, 2.0), (1, "a", 20210202, 3.0)], "imei int, appname string, dayno int, duration double")
-    used = facts.use_by_period(pairs, use, CAMPAIGN)
-    got = facts.period_panel(pairs, used, F.col("duration"), CAMPAIGN)
+    got = facts.period_panel(pairs, facts.use_folded(use, CAMPAIGN), CAMPAIGN)
     assert got.count() == 9
     assert rows(got.where("sum_data > 0"), "imei", "appname", "time", "sum_data") == [(1, "a", "before", 5.0)]
 
 
+def test_use_without_a_duration_is_still_use(spark, rows, pairs):
+    use = spark.createDataFrame([(1, "a", 20210201, None)], "imei int, appname string, dayno int, duration double")
+    assert rows(facts.use_by_period(pairs, use, CAMPAIGN), "imei", "time", "duration") == [(1, "before", 0.0)]
+
+
 def test_conversion_panel_equals_the_single_facts(spark, pairs):
     use = spark.createDataFrame([(1, "a", 20210201, 2.0), (2, "a", 20210330, 3.0)], "imei int, appname string, dayno int, duration double")
     installs = spark.createDataFrame([(1, "a", 20210301, 0)] * 2, "imei int, appname string, dayno int, is_upgrade_install int")
@@ -308,3 +315,33 @@ def test_too_few_rows_have_no_standard_error(spark):
     df = spark.createDataFrame([("a", 1.0, 2.0, 3.0), ("a", 2.0, 4.0, 1.0)], "app string, x double, y1 double, y2 double")
     got = ols.ols_by_group(df, "app", ["x"], ["y1", "y2"]).collect()
     assert [r.se1 for r in got] == [None, None] and [r.c1 for r in got] == pytest.approx([0.0, 2.0])
+
+
+def test_normal_equations_show_a_wrong_fit(spark, regression):
+    df = spark.createDataFrame(regression).withColumn("imei", F.monotonically_increasing_id())
+    fits = ols.ols_by_group(df, "app", X, ["y1", "y2"])
+    good = ols.normal_equations(df, fits, "app", X, ["y1", "y2"]).collect()
+    assert sum(r.n for r in good) == len(regression) and max(max(r.gap_r1, r.gap_r2) for r in good) < 1e-8
+    wrong = fits.withColumn("c2", F.col("c2") + 0.01)
+    assert min(r.gap_r2 for r in ols.normal_equations(df, wrong, "app", X, ["y1", "y2"]).collect()) > 0.1
+
+
+def test_effect_of_both_kinds_end_to_end(spark):
+    v = Views(spark, str(DATA))
+    tables = ad_effect.AdTables(v.ads, v.exposures, v.app_use, v.browsers, v.people, v.city_level)
+    days = Campaign.from_days((20240101, 20240111, 20240121, 20240131))
+    settings = ad_effect.AdSettings(SNAPSHOT, SNAPSHOT, AD_DAYS, USE_DAYS, days, 1000)
+    people = ad_effect.analysis_people(tables, settings)
+    direct = cohort.matched_cohort(
+        exposure.exposed_people(
+            exposure.kept_ads(v.ads, exposure.advertised_apps(exposure.exposure_summary(v.ads, exposure.ad_totals(v.exposures, AD_DAYS)), 1000)),
+            v.exposures, AD_DAYS,
+        ),
+        v.app_use, v.browsers, USE_DAYS,
+    )
+    assert people.exceptAll(direct).count() == 0 and people.count() == direct.count() > 0
+    assert ad_effect.effect_by_strata(tables, settings, people).count() > 0
+    fits = ad_effect.effect_by_regression(
+        tables, settings, people, installs=v.installs, searches=v.searches, clicks=v.clicks, groups=v.app_group
+    )
+    assert fits.count() == people.select("appname").distinct().count() * (len(panel.PREDICTORS) + 1)

@@ -5,11 +5,13 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
-from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
 
+from conftest import DATA
+from footfall.catalogue.views import CATEGORIES, DAYS, SNAPSHOT, USE_DAYS, Views
 from footfall.functions.calendar import Weeks
 from footfall.operators import activity, features, kmodes, places, topics
+from footfall.plans import lockdown
 
 WEEKS = Weeks(20240101, 3)
 RANGE = (20240101, 20240122)
@@ -143,10 +145,6 @@ def test_topic_calendar(spark, rows):
     assert rows(topics.calendar_columns(calendar, wanted)) == [("c", 1, 3, -1, 0), ("d", 2, -1, 5, -1)]
 
 
-def test_vector_type_is_what_the_models_read(training):
-    assert isinstance(training[0].first().features, type(Vectors.dense([1.0]))) or training[0].first().features.size == 6
-
-
 def kmodes_by_hand(values, modes):
     """Rounds of assignment and majority vote in plain Python."""
     costs = []
@@ -195,3 +193,35 @@ def test_user_sample_is_per_city(spark):
     got = Counter(r.city for r in features.user_sample(active, 15).collect())
     assert got == {"a": 15, "b": 15}
     assert features.user_sample(active, 100).agg(F.count("*")).first()[0] == 80
+
+
+def test_user_numbers_and_day_keys(spark, rows):
+    users = spark.createDataFrame([("c", u) for u in range(50)] * 2 + [("d", 3)], "city string, imei int")
+    numbers = features.user_numbers(users)
+    assert sorted(r[0] for r in rows(numbers, "imei_number")) == list(range(1, 52))
+    days = spark.createDataFrame([("c", 3, 20240101), ("d", 3, 20240102)], "city string, imei int, dayno int")
+    keyed = features.with_day_key(days, numbers)
+    back = features.from_day_key(keyed.select("city", "imei", "daynum"))
+    assert rows(back, "imei_number", "dayno") == rows(keyed, "imei_number", "dayno")
+
+
+def test_the_whole_study(spark, tmp_path):
+    v = Views(spark, str(DATA))
+    t = lockdown.CityTables(v.people, v.city_level, v.all_use, v.ads, v.places, v.categories)
+    s = lockdown.CitySettings(
+        snapshot=SNAPSHOT, use_days=USE_DAYS, weeks=Weeks(20240101, 4), place_weeks=Weeks(20240101, 4), weekly_time=300.0,
+        sweep=range(3, 5), topics=4, clusters=3, partitions=3, max_iter=5,
+    )
+    who, active = lockdown.steady_users(t, s)
+    assert active.count() == 13
+    packages, apps = lockdown.app_time(t, s, active)
+    total = "sum(sumtimes)"
+    assert packages.selectExpr(total).first()[0] >= apps.selectExpr(total).first()[0] > 0
+    assert lockdown.place_ranks(t, s, who, active).where("imei_number = 1").count() == 4
+    train = lockdown.day_features(t, s, active, CATEGORIES)
+    scores = lockdown.topic_sweep(train, s, CATEGORIES, str(tmp_path))
+    assert [r.k for r in scores.orderBy("k").collect()] == [3, 4]
+    assert spark.read.parquet(f"{tmp_path}/mix").groupBy("k").count().count() == 2
+    assert spark.read.csv(f"{tmp_path}/share/k=4", header=True).columns[-1] == "topic3"
+    clusters = lockdown.user_clusters(train, s, DAYS)
+    assert clusters.labelled.count() == 13 and len(clusters.modes) == 3
