@@ -60,17 +60,27 @@ def category_wide(sample: DataFrame, use: DataFrame, categories: DataFrame, name
     """One row per user-day and one column per category, zero-filled.
 
     Rows are moved to their user while they are narrow (a user has at most days x packages of them); the wide
-    rows and the user's means then need no further shuffle.
+    rows and the user's means then need no further shuffle. Names become positions in the lookup, so that the
+    facts compare numbers.
     """
-    rows = _category_rows(sample, use, categories).repartition("imei")
-    cells = [zero_if_null(F.sum(F.when(F.col("newcat") == c, F.col("duration")))).alias(c) for c in names]
+    position = F.array_position(F.array(*map(F.lit, names)), F.col("newcat")).cast("int")
+    rows = _category_rows(sample, use, categories.withColumn("newcat", position)).repartition("imei")
+    cells = [
+        zero_if_null(F.sum(F.when(F.col("newcat") == i, F.col("duration")))).alias(c) for i, c in enumerate(names, 1)
+    ]
     return rows.groupBy(*USER_DAY).agg(*cells)
 
 
 def scaled_by_mean(wide: DataFrame, names: list[str]) -> DataFrame:
-    """Every category against the user's own daily mean, on the log scale."""
+    """Every category against the user's own daily mean, on the log scale.
+
+    The ratios are taken over arrays: as one expression per column they compile to a method too long for the
+    JVM to optimise.
+    """
     own = W.partitionBy("city", "imei")
-    return wide.select(*USER_DAY, *(log_ratio(F.col(c), F.avg(c).over(own)).alias(c) for c in names))
+    means = wide.select(*USER_DAY, F.array(*names).alias("x"), F.array(*(F.avg(c).over(own) for c in names)).alias("m"))
+    scaled = means.select(*USER_DAY, F.zip_with("x", "m", log_ratio).alias("s"))
+    return scaled.select(*USER_DAY, *(F.col("s")[i].alias(c) for i, c in enumerate(names)))
 
 
 def feature_vectors(df: DataFrame, names: list[str], keep: list[str]) -> DataFrame:
