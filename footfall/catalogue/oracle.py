@@ -185,7 +185,7 @@ VIEWS: dict[str, str] = {
     "seeds": f"select distinct doc_id as id, text from documents where {_any('text', vw.SEED_WORDS)}",
 }
 
-SPLIT = "[ \\r\\f" + "".join("\\" + m if m in ".-)(?+/[]{}<>\"!:;,#_" and m not in "_<>\"!:;,#/" else m for m in MARKS) + "]+"
+SPLIT = "[ \\r\\f" + "".join("\\" + m if m in "-[]" else m for m in MARKS) + "]+"
 VIEWS["said"] = f"""select quality, word from (select quality,
     unnest(string_split_regex(text, E'{SPLIT.replace(chr(92), chr(92) * 2)}')) as word from texts) where word <> ''"""
 VIEWS["mi_counts"] = """select word, count(*) filter (where quality <> 0) as l1, count(*) filter (where quality = 0) as r1
@@ -256,10 +256,6 @@ def _panel_of(facts: str, value: str) -> str:
         on f.imei = c.imei and f.appname = c.appname and f.time = p.time"""
 
 
-def _inter(a: str, b: str) -> str:
-    return f"{a} * {b}"
-
-
 REGRESSION_AMOUNTS = [f"{t}{m}" for m in ("use", "search") for t, _, _ in PERIODS] + ["GH", "GL", "H", "L"]
 FEATURES = f"""select imei, appname, is_expose, beforeuse, beforedown, beforesearch, GH * GL as Guse, H * L as NGuse,
     GH * H as Huse, L * GL as Luse, {', '.join(INDICATOR_NAMES)}, nowuse, afteruse from regression"""
@@ -306,7 +302,7 @@ _PLAIN: dict[str, str] = {
         for name, fn in (("slope", "regr_slope"), ("intercept", "regr_intercept"), ("r2", "regr_r2"))
     )
     + f" from ({FEATURES}) group by appname",
-    "ols_normal_equations": "select appname, count(*) as n, 0.0 as gap_r1, 0.0 as gap_r2 from regression group by appname",
+    "ols_normal_equations": "select appname, count(*) as n, cast(0 as double) as gap_r1, cast(0 as double) as gap_r2 from regression group by appname",
     "user_numbers": "select * from numbers",
     "user_day_keys": """select distinct n.city, n.imei, cast(imei_number as varchar) || '-' || cast(dayno as varchar) as daynum,
         imei_number, dayno from active_rows a join numbers n on a.city = n.city and a.imei = n.imei""",
@@ -339,7 +335,11 @@ _PLAIN: dict[str, str] = {
     + " from embeddings group by label",
     "category_calendar": "select city, imei, "
     + ", ".join(f"coalesce(max(case when dayno = {d} then topic end), -1) as d{d}" for d in vw.DAYS)
-    + f" from (select city, imei, dayno, cast(list_position(mix, list_max(mix)) - 1 as int) as topic from (select city, imei, dayno, [{', '.join(CATS)}] as mix from wide)) group by all",
+    + f""" from (select city, imei, dayno, cast(list_position(mix, list_max(mix)) - 1 as int) as topic
+        from (select city, imei, dayno, [{', '.join(CATS)}] as mix from wide)) group by all""",
+    "daily_topic_share_totals": "select distinct city, dayno, cast(1 as double) as total from wide",
+    "topic_calendar_days": "select city, imei, count(*) as days from wide group by all",
+    "kmodes_fixed_point": "select count(*) as people, cast(0 as bigint) as wrong_modes, cast(0 as bigint) as wrong_cost from active",
     "seed_filter": "select * from seeds",
     "negative_sample": """select id, text from (select doc_id as id, text, row_number() over
         (order by md5(cast(doc_id as varchar)), doc_id) as rn from documents where doc_id not in (select id from seeds))
@@ -366,8 +366,10 @@ _MI = (
 )
 
 ORACLE: dict[str, str] = {name: _with(sql) for name, sql in _PLAIN.items()}
-ORACLE["word_mi"] = ORACLE["word_mi_from_lists"] = _with(_MI).replace("\nselect word, l1", "\nselect word, l1", 1)
-ORACLE["cohort_matched"] = ORACLE["cohort_matched_browsers"].replace(VIEWS["population"], "select c_custkey as imei from customer")
+ORACLE["word_mi"] = ORACLE["word_mi_from_lists"] = _with(_MI)
+ORACLE["cohort_matched"] = ORACLE["cohort_matched_browsers"].replace(
+    VIEWS["population"], "select c_custkey as imei from customer"
+)
 ORACLE["strata_counts"] = _did_with(["base_gender", "city_level"], rates=False)
 ORACLE["did_by_app"] = _did_with(["base_gender", "city_level"])
 ORACLE["did_by_app_4key"] = _did_with(["base_age", "base_gender", "city_level", "on_price"])

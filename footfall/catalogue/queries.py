@@ -398,6 +398,22 @@ def daily_topic_share(v: Views) -> DataFrame:
     return topics.topic_share(_mix(v), ["city", "dayno"], 20)
 
 
+@query
+def daily_topic_share_totals(v: Views) -> DataFrame:
+    """The shares of every city and day add up to 1."""
+    shares = topics.topic_share(_mix(v), ["city", "dayno"], 20)
+    total = sum((F.col(f"topic{i}") for i in range(1, 20)), F.col("topic0"))
+    return shares.select("city", "dayno", F.round(total, 6).alias("total"))
+
+
+@query
+def topic_calendar_days(v: Views) -> DataFrame:
+    """Days with a topic per user: the days with use."""
+    calendar = topics.topic_calendar(topics.dominant_topic(_mix(v)), vw.DAYS)
+    used = F.size(F.filter("calendar", lambda t: t != topics.NO_TOPIC)).cast("long")
+    return calendar.select("city", "imei", used.alias("days"))
+
+
 @query
 def topic_calendar(v: Views) -> DataFrame:
     calendar = topics.topic_calendar(topics.dominant_topic(_mix(v)), vw.DAYS)
@@ -444,6 +460,12 @@ def kmodes_cost(v: Views) -> DataFrame:
     return labelled.agg(F.sum("mismatches").alias("cost"), F.count("*").alias("people"))
 
 
+@query
+def kmodes_fixed_point(v: Views) -> DataFrame:
+    """Every mode is the majority of its cluster, and the labels add up to the reported cost."""
+    return kmodes.fixed_point(kmodes.kmodes(_category_calendar(v)))
+
+
 @query
 def cluster_sizes(v: Views) -> DataFrame:
     calendar = topics.topic_calendar(topics.dominant_topic(_mix(v)), vw.DAYS)
@@ -513,10 +535,11 @@ def table_by_day(v: Views) -> DataFrame:
     """Write facts by day, append a second part, and read one period back from its partitions."""
     path = staging_path(v.spark, "use_by_day")
     writers.write_table(v.app_use, path, partition_by=["dayno"])
-    writers.append_table(v.app_use.select("imei", "appname", "pack_name", "duration", "dayno"), path, partition_by=["dayno"])
+    writers.append_table(v.app_use, path, partition_by=["dayno"])
     now = vw.CAMPAIGN.now
     rows = readers.read_days(v.spark, path, now.lo, now.hi, closed=False)
-    return rounded(rows.groupBy("appname", "dayno").agg(F.sum("duration").alias("duration"), F.count("*").alias("n")), "duration")
+    totals = rows.groupBy("appname", "dayno").agg(F.sum("duration").alias("duration"), F.count("*").alias("n"))
+    return rounded(totals, "duration")
 
 
 @query

@@ -26,7 +26,13 @@ PAIR_WORDS = (
     "retion", "thanedble", "onble", "aning", "reing", "heble", "nicht", "ining", "anble", "ention", "inble", "edtion",
     "hation",
 )
-CITY_LEVELS = [("AUTOMOBILE", "1"), ("BUILDING", "new1"), ("FURNITURE", "2"), ("HOUSEHOLD", "3"), ("MACHINERY", "other")]
+CITY_LEVELS = [
+    ("AUTOMOBILE", "1"),
+    ("BUILDING", "new1"),
+    ("FURNITURE", "2"),
+    ("HOUSEHOLD", "3"),
+    ("MACHINERY", "other"),
+]
 
 
 def _text(prefix: str, number) -> F.Column:

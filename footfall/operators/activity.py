@@ -27,7 +27,9 @@ def weekly_use_time(people: DataFrame, use: DataFrame, weeks: Weeks, threshold:
 def active_people(people: DataFrame, use: DataFrame, weeks: Weeks, threshold: float) -> DataFrame:
     """Users of a city above the threshold in every single week: one pass with one sum per week."""
     day = F.col("dayno")
-    sums = [F.sum(F.when(day.between(lo, hi), F.col("duration"))).alias(f"w{i}") for i, (lo, hi) in enumerate(weeks.bounds)]
+    sums = [
+        F.sum(F.when(day.between(lo, hi), F.col("duration"))).alias(f"w{i}") for i, (lo, hi) in enumerate(weeks.bounds)
+    ]
     always = reduce(and_, (F.col(f"w{i}") > threshold for i in range(weeks.n)))
     steady = use.where(weeks.contains(day)).groupBy("imei").agg(*sums).where(always).select("imei")
     return people.select("imei", "city").join(steady, "imei").select("city", "imei", F.lit(weeks.n).alias("imeinums"))

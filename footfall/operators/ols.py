@@ -14,7 +14,10 @@ from footfall.operators.joins import salted_join
 TOLERANCE = 1e-9
 FLUSH_GROUPS = 1024  # partial matrices a task holds before it hands them on
 
-RESULT = "{group} string, term string, c1 double, se1 double, c2 double, se2 double, r2_1 double, r2_2 double, n long, aliased boolean"
+RESULT = (
+    "{group} string, term string, c1 double, se1 double, c2 double, se2 double, "
+    "r2_1 double, r2_2 double, n long, aliased boolean"
+)
 
 
 def _partial_products(group: str, columns: list[str]):
@@ -106,7 +109,8 @@ def ols_by_group(data: DataFrame, group: str, predictors: list[str], responses:
     columns = [*predictors, *responses]
     rows = data.select(F.col(group).cast("string").alias(group), *(F.col(c).cast("double").alias(c) for c in columns))
     parts = rows.mapInPandas(_partial_products(group, columns), f"{group} string, products array<double>")
-    sums = parts.select(group, F.posexplode("products").alias("pos", "x")).groupBy(group, "pos").agg(F.sum("x").alias("x"))
+    cells = parts.select(group, F.posexplode("products").alias("pos", "x"))
+    sums = cells.groupBy(group, "pos").agg(F.sum("x").alias("x"))
     solver = _solve_group(group, predictors, len(columns))
     fits = sums.groupBy(group).applyInPandas(solver, RESULT.format(group=group))
     doubles = ["c1", "se1", "c2", "se2", "r2_1", "r2_2"]
@@ -124,7 +128,9 @@ def simple_ols_by_group(data: DataFrame, group: str, predictor: str, responses:
     return data.groupBy(group).agg(F.count("*").alias("n"), *fits)
 
 
-def normal_equations(data: DataFrame, fits: DataFrame, group: str, predictors: list[str], responses: list[str]) -> DataFrame:
+def normal_equations(
+    data: DataFrame, fits: DataFrame, group: str, predictors: list[str], responses: list[str]
+) -> DataFrame:
     """Largest product of a predictor with the residuals, per group and response: 0 for a least squares fit."""
     terms = ["intercept", *predictors]
     pos = F.array_position(F.array(*map(F.lit, terms)), F.col("term"))

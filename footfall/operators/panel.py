@@ -96,5 +96,6 @@ def regression_features(data: DataFrame) -> DataFrame:
     )
 
 
-PREDICTORS = ["is_expose", "beforeuse", "beforedown", "beforesearch", "Guse", "NGuse", "Huse", "Luse", *indicator_names()]
+BEHAVIOUR = ["is_expose", "beforeuse", "beforedown", "beforesearch", "Guse", "NGuse", "Huse", "Luse"]
+PREDICTORS = [*BEHAVIOUR, *indicator_names()]
 RESPONSES = ["nowuse", "afteruse"]

@@ -111,7 +111,8 @@ def dominant_topic(mix: DataFrame, values: str = "mix", alias: str = "topic") ->
 def topic_calendar(days_of_user: DataFrame, days: list[int]) -> DataFrame:
     """One row per user with the topic of every day in ``days``; -1 marks a day without use."""
     entries = F.collect_list(F.struct("dayno", "topic"))
-    users = days_of_user.where(F.col("dayno").isin(days)).groupBy("city", "imei").agg(F.map_from_entries(entries).alias("by_day"))
+    wanted = days_of_user.where(F.col("dayno").isin(days))
+    users = wanted.groupBy("city", "imei").agg(F.map_from_entries(entries).alias("by_day"))
     cells = [F.coalesce(F.col("by_day")[F.lit(d)], F.lit(NO_TOPIC)) for d in days]
     return users.select("city", "imei", F.array(*cells).alias("calendar"))
 

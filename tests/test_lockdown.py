@@ -225,3 +225,11 @@ def test_the_whole_study(spark, tmp_path):
     assert spark.read.csv(f"{tmp_path}/share/k=4", header=True).columns[-1] == "topic3"
     clusters = lockdown.user_clusters(train, s, DAYS)
     assert clusters.labelled.count() == 13 and len(clusters.modes) == 3
+
+
+def test_fixed_point_tells_a_wrong_mode(spark):
+    df = spark.createDataFrame([("c", i, [i % 2, 1, i % 2]) for i in range(20)], "city string, imei int, calendar array<int>")
+    model = kmodes.kmodes(df, 2)
+    assert tuple(kmodes.fixed_point(model).first()) == (20, 0, 0)
+    wrong = kmodes.KModes(model.modes + np.array([[0, 5, 0], [0, 0, 0]]), model.costs, model.labelled)
+    assert tuple(kmodes.fixed_point(wrong).first()) == (20, 1, 10)
