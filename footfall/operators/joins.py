@@ -42,7 +42,8 @@ def split_hot_keys(
     Rows per key come from ``counts`` (the key and ``n_rows``) or from a first pass over the key column. A
     key with n rows gets n / rows_per_task parts, its facts are dealt to them by the hash of the whole row,
     and only its lookup rows are repeated. The list of hot keys is broadcast: it cannot be longer than
-    rows / rows_per_task.
+    rows / rows_per_task. Exact copies of one row share a part; where those alone are too many, the skew join of
+    adaptive execution divides the part further, as every caller shuffles again or writes after the join.
     """
     if counts is None:
         counts = facts.groupBy(*on).agg(F.count("*").alias("n_rows"))
