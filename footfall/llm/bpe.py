@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 
 from footfall.llm.arrow import map_slices, slices, texts
 from footfall.llm.files import publish
+from footfall.sources.staging import stage
 
 #: The split of byte-level BPE before merging (fixed value).
 SPLIT = r"'(?:s|t|re|ve|m|ll|d)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -342,17 +343,22 @@ def word_counts(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 def build_lexicon(docs: DataFrame, tokenizer: str, text: str = "text", words: int = LEXICON_WORDS) -> str:
-    """Compile the ``words`` most frequent words of all texts and hand the file to the executors; its name is returned.
+    """Compile the most frequent words of all texts, up to ``words``, and hand the file to the executors; its name is
+    returned.
 
-    The list has a fixed length, so the file stays at a few MB whatever the corpus.
+    Frequencies fall into classes, 16 for every doubling; the lexicon takes the highest classes that have no more than
+    ``words`` words together. So the driver gets a few hundred counts and then a list of bounded length.
     """
-    top = (
-        word_counts(docs, text)
-        .where((F.octet_length("word") <= LEXICON_BYTES) & (F.col("n") > 1))
-        .orderBy(F.desc("n"), "word")
-        .limit(words)
-        .collect()
-    )
+    short = (F.octet_length("word") <= LEXICON_BYTES) & (F.col("n") > 1)
+    rank = F.floor(F.log2("n") * 16).cast("int")
+    counts = stage(word_counts(docs, text).where(short).select("word", rank.alias("rank")), "word-counts")
+    least, left = None, words
+    for r in sorted(counts.groupBy("rank").count().collect(), reverse=True):
+        left -= r["count"]
+        if left < 0:
+            break
+        least = r["rank"]
+    top = counts.where(F.col("rank") >= least).collect() if least is not None else []
     return publish(docs.sparkSession, compile_lexicon((r.word.encode() for r in top), Merger(tokenizer).many), "lexicon")
 
 

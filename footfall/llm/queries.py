@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from footfall.llm import bpe, piece_counts
+from footfall.llm import bpe, hnsw, line_dedup, mixing, near_dedup, piece_counts, secrets, style_tree, subspace_join, toxicity
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 PIECE_BPE = public_tokenizers.path("piece_bpe_32k.model")
@@ -25,6 +26,34 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+@query
+def op1_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    sized = docs.select("doc_id", F.array("source").alias("sources"), mixing.word_count(F.col("text")).alias("size"))
+    return mixing.mix(sized, "sources", "size").select("doc_id", "size", "source_size", "target", "taken", "times")
+
+
+#: The chain of the labels: poor quality first, then toxicity, which decides.
+CATEGORIES = ["poor", "toxic"]
+
+
+def toxic_chain(docs: DataFrame, folder: str) -> toxicity.Chain:
+    """The chain fitted on those of the documents that the folder has labels for."""
+    labels = table(docs.sparkSession, folder, "labels").select("doc_id", (1 - F.col("quality")).alias("poor"), "toxic")
+    return toxicity.fit(docs, labels, CATEGORIES)
+
+
+@query
+def op2_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    return toxicity.classify(docs, toxic_chain(docs, folder), ["doc_id"]).withColumn("toxic", F.col("p_toxic") >= 0.5)
+
+
+@query
+def op3_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return near_dedup.near_duplicates(table(spark, folder, "documents"))
+
+
 @query
 def op4_bpe_round_trip(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
@@ -32,6 +61,39 @@ def op4_bpe_round_trip(spark: SparkSession, folder: str) -> DataFrame:
     return bpe.digest(bpe.decode(encoded, BYTE_BPE))
 
 
+@query
+def op5_secrets(spark: SparkSession, folder: str) -> DataFrame:
+    return secrets.find_secrets(table(spark, folder, "documents"))
+
+
+@query
+def op6_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    return line_dedup.digest(line_dedup.dedup_lines(docs))
+
+
+ORACLE["op6_line_dedup"] = line_dedup.ORACLE_SQL
+
+
 @query
 def op7_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return piece_counts.token_counts(table(spark, folder, "documents"), PIECE_BPE)
+
+
+@query
+def op8_embedding_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return subspace_join.linked_vectors(table(spark, folder, "embeddings"))
+
+
+ORACLE["op8_embedding_dedup"] = subspace_join.ORACLE_SQL
+
+
+@query
+def op9_html_text(spark: SparkSession, folder: str) -> DataFrame:
+    return style_tree.extract(table(spark, folder, "pages"))
+
+
+@query
+def op10_nearest(spark: SparkSession, folder: str) -> DataFrame:
+    vectors = table(spark, folder, "embeddings").select("vec_id", "embedding")
+    return hnsw.nearest(vectors, vectors.where("vec_id % 100 = 0"))

@@ -1,0 +1,128 @@
+from __future__ import annotations
+
+from collections import defaultdict
+
+import numpy as np
+import pytest
+from helpers import DATA
+
+from footfall.llm import hnsw, subspace_join
+from footfall.llm.queries import QUERIES
+
+ROWS = "vec_id long, embedding array<float>, label int"
+NAN, INF = float("nan"), float("inf")
+ODD = [(9001, None), (9002, []), (9003, [0.0] * 8), (9004, [1.0, None] + [0.0] * 6), (9005, [NAN] + [1.0] * 7), (9006, [INF] + [1.0] * 7), (None, [1.0] * 8)]
+
+
+def vectors(n=400, dim=8, seed=0, groups=40):
+    rng = np.random.default_rng(seed)
+    centres = rng.standard_normal((groups, dim))
+    x = centres[rng.integers(0, groups, n)] + 0.15 * rng.standard_normal((n, dim))
+    x[:30] = x[0]  # copies
+    x[30:40] = 2 * x[0]  # and the same direction
+    return x.astype(np.float32)
+
+
+def table(spark, x, extra=()):
+    rows = [(i, [float(c) for c in v], 1) for i, v in enumerate(x)] + [(i, v, 1) for i, v in extra]
+    return spark.createDataFrame(rows, ROWS)
+
+
+def brute_links(ids, x, cosine):
+    x = x.astype(np.float64)
+    x = x / np.linalg.norm(x, axis=1)[:, None]
+    link = x @ x.T >= cosine
+    np.fill_diagonal(link, False)
+    label = np.arange(len(ids))
+    while True:
+        low = np.array([min([label[i], *label[link[i]]]) for i in range(len(ids))])
+        if (low == label).all():
+            return {i: (int(link[n].sum()), ids[label[n]]) for n, i in enumerate(ids)}
+        label = low
+
+
+@pytest.mark.parametrize(("dim", "chunk", "cosine"), [(8, 8192, 0.9), (33, 60, 0.9), (50, 25, 0.7)])
+def test_links_against_brute_force(spark, dim, chunk, cosine):
+    x = vectors(dim=dim, seed=dim)
+    got = subspace_join.linked_vectors(table(spark, x), cosine, chunk=chunk).collect()
+    want = brute_links(list(range(len(x))), x, cosine)
+    assert {r.vec_id: (r.n_links, r.component_id) for r in got} == want
+    assert all(r.kept == (r.vec_id == r.component_id) for r in got)
+
+
+def test_links_of_odd_rows_lengths_and_repeats(spark):
+    x = vectors(60)
+    extra = [*ODD, (9100, [1.0, 2.0]), (9101, [2.0, 4.0]), (9102, [1.0, 2.0]), (9102, [1.0, 2.0]), (9200, [1e-30, 0.0]), (9201, [1e30, 0.0])]
+    got = defaultdict(list)
+    for r in subspace_join.linked_vectors(table(spark, x, extra)).collect():
+        got[r.vec_id].append((r.n_links, r.component_id, r.kept))
+    assert {i: got[i] for i, _ in ODD} == {i: [(0, i, True)] for i, _ in ODD}
+    assert got[9100] == [(2, 9100, True)] and got[9102] == [(2, 9100, False)] * 2 and got[9201] == [(1, 9200, False)]
+    empty = table(spark, x[:0])
+    assert subspace_join.linked_vectors(empty).count() == 0
+
+
+def test_link_query_over_a_whole_table(spark):
+    rows = spark.read.parquet(f"{DATA}/embeddings.parquet").orderBy("vec_id").collect()
+    want = brute_links([r.vec_id for r in rows], np.array([r.embedding for r in rows], np.float32), 0.9)
+    got = QUERIES["op8_embedding_dedup"](spark, DATA).collect()
+    assert {r.vec_id: (r.n_links, r.component_id) for r in got} == want
+
+
+def brute_nearest(ids, x, queries, k=10):
+    x, out = x.astype(np.float64), {}
+    for q in queries:
+        d = np.sqrt(((x - x[ids.index(q)]) ** 2).sum(axis=1))
+        out[q] = sorted((float(s), i) for s, i in zip(d, ids, strict=True) if i != q)[:k]
+    return out
+
+
+def recall(got, want):
+    return np.mean([len({i for _, i in got[q]} & {i for _, i in want[q]}) / len(want[q]) for q in want])
+
+
+def told(df):
+    out = defaultdict(list)
+    for r in df.orderBy("query_id", "rank").collect():
+        assert r.rank == len(out[r.query_id]) + 1
+        out[r.query_id].append((r.score, r.vec_id))
+    return out
+
+
+@pytest.mark.parametrize("shard", [4096, 90])
+def test_nearest_against_brute_force(spark, shard):
+    x = vectors(900, 24, 3)
+    df = table(spark, x, ODD)
+    got = told(hnsw.nearest(df, df.where("vec_id % 20 = 0"), shard=shard))
+    want = brute_nearest(list(range(len(x))), x, range(0, 900, 20))
+    assert set(got) == set(want) and recall(got, want) >= 0.95
+    for q, hits in got.items():
+        assert hits == sorted(hits) and len(hits) == 10
+        for score, i in hits:
+            assert score == pytest.approx(np.sqrt(((x[i].astype(float) - x[q].astype(float)) ** 2).sum()), abs=1e-12)
+    assert [i for _, i in got[0]] == list(range(1, 11))  # copies, by id
+
+
+@pytest.mark.parametrize("folder", [DATA, "/root/testdata/sf0.1"])
+def test_nearest_query_over_a_whole_table(spark, folder):
+    rows = spark.read.parquet(f"{folder}/embeddings.parquet").orderBy("vec_id").collect()
+    ids, x = [r.vec_id for r in rows], np.array([r.embedding for r in rows], np.float32)
+    got = told(QUERIES["op10_nearest"](spark, folder))
+    want = brute_nearest(ids, x, [i for i in ids if i % 100 == 0])
+    assert set(got) == set(want) and recall(got, want) >= 0.97
+
+
+def test_few_candidates_and_none(spark):
+    df = table(spark, vectors(4), [(4, [1.0, 0.0]), (100, [1.0] * 8), (100, [1.0] * 8)])
+    got = told(hnsw.nearest(df, df.where("vec_id % 4 = 0")))
+    assert {q: len(v) for q, v in got.items()} == {0: 4, 100: 4}
+    assert hnsw.nearest(df.limit(0), df).count() == 0 and hnsw.nearest(df, df.limit(0)).count() == 0
+
+
+def test_a_group_of_near_copies_is_reached():
+    rng = np.random.default_rng(7)
+    x = rng.standard_normal((1500, 16))
+    x[200:700] = x[200] + 0.01 * rng.standard_normal((500, 16))
+    graph = hnsw.Graph.build(x)
+    found = [len(set(graph.search(x[i], 10).tolist()) & set(np.argsort(((x - x[i]) ** 2).sum(axis=1))[:10].tolist())) for i in range(0, 1500, 25)]
+    assert np.mean(found) >= 9.5
