@@ -20,6 +20,8 @@ from footfall.sources.staging import stage
 WORD = r"[^\x20\x09-\x0D]+"
 #: Buckets that one level of the selection cuts a group into, and documents that a last bucket may hold on average.
 BUCKETS, LAST = 4096, 512
+#: Units on either side of the edge among which the nearest sum is looked for.
+WINDOW = 32
 #: Distinct sets of sources and sources that the flow accepts. They are names, whose number does not grow with the rows.
 MOST_GROUPS = 100_000
 
@@ -107,12 +109,34 @@ def _buckets(n: int) -> int:
     return 1 if n <= 8 * LAST else min(BUCKETS, 1 << (n // LAST).bit_length())
 
 
+def nearest_subset(sizes: list[int], need: float) -> list[bool]:
+    """Which of a few sizes add up nearest to ``need``, earlier ones first; sums are the bits of one number.
+
+    Beyond four million bits the sizes are rounded to a coarser unit.
+    """
+    unit = max(1, sum(sizes) >> 22)
+    steps = [round(s / unit) for s in sizes]
+    sums = [1]
+    for s in steps:
+        sums.append(sums[-1] | sums[-1] << s)
+    goal = min(max(0, round(need / unit)), sum(steps))
+    below = (sums[-1] & ((1 << goal + 1) - 1)).bit_length() - 1
+    more = sums[-1] >> goal
+    above = goal + (more & -more).bit_length() - 1
+    at = below if goal - below <= above - goal else above
+    taken = []
+    for s, before in zip(reversed(steps), reversed(sums[:-1]), strict=True):
+        taken.append(not before >> at & 1)
+        at -= s * taken[-1]
+    return taken[::-1]
+
+
 def select(units: DataFrame, need: DataFrame) -> DataFrame:
     """``group, place, size``: units (documents of one place) that add up to nearly ``need`` words of their group.
 
     Units stand in the order of a seeded hash (``place``). The first buckets of that order go in whole; only the bucket
-    where the need is met is looked at closer, cut again and again until it is small. There, units go in as long as they
-    fit, and one more if it brings the sum nearer.
+    where the need is met is looked at closer, cut again and again until it is small. There, the units around the edge are
+    chosen so that the sum comes nearest.
     """
     spark = units.sparkSession
     group = units.schema["group"].dataType.simpleString()
@@ -137,17 +161,12 @@ def select(units: DataFrame, need: DataFrame) -> DataFrame:
 
     def fit(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["place", "size"])
-        left, taken = float(rows["left"].iloc[0]), []
-        for words in rows["words"].tolist():
-            taken.append(words <= left)
-            left -= words * taken[-1]
-        rows = rows.assign(taken=taken)
-        more = rows[~rows["taken"]]
-        if len(more):
-            nearest = (more["words"] - left).abs().idxmin()
-            if abs(more.loc[nearest, "words"] - left) < left:
-                rows.loc[nearest, "taken"] = True
-        return rows.loc[rows["taken"], ["group", "place", "size"]]
+        left, words = float(rows["left"].iloc[0]), rows["words"].tolist()
+        edge = int((rows["words"].cumsum() <= left).sum())
+        low = max(0, edge - WINDOW)
+        taken = [True] * low + nearest_subset(words[low : edge + WINDOW], left - sum(words[:low]))
+        taken += [False] * (len(words) - len(taken))
+        return rows.loc[taken, ["group", "place", "size"]]
 
     last = rest.join(spark.createDataFrame([s[:2] for s in state], f"group {group}, left double"), "group")
     fitted = last.groupBy("group").applyInPandas(fit, f"group {group}, place long, size long")

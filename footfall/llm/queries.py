@@ -66,6 +66,9 @@ def op5_secrets(spark: SparkSession, folder: str) -> DataFrame:
     return secrets.find_secrets(table(spark, folder, "documents"))
 
 
+ORACLE["op5_secrets"] = secrets.ORACLE_SQL
+
+
 @query
 def op6_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")

@@ -19,9 +19,9 @@ ACCESS = r"AKIA[A-Z0-9]{14,}"
 HEX = r"[0-9a-f]{16,}"
 LEAST_VALUE = 12
 #: Weak parts: who signs in, what could be a key, and where it is used.
-LOGIN = r"""(?<![A-Za-z0-9_])(?:[Uu][Ss][Ee][Rr](?:[Nn][Aa][Mm][Ee]|_?[Ii][Dd])?|[Ll][Oo][Gg][Ii][Nn]|[Aa][Cc][Cc][Oo][Uu][Nn][Tt]|[Cc][Ll][Ii][Ee][Nn][Tt]_?[Ii][Dd])["']?\x20*[:=]\x20*["']?[A-Za-z0-9._@+-]{3,}"""
-RANDOM = r"(?<![A-Za-z0-9+/])[A-Za-z0-9+/]{32,}"
-ENDPOINT = r"""(?<![A-Za-z0-9])(?:https?|ftps?|sftp|ssh|ldaps?|jdbc:[a-z]+|postgres(?:ql)?|mysql|mongodb(?:\+srv)?|redis|amqps?|s3)://[^\x20\t\r\n"'<>]+"""
+LOGIN = r"""(?:[Uu][Ss][Ee][Rr](?:[Nn][Aa][Mm][Ee]|_?[Ii][Dd])?|[Ll][Oo][Gg][Ii][Nn]|[Aa][Cc][Cc][Oo][Uu][Nn][Tt]|[Cc][Ll][Ii][Ee][Nn][Tt]_?[Ii][Dd])["']?\x20*[:=]\x20*["']?[A-Za-z0-9._@+-]{3,}"""
+RANDOM = r"[A-Za-z0-9+/]{32,}"
+ENDPOINT = r"""(?:https?|ftps?|sftp|ssh|ldaps?|jdbc:[a-z]+|postgres(?:ql)?|mysql|mongodb(?:\+srv)?|redis|amqps?|s3)://[^\x20\t\r\n"'<>]+"""
 KINDS = ("assign", "access", "hex", "login", "random", "endpoint")
 #: Code points between two parts of one credential, at most.
 SCOPE = 300
@@ -141,3 +141,52 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text: str = "text", sc
         F.sha2(_join(base).cast("binary"), 256).alias("base_sha256"),
         _join(F.concat(base, F.coalesce("linked", none))).alias("spans"),
     )
+
+
+def _spans_sql(kind: str, pattern: str, group: int, where: str) -> str:
+    quoted = pattern.replace("'", "''")
+    return f"""
+  SELECT r, '{kind}' AS kind, {KINDS.index(kind)} AS k, start, start + length(m[i]) AS stop FROM (
+    SELECT r, m, v, i, (coalesce(list_sum(list_transform(pieces[1:i], x -> length(x))), 0)
+      + coalesce(list_sum(list_transform(m[1:i - 1], x -> length(x))), 0))::BIGINT AS start
+    FROM (SELECT r, pieces, m, v, unnest(range(1, len(m) + 1)) AS i
+      FROM (SELECT r, string_split_regex(s, '{quoted}') AS pieces, regexp_extract_all(s, '{quoted}', 0) AS m,
+        regexp_extract_all(s, '{quoted}', {group}) AS v FROM t)))
+  WHERE {where}"""
+
+
+ORACLE_SQL = (
+    "WITH t AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS s FROM documents),\nstrong AS ("
+    + " UNION ALL ".join(
+        [
+            _spans_sql("assign", ASSIGN, 2, f"length(v[i]) >= {LEAST_VALUE}"),
+            _spans_sql("access", r"AKIA[A-Z0-9]+", 0, "length(m[i]) >= 18"),
+            _spans_sql("hex", r"[0-9a-f]{16,}", 0, "true"),
+        ]
+    )
+    + "),\nweak AS ("
+    + " UNION ALL ".join(
+        [
+            _spans_sql("login", LOGIN, 0, "true"),
+            "SELECT * FROM ("
+            + _spans_sql("random", RANDOM, 0, "m[i] SIMILAR TO '.*[0-9].*' AND m[i] SIMILAR TO '.*[A-Z].*' AND m[i] SIMILAR TO '.*[a-z].*'")
+            + ") w WHERE NOT EXISTS (SELECT 1 FROM strong b WHERE b.r = w.r AND b.start < w.stop AND w.start < b.stop)",
+            _spans_sql("endpoint", ENDPOINT, 0, "true"),
+        ]
+    )
+    + f"""),
+parts AS (SELECT *, CASE WHEN kind IN ('access', 'login') THEN 'id' WHEN kind IN ('assign', 'random') THEN 'secret' ELSE kind END AS role
+  FROM (SELECT * FROM strong WHERE kind <> 'hex' UNION ALL SELECT * FROM weak)),
+linked AS (SELECT DISTINCT w.r, w.kind, w.k, w.start, w.stop FROM parts w JOIN parts o ON w.r = o.r AND w.role <> o.role
+  AND (w.role = 'secret' OR o.role = 'secret') AND o.start <= w.stop + {SCOPE} AND o.stop + {SCOPE} >= w.start WHERE w.k >= 3),
+told AS (SELECT r, true AS base, * EXCLUDE r FROM strong UNION ALL SELECT r, false, * EXCLUDE r FROM linked),
+per_row AS (SELECT r, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access,
+    count(*) FILTER (kind = 'hex') AS n_hex,
+    string_agg(concat(kind, ':', start, ':', stop), ',' ORDER BY start, k) FILTER (base) AS base,
+    string_agg(concat(kind, ':', start, ':', stop), ',' ORDER BY start, k) AS spans
+  FROM told GROUP BY r)
+SELECT doc_id, coalesce(n_assign, 0)::BIGINT AS n_assign, coalesce(n_access, 0)::BIGINT AS n_access, coalesce(n_hex, 0)::BIGINT AS n_hex,
+  sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM t LEFT JOIN per_row USING (r)
+"""
+)

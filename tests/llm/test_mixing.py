@@ -89,3 +89,14 @@ def test_odd_rows_and_empty_table(spark):
     assert got.count() == 8 and len({tuple(r) for r in got.where("doc_id = 5").select("taken", "times").collect()}) == 1
     assert got.where("doc_id in (1, 2, 3)").agg(F.sum("taken")).first()[0] == 0
     assert mixing.mix(docs.limit(0), "sources", "size").count() == 0
+
+
+def test_nearest_subset_against_all():
+    rng = random.Random(1)
+    for _ in range(200):
+        sizes, need = [rng.randint(0, 30) for _ in range(rng.randint(0, 8))], rng.uniform(-5, 120)
+        goal = round(min(max(need, 0), sum(sizes)))
+        best = min(abs(goal - sum(c)) for r in range(len(sizes) + 1) for c in itertools.combinations(sizes, r))
+        got = mixing.nearest_subset(sizes, need)
+        assert abs(goal - sum(s for s, t in zip(sizes, got, strict=True) if t)) == best
+    assert mixing.nearest_subset([10**9, 2 * 10**9, 5], 10**9) == [True, False, False]
