@@ -166,7 +166,7 @@ def digest(kept: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataF
 ORACLE_SQL = """
 WITH docs AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
 keyed AS (
-  SELECT doc_id, lines, list_transform(lines, x -> translate(
+  SELECT doc_id, lines, list_transform(lines, lambda x: translate(
     trim(x, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
     'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) AS keys
   FROM docs),
@@ -176,7 +176,7 @@ drops AS (SELECT f.doc_id, list(f.k) AS gone FROM flat f JOIN often o ON f.k = o
 kept AS (
   SELECT y.doc_id, len(lines) AS n_lines,
     CASE WHEN gone IS NULL THEN lines
-      ELSE list_transform(list_filter(list_zip(lines, keys), p -> NOT list_contains(gone, p[2])), p -> p[1]) END AS stay
+      ELSE list_transform(list_filter(list_zip(lines, keys), lambda p: NOT list_contains(gone, p[2])), lambda p: p[1]) END AS stay
   FROM keyed y LEFT JOIN drops USING (doc_id))
 SELECT doc_id, n_lines::BIGINT AS n_lines, (n_lines - len(stay))::BIGINT AS n_dropped,
   sha256(coalesce(array_to_string(stay, chr(10)), '')) AS kept_sha256

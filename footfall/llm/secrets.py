@@ -147,8 +147,8 @@ def _spans_sql(kind: str, pattern: str, group: int, where: str) -> str:
     quoted = pattern.replace("'", "''")
     return f"""
   SELECT r, '{kind}' AS kind, {KINDS.index(kind)} AS k, start, start + length(m[i]) AS stop FROM (
-    SELECT r, m, v, i, (coalesce(list_sum(list_transform(pieces[1:i], x -> length(x))), 0)
-      + coalesce(list_sum(list_transform(m[1:i - 1], x -> length(x))), 0))::BIGINT AS start
+    SELECT r, m, v, i, (coalesce(list_sum(list_transform(pieces[1:i], lambda x: length(x))), 0)
+      + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0))::BIGINT AS start
     FROM (SELECT r, pieces, m, v, unnest(range(1, len(m) + 1)) AS i
       FROM (SELECT r, string_split_regex(s, '{quoted}') AS pieces, regexp_extract_all(s, '{quoted}', 0) AS m,
         regexp_extract_all(s, '{quoted}', {group}) AS v FROM t)))

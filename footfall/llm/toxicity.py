@@ -189,12 +189,13 @@ def classify(docs: DataFrame, chain: Chain, keep: list[str], text: str = "text")
     weights = np.array(chain.weights).reshape(len(chain.categories), -1)
     names = [f"p_{c}" for c in chain.categories]
     keep = [c for c in keep if c not in names]
+    read = list(dict.fromkeys([*keep, text]))
 
     def make():
         features = Features(vocabulary)
 
         def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-            own = [sorted(features(t)) for t in texts(batch, "__text")]
+            own = [sorted(features(t)) for t in texts(batch, text)]
             size = np.fromiter(map(len, own), np.int64, len(own))
             flat = np.fromiter((i for one in own for i in one), np.int64, int(size.sum()))
             row = np.repeat(np.arange(len(own)), size)
@@ -210,4 +211,4 @@ def classify(docs: DataFrame, chain: Chain, keep: list[str], text: str = "text")
         return work
 
     shape = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
-    return map_slices(docs.select(*keep, F.col(text).alias("__text")), make, ", ".join([shape, *(f"{n} double" for n in names)]))
+    return map_slices(docs.select(*read), make, ", ".join([shape, *(f"{n} double" for n in names)]))
