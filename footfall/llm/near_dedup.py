@@ -80,7 +80,7 @@ def signature(shingles: np.ndarray, counts: np.ndarray, size: int) -> np.ndarray
         inside = counts > low
         if not inside.any():
             break
-        keys.append(mixed(shingles[inside] ^ mixed(np.array([level], U64))))
+        keys.append(mixed(shingles[inside] ^ mixed(np.array([0xA0761D6478BD642F + level], U64))))
         rates.append(np.full(len(keys[-1]), float(high - low)))
         rooms.append(np.minimum(counts[inside] - low, high - low) / (high - low))
         level, low = level + 1, high

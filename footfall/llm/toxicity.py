@@ -28,7 +28,9 @@ from footfall.sources.staging import stage
 #: Labelled rows to train on, at most; the first by a hash of their id.
 TRAINING_ROWS = 20_000
 #: Features of a category, training rows that hold one at least, lengths of word beginnings, folds, and regularisation.
-FEATURES, LEAST_ROWS, STARTS, FOLDS, PENALTY = 3_000, 3, (4, 5, 6), 4, 0.002
+FEATURES, LEAST_ROWS, STARTS, FOLDS, PENALTY = 3_000, 3, (4, 5, 6), 3, 0.002
+#: Weight of all positive training rows of a category against all others, rounds of a fit, and partitions it works on.
+BALANCE, ROUNDS, PARTITIONS = 0.5, 40, 4
 #: Words that a task remembers.
 CACHED = 500_000
 
@@ -142,7 +144,8 @@ def fit(docs: DataFrame, labels: DataFrame, categories: list[str], id_col: str =
     shape = "own array<string>, fold int, " + ", ".join(f"{c} double" for c in categories)
     counted = CountVectorizerModel.from_vocabulary(names, "own", "words")
     counted.setBinary(True)
-    data = stage(counted.transform(map_slices(rows, make, shape)).drop("own"), "training-features")
+    data = counted.transform(map_slices(rows, make, shape)).drop("own").repartition(PARTITIONS, "fold", *categories)
+    data = stage(data, "training-features")
     for i, category in enumerate(categories):
         inputs = ["words", *(f"__p{j}" for j in range(i))]
         assembled = VectorAssembler(inputCols=inputs, outputCol="__x").transform(data)
@@ -175,11 +178,14 @@ def _logit(share: float) -> float:
 
 def _linear(data: DataFrame, category: str):
     """A logistic regression, or None if the category is constant in the data."""
-    low, high = data.agg(F.min(category), F.max(category)).first()
-    if low is None or low == high:
+    positive, size = data.agg(F.sum(category), F.count("*")).first()
+    if not positive or positive == size:
         return None
-    model = LogisticRegression(featuresCol="__x", labelCol=category, regParam=PENALTY, standardization=False, maxIter=60)
-    return model.fit(data)
+    weight = F.when(F.col(category) > 0, BALANCE * (size - positive) / positive).otherwise(1.0)
+    model = LogisticRegression(
+        featuresCol="__x", labelCol=category, weightCol="__w", regParam=PENALTY, standardization=False, maxIter=ROUNDS
+    )
+    return model.fit(data.withColumn("__w", weight))
 
 
 def classify(docs: DataFrame, chain: Chain, keep: list[str], text: str = "text") -> DataFrame:

@@ -80,7 +80,7 @@ def test_against_brute_force(spark):
         rows += [(100 * g + 20, text), (100 * g + 21, text.upper()), (100 * g + 22, text + " .")]
         rows += [(100 * g + 30 + k, shared + " " + prose(7000 + 10 * g + k, 25)) for k in range(6)]  # a common passage
     random.Random(1).shuffle(rows)
-    rows += [(i, t) for i, t in odd_rows() if i != 5]
+    rows += [(None if i is None else 5000 + i, t) for i, t in odd_rows() if i != 5]
     assert told(near_duplicates(documents(spark, rows))) == brute(rows)
 
 
