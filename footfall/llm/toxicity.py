@@ -144,7 +144,7 @@ def fit(docs: DataFrame, labels: DataFrame, categories: list[str], id_col: str =
     shape = "own array<string>, fold int, " + ", ".join(f"{c} double" for c in categories)
     counted = CountVectorizerModel.from_vocabulary(names, "own", "words")
     counted.setBinary(True)
-    data = counted.transform(map_slices(rows, make, shape)).drop("own").repartition(PARTITIONS, "fold", *categories)
+    data = counted.transform(map_slices(rows, make, shape)).drop("own").repartition(PARTITIONS)
     data = stage(data, "training-features")
     for i, category in enumerate(categories):
         inputs = ["words", *(f"__p{j}" for j in range(i))]
