@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -42,65 +43,88 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U64(31))
 
 
+class Bags:
+    """The bags of many texts, flat: the text a shingle belongs to, its 64 bits and its count, by text and shingle."""
+
+    def __init__(self, of: np.ndarray, shingles: np.ndarray, counts: np.ndarray, n: int):
+        self.of, self.shingles, self.counts, self.n = of, shingles, counts, n
+        self.ends = np.searchsorted(of, np.arange(n + 1))
+
+    def __getitem__(self, i: int) -> tuple[np.ndarray, np.ndarray]:
+        own = slice(self.ends[i], self.ends[i + 1])
+        return self.shingles[own], self.counts[own]
+
+
 class Shingler:
-    """The bag of a text: 64-bit shingles and their counts. Words are runs of letters, digits and underscores in small
-    letters; a text of fewer than five words is one shingle, and one without words an empty bag."""
+    """Texts to bags. Words are runs of letters, digits and underscores in small letters; a text of fewer than five words
+    is one shingle, and one without words an empty bag."""
 
     def __init__(self, size: int = SHINGLE):
         self.size, self.words, self.hashes = size, re.compile(r"\w+").findall, {}
 
-    def __call__(self, text: str) -> tuple[np.ndarray, np.ndarray]:
-        words = self.words(text.lower())
+    def __call__(self, batch: list[str]) -> Bags:
+        split = [self.words(text.lower()) for text in batch]
         if len(self.hashes) > CACHED:
             self.hashes.clear()
-        hashes = self.hashes
-        for word in set(words).difference(hashes):
+        hashes, length = self.hashes, np.fromiter(map(len, split), np.int64, len(split))
+        for word in set(chain.from_iterable(split)).difference(hashes):
             hashes[word] = xxhash.xxh64_intdigest(word)
-        codes = np.fromiter(map(hashes.__getitem__, words), U64, len(words))
-        size = min(self.size, len(codes))
-        if not size:
-            return codes, np.zeros(0, np.int64)
-        rolled = np.zeros(len(codes) - size + 1, U64)
-        for i in range(size):
-            rolled = mixed(rolled ^ codes[i : len(codes) - size + 1 + i]) if i else codes[: len(rolled)].copy()
-        return np.unique(rolled, return_counts=True)
-
-
-def signature(shingles: np.ndarray, counts: np.ndarray, size: int) -> np.ndarray:
-    """The BagMinHash signature of a bag that is not empty: for every component the time of its earliest point.
+        codes = np.fromiter(map(hashes.__getitem__, chain.from_iterable(split)), U64, int(length.sum()))
+        # A shingle begins at every word that has enough words after it, and at the first of a short text.
+        begin = np.cumsum(length) - length
+        place = np.arange(len(codes)) - np.repeat(begin, length)
+        room = np.repeat(length, length) - place
+        starts = np.flatnonzero((room >= self.size) | (place == 0))
+        rolled, room = codes[starts], room[starts]
+        for i in range(1, self.size):
+            more = room > i
+            rolled[more] = mixed(rolled[more] ^ codes[starts[more] + i])
+        of = np.repeat(np.arange(len(split)), length)[starts]
+        order = np.lexsort((rolled, of))
+        of, rolled = of[order], rolled[order]
+        first = np.flatnonzero(np.r_[True, (of[1:] != of[:-1]) | (rolled[1:] != rolled[:-1])][: len(of)])
+        return Bags(of[first], rolled[first], np.diff(np.r_[first, len(of)]), len(split))
+
+
+def signature(bags: Bags, size: int) -> np.ndarray:
+    """The BagMinHash signatures of bags: for every component the time of its earliest point, infinite for empty bags.
 
     Weight w takes the pieces [0, 1), [1, 2), [2, 4), [4, 8) ... up to w. The process of a piece has its length as rate.
     The last piece may lie within the weight only in part; its points have places, halved again and again by the bits
-    of a hash, and those beyond the weight are left out.
+    of a hash, and those beyond the weight are left out. All processes make their next point together. One ends with its
+    first point beyond the time at which the components of its bag are very likely filled; a bag that is not is done
+    again with more time.
     """
-    keys, rates, rooms = [], [], []
+    keys, rates, rooms, owners = [], [], [], []
     level, low = 0, 0
-    while True:
+    while (inside := bags.counts > low).any():
         high = max(1, 2 * low)
-        inside = counts > low
-        if not inside.any():
-            break
-        keys.append(mixed(shingles[inside] ^ mixed(np.array([0xA0761D6478BD642F + level], U64))))
+        keys.append(mixed(bags.shingles[inside] ^ mixed(np.array([0xA0761D6478BD642F + level], U64))))
         rates.append(np.full(len(keys[-1]), float(high - low)))
-        rooms.append(np.minimum(counts[inside] - low, high - low) / (high - low))
+        rooms.append(np.minimum(bags.counts[inside] - low, high - low) / (high - low))
+        owners.append(bags.of[inside])
         level, low = level + 1, high
-    key, rate, room = np.concatenate(keys), np.concatenate(rates), np.concatenate(rooms)
-    weight, horizon = float(counts.sum()), np.log(size) + 4.0
-    while True:
-        best = np.full(size, np.inf)
-        limit, live, time, n = horizon / weight, np.arange(len(key)), np.zeros(len(key)), 0
+    best = np.full(bags.n * size, np.inf)
+    if not keys:
+        return best.reshape(bags.n, size)
+    key, rate, room, owner = map(np.concatenate, (keys, rates, rooms, owners))
+    weight, horizon = np.maximum(np.bincount(bags.of, bags.counts, bags.n), 1.0), np.log(size) + 3.0
+    redo = np.ones(bags.n, bool)
+    while redo.any():
+        limit, live, n = horizon / weight, np.flatnonzero(redo[owner]), 0
+        time = np.zeros(len(live))
         while len(live):
             n += 1
             bits = mixed(key[live] + U64(n * 0xD1342543DE82EF95 & 0xFFFFFFFFFFFFFFFF))
-            more = mixed(bits)
             time = time - np.log1p(-((bits >> U64(11)) * 2.0**-53)) / (rate[live] * size)
-            on = time <= limit
-            live, time, more = live[on], time[on], more[on]
+            on = time <= limit[owner[live]]
+            live, time, more = live[on], time[on], mixed(bits[on])
             counted = ((more >> U64(32)) * 2.0**-32) < room[live]
-            np.minimum.at(best, ((more & U64(0xFFFFFFFF)) % U64(size)).astype(np.int64)[counted], time[counted])
-        if np.isfinite(best).all():
-            return best
+            at = owner[live] * size + ((more & U64(0xFFFFFFFF)) % U64(size)).astype(np.int64)
+            np.minimum.at(best, at[counted], time[counted])
+        redo = ~np.isfinite(best.reshape(bags.n, size)).all(axis=1) & (np.diff(bags.ends) > 0)
         horizon += 6.0
+    return best.reshape(bags.n, size)
 
 
 def overlap(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> tuple[int, int]:
@@ -114,26 +138,21 @@ def signatures(docs: DataFrame, id_col: str, text: str, bands: int = BANDS, rows
     """``doc, f1, f2, bands``: a 128-bit fingerprint of the bag, and a key per band. Empty bags and null ids have no row."""
 
     def make():
-        bag_of = Shingler(shingle)
+        bags_of = Shingler(shingle)
 
         def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-            ids, prints, keys = [], [], []
-            for doc, t in zip(batch.column("doc").to_pylist(), texts(batch), strict=True):
-                shingles, counts = bag_of(t)
-                if not len(shingles):
-                    continue
-                weights = counts.astype(U64)
-                ids.append(doc)
-                prints.append([(mixed(shingles) * weights).sum(dtype=U64), (mixed(~shingles) * weights).sum(dtype=U64)])
-                own = signature(shingles, counts, bands * rows).view(U64).reshape(bands, rows)
-                key = np.arange(bands, dtype=U64)
-                for r in range(rows):
-                    key = mixed(key ^ own[:, r])
-                keys.append(key)
-            prints = np.array(prints, U64).reshape(-1, 2).view(np.int64)
-            flat = np.concatenate(keys).view(np.int64) if keys else np.zeros(0, np.int64)
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(ids) + 1) * bands, pa.int32()), pa.array(flat))
-            columns = [pa.array(ids, batch.column("doc").type), pa.array(prints[:, 0]), pa.array(prints[:, 1]), lists]
+            bags = bags_of(texts(batch))
+            full = np.flatnonzero(np.diff(bags.ends))
+            prints = []
+            for x in (bags.shingles, ~bags.shingles):
+                sums = np.cumsum(np.r_[U64(0), mixed(x) * bags.counts.astype(U64)], dtype=U64)  # modulo 2^64
+                prints.append((sums[bags.ends[1:]] - sums[bags.ends[:-1]])[full].view(np.int64))
+            own = signature(bags, bands * rows).view(U64).reshape(bags.n, bands, rows)[full]
+            key = np.tile(np.arange(bands, dtype=U64), (len(full), 1))
+            for r in range(rows):
+                key = mixed(key ^ own[:, :, r])
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(full) + 1) * bands, pa.int32()), pa.array(key.ravel().view(np.int64)))
+            columns = [batch.column("doc").take(pa.array(full)), pa.array(prints[0]), pa.array(prints[1]), lists]
             return pa.RecordBatch.from_arrays(columns, ["doc", "f1", "f2", "bands"])
 
         return work
@@ -148,14 +167,15 @@ def verified(pairs: DataFrame, named: DataFrame, similarity: float, shingle: int
     that its bag is made once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bag_of, last, bag = Shingler(shingle), None, None
+        bags_of = Shingler(shingle)
         for batch in batches:
             for piece in slices(batch):
-                good = []
-                for a, left, right in zip(piece.column("a").to_pylist(), texts(piece, "left"), texts(piece, "right"), strict=True):
-                    if a != last or bag is None:
-                        last, bag = a, bag_of(left)
-                    common, union = overlap(bag, bag_of(right))
+                a, left = piece.column("a").to_pylist(), texts(piece, "left")
+                fresh = [i for i in range(len(a)) if not i or a[i] != a[i - 1]]
+                place = np.cumsum([not i or a[i] != a[i - 1] for i in range(len(a))]) - 1
+                lefts, rights, good = bags_of([left[i] for i in fresh]), bags_of(texts(piece, "right")), []
+                for i in range(len(a)):
+                    common, union = overlap(lefts[place[i]], rights[i])
                     good.append(common >= similarity * union - 1e-9)
                 yield pa.RecordBatch.from_arrays([piece.column("a"), piece.column("b")], ["a", "b"]).filter(pa.array(good))
 

@@ -8,14 +8,15 @@ import pytest
 from helpers import documents, odd_rows, prose
 
 from footfall.llm.graph import components
-from footfall.llm.near_dedup import Shingler, mixed, near_duplicates, overlap, signature
+from footfall.llm.near_dedup import Bags, Shingler, mixed, near_duplicates, overlap, signature
 
 
 def bag(counts):
+    """One bag of the given counts."""
     keys = mixed(np.arange(len(counts), dtype=np.uint64))
-    order = np.argsort(keys)
-    counts = np.array(counts)
-    return keys[order][counts[order] > 0], counts[order][counts[order] > 0]
+    order, counts = np.argsort(keys), np.array(counts)
+    order = order[counts[order] > 0]
+    return Bags(np.zeros(len(order), np.int64), keys[order], counts[order], 1)
 
 
 def test_signatures_estimate_weighted_jaccard():
@@ -23,27 +24,32 @@ def test_signatures_estimate_weighted_jaccard():
     for low, high in ((0, 2), (0, 4), (1, 20)):
         x = rng.integers(low, high, 60)
         y = np.where(rng.random(60) < 0.3, rng.integers(low, high, 60), x)
-        common, union = overlap(bag(x), bag(y))
-        same = (signature(*bag(x), size) == signature(*bag(y), size)).mean()
+        common, union = overlap(bag(x)[0], bag(y)[0])
+        same = (signature(bag(x), size) == signature(bag(y), size)).mean()
         assert same == pytest.approx(common / union, abs=4 * np.sqrt(0.25 / size))
 
 
 def test_components_of_signatures_are_exponential():
-    times = signature(*bag([3, 1, 5, 7]), 20_000) * 16
+    times = signature(bag([3, 1, 5, 7]), 20_000)[0] * 16
     assert times.mean() == pytest.approx(1, abs=0.03) and np.median(times) == pytest.approx(np.log(2), abs=0.03)
 
 
-def test_one_shingle_and_repeated_shingles():
-    bag_of = Shingler()
-    for text in ("word", "Two words", "a b c d e", "x " * 500):
-        assert np.isfinite(signature(*bag_of(text), 120)).all()
-    assert len(bag_of("  ")[0]) == 0 and bag_of("x " * 500)[1].tolist() == [496]
-    assert overlap(bag_of("One two, THREE"), bag_of("one two three")) == (1, 1)
+def test_short_texts_repeated_shingles_and_batches():
+    bag_of, batch = Shingler(), ["word", "Two words", "", "a b c d e", "x " * 500, "  ", "a b c d e f"]
+    bags = bag_of(batch)
+    found = signature(bags, 120)
+    assert np.isfinite(found).all(axis=1).tolist() == [bool(t.strip()) for t in batch]
+    for i, text in enumerate(batch):  # a text's bag and signature do not depend on its batch
+        alone = bag_of([text])
+        assert all((x == y).all() for x, y in zip(bags[i], alone[0], strict=True)) and (signature(alone, 120)[0] == found[i]).all()
+    assert [len(bags[i][0]) for i in range(len(batch))] == [1, 1, 0, 1, 1, 0, 2] and bags[4][1].tolist() == [496]
+    assert overlap(bag_of(["One two, THREE"])[0], bag_of(["one two three"])[0]) == (1, 1)
+    assert bag_of([]).n == 0 and signature(bag_of([]), 8).shape == (0, 8)
 
 
 def brute(rows, similarity=0.8):
     bag_of = Shingler()
-    bags = [(i, bag_of(t or "")) for i, t in rows]
+    bags = [(i, bag_of([t or ""])[0]) for i, t in rows]
     parent = {i: i for i, _ in bags if i is not None}
 
     def root(i):
