@@ -28,11 +28,13 @@ from footfall.sources.staging import stage
 SHINGLE, SIMILARITY = 5, 0.8
 #: 24 bands of 5 components: a pair at similarity 0.8 is missed with probability 7e-5, one at 0.85 with 1e-6.
 BANDS, ROWS = 24, 5
-#: Members of a bucket that are compared with all others in the first round, and in later ones.
-HUBS = (2, 64)
+#: Members of a bucket that all others are compared with first, and members of a chunk of a large bucket.
+HUBS, CHUNK = 2, 2048
 #: Signatures that agree in fewer components than the similarity less this are not looked at closer. At similarity 0.8
-#: and 120 components that is seven standard deviations: one pair in 10^11 is lost.
-MARGIN = 0.25
+#: and 120 components that is five standard deviations: one pair in a million is lost.
+MARGIN = 0.18
+#: Ids that are broadcast at most, to pick their texts in the scan: 16 MB.
+SHORT_LIST = 1_000_000
 #: Words whose hash a task keeps.
 CACHED = 500_000
 U64 = np.uint64
@@ -156,7 +158,7 @@ def signatures(docs: DataFrame, id_col: str, text: str, bands: int = BANDS, rows
             for r in range(rows):
                 key = mixed(key ^ own[:, :, r])
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(full) + 1) * bands, pa.int32()), pa.array(key.ravel().view(np.int64)))
-            mini = pa.array([x.tobytes() for x in mixed(own.reshape(len(full), -1)).astype(np.uint16)], pa.binary())
+            mini = pa.array([x.tobytes() for x in mixed(own.reshape(len(full), bands * rows)).astype(np.uint16)], pa.binary())
             columns = [batch.column("doc").take(pa.array(full)), pa.array(prints[0]), pa.array(prints[1]), lists, mini]
             return pa.RecordBatch.from_arrays(columns, ["doc", "f1", "f2", "bands", "mini"])
 
@@ -183,6 +185,65 @@ def likely(pairs: DataFrame, minis: DataFrame, least: float) -> DataFrame:
     return both.select("a", "b", "x", "y").mapInArrow(run, f"a {kind}, b {kind}")
 
 
+def bucket_pairs(members: DataFrame, minis: DataFrame, least: float, chunk: int = CHUNK) -> DataFrame:
+    """``a, b``: members of one bucket and of different classes whose signatures agree in a share of at least ``least``.
+
+    ``members`` has ``key, rep, component``. Rows of a bucket come to one task one after the other; a bucket of more than
+    ``chunk`` members is cut, and every two of its chunks are a task's work. Only likely pairs leave a task.
+    """
+    sizes = members.groupBy("key").agg(F.ceil(F.count("*") / chunk).cast("int").alias("chunks"))
+    c = F.pmod(F.xxhash64("rep"), F.col("chunks")).cast("int")
+    others = F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda j: F.struct(F.least(j, "c").alias("i"), F.greatest(j, "c").alias("j"), (j < F.col("c")).alias("right")))
+    dealt = members.join(sizes, "key").withColumn("c", c).withColumn("t", F.explode(others)).select("key", "t.*", "rep", "component")
+    dealt = dealt.join(minis.select(F.col("doc").alias("rep"), "mini"), "rep")
+    dealt = dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "right", "rep")
+    kind = minis.schema["doc"].dataType.simpleString()
+
+    def likely_in(rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+        """Places of the likely pairs of one task's work."""
+        component = np.unique(rows.column("component").to_numpy(), return_inverse=True)[1]
+        if component.max() == 0:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        right, diagonal = rows.column("right").to_numpy(), rows.column("i")[0].as_py() == rows.column("j")[0].as_py()
+        mini = np.frombuffer(b"".join(rows.column("mini").to_pylist()), np.uint16).reshape(rows.num_rows, -1)
+        rest = np.arange(rows.num_rows) if diagonal else np.flatnonzero(right)
+        found = []
+        for i in range(rows.num_rows) if diagonal else np.flatnonzero(~right):
+            with_ = rest[rest > i] if diagonal else rest
+            with_ = with_[component[with_] != component[i]]
+            near = with_[(mini[with_] == mini[i]).mean(axis=1) >= least]
+            found.append((np.full(len(near), i), near))
+        return tuple(map(np.concatenate, zip(*found, strict=True)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: pa.Table | None = None
+        for batch in chain(batches, [None]):
+            table = held if batch is None else pa.Table.from_batches([*(held.to_batches() if held else []), batch])
+            if table is None or not table.num_rows:
+                continue
+            work = np.stack([table.column(k).to_numpy() for k in ("key", "i", "j")])
+            cuts = np.r_[0, np.flatnonzero((work[:, 1:] != work[:, :-1]).any(axis=0)) + 1, table.num_rows].tolist()
+            if batch is not None:  # the last group may go on
+                held = table.slice(cuts[-2])
+                cuts.pop()
+            for low, high in zip(cuts, cuts[1:]):
+                if high - low > 1:
+                    rows = table.slice(low, high - low).combine_chunks()
+                    x, y = likely_in(rows)
+                    if len(x):
+                        rep = rows.column("rep").to_numpy()
+                        x, y = rep[x], rep[y]
+                        yield pa.RecordBatch.from_pydict({"a": np.minimum(x, y), "b": np.maximum(x, y)})
+
+    return dealt.mapInArrow(run, f"a {kind}, b {kind}").distinct()
+
+
+def texts_of(named: DataFrame, ids: DataFrame) -> DataFrame:
+    """``doc, text`` of the given ``doc``; a short list of ids is broadcast, so that other texts do not move."""
+    few = ids.limit(SHORT_LIST + 1).count() <= SHORT_LIST
+    return named.join(F.broadcast(ids) if few else ids, "doc", "left_semi").groupBy("doc").agg(F.min("text").alias("text"))
+
+
 def verified(pairs: DataFrame, named: DataFrame, similarity: float, shingle: int) -> DataFrame:
     """Those of ``a, b`` whose bags are similar enough; ``named`` has ``doc, text``. Pairs of one ``a`` come together, so
     that its bag is made once."""
@@ -217,10 +278,9 @@ def near_duplicates(
 ) -> DataFrame:
     """``id, class_id, kept``: the smallest id that a document reaches over links of similarity, one row per document.
 
-    Every two documents of a bucket are compared unless they are known to be in one class: round by round, some members
-    of each bucket, those of its smallest classes first, are compared with all others of other classes, until the rest
-    of the bucket is of one class. A bucket of near copies closes after a round or two, and no pair within a class is
-    made. Signatures are compared first, and the bags of the texts decide.
+    First all members of a bucket are compared with two of them, so that a bucket of near copies becomes one class with
+    few pairs. Then every two members of a bucket that are in different classes are compared: by their signatures inside
+    the tasks, and by the bags of the texts where those are alike.
 
     Documents without words are classes of their own, and so are rows without an id, whose ``class_id`` is null and
     which are kept. Rows of one id are one document.
@@ -231,32 +291,25 @@ def near_duplicates(
     classes = stage(classes, "classes")
     keys = classes.select("rep", F.explode("bands").alias("key"))
     shared = keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
-    open_ = stage(keys.join(shared, "key"), "buckets")
-    named = docs.select(F.col(id_col).alias("doc"), F.col(text).alias("text")).where(F.col("doc").isNotNull())
-    label = docs.sparkSession.createDataFrame([], f"id {kind}, component {kind}")
-    links, hubs_of = None, HUBS[0]
+    members = stage(keys.join(shared, "key"), "buckets")
     minis = classes.groupBy(F.col("rep").alias("doc")).agg(F.min("mini").alias("mini"))
-    while open_.head(1):
-        known = open_.join(label, open_["rep"] == label["id"], "left")
-        known = stage(known.select("key", "rep", F.coalesce("component", "rep").alias("component")), "members")
-        sizes = known.groupBy("key", "component").agg(F.count("*").alias("size"))
-        place = F.row_number().over(Window.partitionBy("key").orderBy("size", "component", "rep"))
-        hubs = known.join(sizes, ["key", "component"]).withColumn("place", place).where(F.col("place") <= hubs_of)
-        hubs = stage(hubs.select("key", F.col("rep").alias("hub"), F.col("component").alias("hub_component")), "hubs")
-        met = known.join(hubs, "key").where(F.col("component") != F.col("hub_component"))
-        pairs = met.select(F.least("hub", "rep").alias("a"), F.greatest("hub", "rep").alias("b")).distinct()
-        pairs = stage(likely(pairs, minis, similarity - MARGIN), "pairs")
-        hubs_of = HUBS[1]
-        needed = pairs.select(F.col("a").alias("doc")).union(pairs.select("b")).distinct()
-        held = stage(named.join(needed, "doc", "left_semi").groupBy("doc").agg(F.min("text").alias("text")), "pair-texts")
-        new = stage(verified(pairs, held, similarity, shingle), "verified")
-        if new.head(1):
-            links = new if links is None else links.unionByName(new)
-            label = stage(components(links), "labels")
-        rest = open_.join(hubs.select("key", F.col("hub").alias("rep")), ["key", "rep"], "left_anti")
-        rest = rest.join(label, rest["rep"] == label["id"], "left").select("key", "rep", F.coalesce("component", "rep").alias("component"))
-        mixed_keys = rest.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high")
-        open_ = stage(rest.join(mixed_keys.select("key"), "key").select("key", "rep"), "buckets")
+    named = docs.select(F.col(id_col).alias("doc"), F.col(text).alias("text")).where(F.col("doc").isNotNull())
+
+    def links_of(pairs: DataFrame) -> DataFrame:
+        pairs = stage(pairs, "pairs")
+        needed = stage(pairs.select(F.col("a").alias("doc")).union(pairs.select("b")).distinct(), "pair-ids")
+        return stage(verified(pairs, stage(texts_of(named, needed), "pair-texts"), similarity, shingle), "links")
+
+    place = F.row_number().over(Window.partitionBy("key").orderBy("rep"))
+    hubs = members.withColumn("place", place).where(F.col("place") <= HUBS).select("key", F.col("rep").alias("a"))
+    stars = members.join(hubs, "key").where("a < rep").select("a", F.col("rep").alias("b")).distinct()
+    links = links_of(likely(stars, minis, similarity - MARGIN))
+    label = stage(components(links), "labels")
+    known = members.join(label, F.col("rep") == F.col("id"), "left").select("key", "rep", F.coalesce("component", "rep").alias("component"))
+    several = known.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high")
+    open_ = stage(known.join(several.select("key"), "key", "left_semi"), "open-buckets")
+    more = links_of(bucket_pairs(open_, minis, similarity - MARGIN))
+    label = stage(components(links.unionByName(more)), "labels")
     member = sketch.select("doc", "f1", "f2").join(classes.select("f1", "f2", "rep"), ["f1", "f2"])
     member = member.join(label, F.col("rep") == F.col("id"), "left").select("doc", F.coalesce("component", "rep").alias("class"))
     member = member.groupBy("doc").agg(F.min("class").alias("class"))
