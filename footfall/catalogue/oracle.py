@@ -339,7 +339,7 @@ _PLAIN: dict[str, str] = {
         from (select city, imei, dayno, [{', '.join(CATS)}] as mix from wide)) group by all""",
     "daily_topic_share_totals": "select distinct city, dayno, cast(1 as double) as total from wide",
     "topic_calendar_days": "select city, imei, count(*) as days from wide group by all",
-    "kmodes_fixed_point": "select count(*) as people, cast(0 as bigint) as wrong_modes, cast(0 as bigint) as wrong_cost from active",
+    "kmodes_fixed_point": "select count(*) as people, cast(0 as bigint) as wrong_modes, cast(0 as bigint) as wrong_cost, true as converged from active",
     "seed_filter": "select * from seeds",
     "negative_sample": """select id, text from (select doc_id as id, text, row_number() over
         (order by md5(cast(doc_id as varchar)), doc_id) as rn from documents where doc_id not in (select id from seeds))
@@ -380,3 +380,16 @@ ORACLE["word_counts_without_stop_words"] = _with(
 ORACLE["segmented_lines"] = _with("select word, count(*) as n from said group by word").replace(
     VIEWS["texts"], "select doc_id as id, text, 0 as quality from documents"
 )
+
+_CHINESE = "text"
+for _syllable, _chinese in vw.CHINESE.items():
+    _CHINESE = f"replace({_CHINESE}, '{_syllable}', '{_chinese}')"
+ORACLE["cjk_pair_counts"] = _with(
+    """select piece as word, count(*) as n from (select unnest(case when regexp_full_match(word, '[\u4e00-\u9fff]{3,}')
+    then list_transform(range(1, length(word)), lambda i: substr(word, i, 2)) else [word] end) as piece from said) """
+    + f"where piece not in ({_quoted(vw.CJK_STOP_WORDS)}) group by piece"
+).replace(VIEWS["texts"], f"select doc_id as id, {_CHINESE} as text, 0 as quality from documents")
+ORACLE["top_words"] = ORACLE["segmented_lines"] + " order by n desc, word limit 100"
+ORACLE["study_days"] = _with(
+    "select d as dayno, (select count(*) from all_use u where u.dayno = d) as n from (select unnest(range(20240101, 20240116)) as d)"
+)

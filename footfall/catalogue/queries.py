@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from footfall.catalogue import views as vw
 from footfall.catalogue.views import Views
+from footfall.functions import calendar
 from footfall.functions import text as tx
 from footfall.operators import (
     activity,
@@ -27,6 +28,7 @@ from footfall.operators import (
     topics,
 )
 from footfall.plans import ad_effect
+from footfall.plans.keyword_expansion import segmented
 from footfall.sources import readers, writers
 from footfall.sources.staging import stage, staging_path
 
@@ -109,7 +111,7 @@ def portrait_counts(v: Views) -> DataFrame:
 
 @query
 def portrait_onehot(v: Views) -> DataFrame:
-    return portrait.portrait_indicators(_cohort(v, v.browsers), portrait_buckets(v))
+    return portrait.portrait_indicators(_people(v), portrait_buckets(v))
 
 
 # --- conversions by period
@@ -117,7 +119,7 @@ def portrait_onehot(v: Views) -> DataFrame:
 
 @query
 def installs_by_period(v: Views) -> DataFrame:
-    return facts.installs_by_period(_cohort(v, v.browsers), v.installs, vw.CAMPAIGN)
+    return facts.installs_by_period(_people(v), v.installs, vw.CAMPAIGN)
 
 
 def _use(v: Views, people: DataFrame) -> DataFrame:
@@ -126,17 +128,17 @@ def _use(v: Views, people: DataFrame) -> DataFrame:
 
 @query
 def use_by_period(v: Views) -> DataFrame:
-    return rounded(_use(v, _cohort(v, v.browsers)), "duration")
+    return rounded(_use(v, _people(v)), "duration")
 
 
 @query
 def pay_by_period(v: Views) -> DataFrame:
-    return facts.pay_by_period(_cohort(v, v.browsers), v.pay, vw.CAMPAIGN)
+    return facts.pay_by_period(_people(v), v.pay, vw.CAMPAIGN)
 
 
 @query
 def click_flags(v: Views) -> DataFrame:
-    return facts.click_flags(_cohort(v, v.browsers), v.clicks, vw.CAMPAIGN)
+    return facts.click_flags(_people(v), v.clicks, vw.CAMPAIGN)
 
 
 @query
@@ -152,13 +154,13 @@ def search_by_period_regex(v: Views) -> DataFrame:
 @query
 def use_panel(v: Views) -> DataFrame:
     folded = facts.use_folded(v.app_use, vw.CAMPAIGN)
-    return rounded(facts.period_panel(_cohort(v, v.browsers), folded, vw.CAMPAIGN), "sum_data")
+    return rounded(facts.period_panel(_people(v), folded, vw.CAMPAIGN), "sum_data")
 
 
 @query
 def install_panel(v: Views) -> DataFrame:
     folded = facts.installs_folded(v.installs, vw.CAMPAIGN)
-    return facts.period_panel(_cohort(v, v.browsers), folded, vw.CAMPAIGN)
+    return facts.period_panel(_people(v), folded, vw.CAMPAIGN)
 
 
 @query
@@ -241,7 +243,7 @@ def ols_normal_equations(v: Views) -> DataFrame:
 
 
 def _strata(v: Views, keys: list[str]) -> DataFrame:
-    return did.strata(_use(v, _cohort(v, v.browsers)), portrait_buckets(v), keys, vw.CAMPAIGN)
+    return did.strata(_use(v, _people(v)), portrait_buckets(v), keys, vw.CAMPAIGN)
 
 
 def _did(v: Views, keys: list[str]) -> DataFrame:
@@ -280,6 +282,11 @@ def _active(v: Views) -> DataFrame:
     return activity.active_people(portrait_buckets(v), v.all_use, vw.WEEKS, vw.WEEKLY_TIME)
 
 
+def _steady(v: Views) -> DataFrame:
+    """The active people as a written table, by which facts are filtered before they are folded."""
+    return stage(_active(v), "active_people")
+
+
 @query
 def weekly_use_time(v: Views) -> DataFrame:
     return rounded(activity.weekly_use_time(portrait_buckets(v), v.all_use, vw.WEEKS, vw.WEEKLY_TIME), "sumtime")
@@ -292,11 +299,11 @@ def active_people(v: Views) -> DataFrame:
 
 @query
 def active_use(v: Views) -> DataFrame:
-    return activity.active_use(stage(_active(v), "active_people"), v.all_use, vw.USE_DAYS)
+    return activity.active_use(_steady(v), v.all_use, vw.USE_DAYS)
 
 
 def _packages(v: Views) -> DataFrame:
-    return activity.package_day_totals(_active(v), v.all_use, vw.USE_DAYS)
+    return activity.package_day_totals(_steady(v), v.all_use, vw.USE_DAYS)
 
 
 @query
@@ -311,17 +318,17 @@ def app_day_totals(v: Views) -> DataFrame:
 
 @query
 def daily_places(v: Views) -> DataFrame:
-    return places.daily_places(_active(v), portrait_buckets(v), v.places, vw.USE_DAYS)
+    return places.daily_places(_steady(v), portrait_buckets(v), v.places, vw.USE_DAYS)
 
 
 @query
 def weekly_places(v: Views) -> DataFrame:
-    return places.weekly_places(_active(v), portrait_buckets(v), v.places, vw.WEEKS)
+    return places.weekly_places(_steady(v), portrait_buckets(v), v.places, vw.WEEKS)
 
 
 @query
 def weekly_places_rank(v: Views) -> DataFrame:
-    return places.ranked_places(weekly_places(v))
+    return places.ranked_places(stage(weekly_places(v), "weekly_places"))
 
 
 # --- category features, topics and clusters
@@ -347,17 +354,17 @@ def user_day_keys(v: Views) -> DataFrame:
     return features.from_day_key(keyed)
 
 
-def _sample(v: Views) -> DataFrame:
-    return stage(features.user_sample(_active(v)), "user_sample")
+def _users(v: Views) -> DataFrame:
+    return stage(_active(v).select("city", "imei"), "active_users")
 
 
 @query
 def user_day_categories(v: Views) -> DataFrame:
-    return rounded(features.category_time_by_day(_sample(v), v.all_use, v.categories), "sumtime")
+    return rounded(features.category_time_by_day(_users(v), v.all_use, v.categories), "sumtime")
 
 
 def _wide(v: Views) -> DataFrame:
-    return features.category_wide(_sample(v), v.all_use, v.categories, vw.CATEGORIES)
+    return features.category_wide(_users(v), v.all_use, v.categories, vw.CATEGORIES)
 
 
 @query
@@ -375,7 +382,7 @@ def user_day_scaled(v: Views) -> DataFrame:
 
 
 def _training(v: Views) -> DataFrame:
-    return topics.training_rows(_scaled(v), vw.CATEGORIES, v.spark.sparkContext.defaultParallelism)
+    return topics.training_rows(_scaled(v), vw.CATEGORIES, vw.LDA_PARTITIONS)
 
 
 @query
@@ -508,6 +515,29 @@ def word_counts_without_stop_words(v: Views) -> DataFrame:
     return keywords.without_stop_words(counts, readers.read_lines(v.spark, path, encoding="GB18030"))
 
 
+@query
+def cjk_pair_counts(v: Views) -> DataFrame:
+    """Words of texts in which some syllables are Chinese: runs become pairs, and stop words go."""
+    text = F.col("text")
+    for syllable, chinese in vw.CHINESE.items():
+        text = F.replace(text, F.lit(syllable), F.lit(chinese))
+    return keywords.word_counts(v.ad_text.select(text.alias("text")), segmented(F.col("text"), vw.CJK_STOP_WORDS))
+
+
+@query
+def top_words(v: Views) -> DataFrame:
+    """The hundred most frequent words, the most frequent first."""
+    return keywords.word_counts(v.ad_text, _words()).orderBy(F.desc("n"), "word").limit(100)
+
+
+@query
+def study_days(v: Views) -> DataFrame:
+    """Use per day of the first half of the study, over the list of its days."""
+    days = calendar.day_range(v.spark, 20240101, 20240115)
+    used = v.all_use.groupBy("dayno").agg(F.count("*").alias("n"))
+    return days.join(used, "dayno", "left").select("dayno", F.coalesce("n", F.lit(0)).alias("n"))
+
+
 @query
 def word_mi(v: Views) -> DataFrame:
     counts = keywords.class_word_counts(v.labelled_text, _words(), F.col("quality") == 0)
@@ -556,7 +586,7 @@ def ad_text_csv(v: Views) -> DataFrame:
     """Whole texts, line breaks included, through a CSV file."""
     path = staging_path(v.spark, "ad_text")
     writers.write_csv(v.ad_text, path)
-    return readers.read_ad_texts(v.spark, path).select(F.col("id").cast("long").alias("id"), "text")
+    return readers.read_ad_texts(v.spark, path, multi_line=True).select(F.col("id").cast("long").alias("id"), "text")
 
 
 @query
@@ -572,6 +602,6 @@ def flagship(spark: SparkSession, folder: str, min_exposure: int = 1000) -> Data
     """From ad exposures to the effect of every app by strata of gender and city level, end to end."""
     v = Views(spark, folder)
     tables = ad_effect.AdTables(v.ads, v.exposures, v.app_use, v.browsers, v.people, v.city_level)
-    settings = ad_effect.AdSettings(vw.SNAPSHOT, vw.SNAPSHOT, vw.AD_DAYS, vw.USE_DAYS, vw.CAMPAIGN, min_exposure)
+    settings = ad_effect.AdSettings(vw.SNAPSHOT, vw.SNAPSHOT, vw.AD_DAYS, vw.AD_DAYS, vw.USE_DAYS, vw.CAMPAIGN, min_exposure)
     people = ad_effect.analysis_people(tables, settings)
     return ad_effect.effect_by_strata(tables, settings, people, ["base_gender", "city_level"])

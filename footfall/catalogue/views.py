@@ -19,6 +19,7 @@ WEEKLY_TIME = 300.0
 MIN_EXPOSURE = 10000
 DAYS = list(range(20240101, 20240131))
 CATEGORIES = [f"cat{i}" for i in range(1, 37)]
+LDA_PARTITIONS = 8
 SEED_WORDS = ("thble", "thtion", "attion", "nicht")
 ANY_WORDS = ("thble", "attion", "nicht")
 PAIR_WORDS = (
@@ -26,6 +27,8 @@ PAIR_WORDS = (
     "retion", "thanedble", "onble", "aning", "reing", "heble", "nicht", "ining", "anble", "ention", "inble", "edtion",
     "hation",
 )
+CHINESE = {"ation": "招聘", "tion": "岗位", "ung": "薪"}
+CJK_STOP_WORDS = ["岗位", "the", "位"]
 CITY_LEVELS = [
     ("AUTOMOBILE", "1"),
     ("BUILDING", "new1"),

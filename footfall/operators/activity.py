@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from footfall.functions.calendar import Weeks
-from footfall.operators.joins import salted_join, split_hot_keys
+from footfall.operators.joins import of_users, salted_join, split_hot_keys
 
 
 def weekly_use_time(people: DataFrame, use: DataFrame, weeks: Weeks, threshold: float) -> DataFrame:
@@ -39,13 +39,13 @@ def active_use(active: DataFrame, use: DataFrame, days: tuple[int, int]) -> Data
     """Use rows of active users in a half-open day range, with their city."""
     rows = use.where((F.col("dayno") >= days[0]) & (F.col("dayno") < days[1]))
     who = active.select("imei", "city").distinct()
-    return split_hot_keys(rows, who, ["imei"])
+    return split_hot_keys(of_users(rows, active), who, ["imei"])
 
 
 def package_day_totals(active: DataFrame, use: DataFrame, days: tuple[int, int]) -> DataFrame:
     """Time and users per city, package and day; use is folded per user first, so users are plain counts."""
     per_user = (
-        use.where((F.col("dayno") >= days[0]) & (F.col("dayno") < days[1]))
+        of_users(use.where((F.col("dayno") >= days[0]) & (F.col("dayno") < days[1])), active)
         .groupBy("imei", "pack_name", "dayno")
         .agg(F.sum("duration").alias("duration"))
     )

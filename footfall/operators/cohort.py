@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from footfall.operators.ranking import PREFIX, first_by_hash, md5_key, numbered
+from footfall.sources.staging import stage
 
 PAIR = ["imei", "appname"]
 BLOCK = 4096  # neighbouring users on the ring that are joined and sorted together
@@ -47,10 +48,11 @@ def unexposed_controls(population: DataFrame, exposed: DataFrame, sizes: DataFra
     app meets only that many users instead of the whole population.
     """
     users = population.select("imei").distinct().withColumn("_md5", md5_key("imei"))
+    users = stage(users, "ring_users")
     ring = numbered(
         users, [], {"_bucket": F.substring("_md5", 1, PREFIX + 1)}, [F.col("_md5"), F.col("imei")], "_pos"
     ).select("imei", (F.col("_pos") - 1).alias("pos"))
-    size = population.select("imei").distinct().agg(F.count("*")).scalar()
+    size = F.lit(users.count())
 
     seen = exposed.select(*PAIR).distinct()
     reach = (
@@ -84,10 +86,17 @@ def unexposed_controls(population: DataFrame, exposed: DataFrame, sizes: DataFra
 
 
 def matched_cohort(exposed: DataFrame, use: DataFrame, population: DataFrame, days: tuple[int, int]) -> DataFrame:
-    """Per app: exposed users with use, as many without, and as many unexposed users as both together."""
-    active = active_exposed(exposed, use, days)
-    sizes = cohort_sizes(exposed, active)
+    """Per app: exposed users with use, as many without, and as many unexposed users as both together.
+
+    ``exposed`` has every pair once. What several steps read (pairs with use, the active side, the sizes, the ring of
+    users) is written once.
+    """
+    pairs = stage(active_pairs(use, days), "active_pairs")
+    exposed = exposed.select(*PAIR)
+    active = stage(exposed.join(pairs, PAIR, "left_semi"), "active_exposed")
+    sizes = stage(cohort_sizes(exposed, active), "cohort_sizes")
     quota = sizes.select("appname", F.col("n_active").alias("quota"))
-    treated = active.unionByName(inactive_exposed(exposed, use, days, quota))
+    idle = first_by_hash(exposed.join(pairs, PAIR, "left_anti"), ["appname"], PAIR, quota).select(*PAIR)
+    treated = active.unionByName(idle)
     controls = unexposed_controls(population, exposed, sizes)
     return treated.withColumn("is_expose", F.lit(1)).unionByName(controls.withColumn("is_expose", F.lit(0)))

@@ -19,8 +19,8 @@ def category_list(categories: DataFrame) -> list[str]:
     return [r[0] for r in categories.select("newcat").distinct().orderBy("newcat").collect()]
 
 
-def user_sample(active: DataFrame, n: int = 10000) -> DataFrame:
-    """Up to ``n`` active users of every city."""
+def user_sample(active: DataFrame, n: int) -> DataFrame:
+    """Up to ``n`` active users of every city. Nothing else samples: features and models take every user given."""
     return first_by_hash(active.select("city", "imei").distinct(), ["city"], ["imei"], n).select("city", "imei")
 
 
@@ -43,28 +43,30 @@ def from_day_key(df: DataFrame) -> DataFrame:
     return df.withColumns({"imei_number": parts["imei_number"].cast("long"), "dayno": parts["dayno"].cast("int")})
 
 
-def _category_rows(sample: DataFrame, use: DataFrame, categories: DataFrame) -> DataFrame:
-    mine = salted_join(use, sample.select("imei", "city"), ["imei"], spread_by=["dayno", "pack_name"])
+def _category_rows(users: DataFrame, use: DataFrame, categories: DataFrame) -> DataFrame:
+    mine = salted_join(use, users.select("imei", "city"), ["imei"], spread_by=["dayno", "pack_name"])
     per_package = mine.groupBy(*USER_DAY, "pack_name").agg(F.sum("duration").alias("duration"))
     lookup = categories.select("pack_name", "newcat").distinct()
     return salted_join(per_package, lookup, ["pack_name"], spread_by=["imei", "dayno"])
 
 
-def category_time_by_day(sample: DataFrame, use: DataFrame, categories: DataFrame) -> DataFrame:
+def category_time_by_day(users: DataFrame, use: DataFrame, categories: DataFrame) -> DataFrame:
     """Time per user, day and category."""
-    rows = _category_rows(sample, use, categories)
+    rows = _category_rows(users, use, categories)
     return rows.groupBy(*USER_DAY, "newcat").agg(F.sum("duration").alias("sumtime"))
 
 
-def category_wide(sample: DataFrame, use: DataFrame, categories: DataFrame, names: list[str]) -> DataFrame:
+def category_wide(users: DataFrame, use: DataFrame, categories: DataFrame, names: list[str]) -> DataFrame:
     """One row per user-day and one column per category, zero-filled.
 
     Rows are moved to their user while they are narrow (a user has at most days x packages of them); the wide
     rows and the user's means then need no further shuffle. Names become positions in the lookup, so that the
-    facts compare numbers.
+    facts compare numbers. A category of the lookup that is not among the names raises, as its time would vanish.
     """
-    position = F.array_position(F.array(*map(F.lit, names)), F.col("newcat")).cast("int")
-    rows = _category_rows(sample, use, categories.withColumn("newcat", position)).repartition("imei")
+    place = F.array_position(F.array(*map(F.lit, names)), F.col("newcat"))
+    unknown = F.raise_error(F.concat(F.lit("category without a column: "), F.col("newcat")))
+    position = F.when(place == 0, unknown.cast("long")).otherwise(place).cast("int")
+    rows = _category_rows(users, use, categories.withColumn("newcat", position)).repartition("imei")
     cells = [
         zero_if_null(F.sum(F.when(F.col("newcat") == i, F.col("duration")))).alias(c) for i, c in enumerate(names, 1)
     ]

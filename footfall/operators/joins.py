@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 N_SALTS = 8
+SHORT_LIST = 1_000_000  # ids that are broadcast at most: some 30 MB
 ROWS_PER_TASK = 2_000_000
 
 
@@ -29,6 +30,17 @@ def salted_join(
     return left.join(right, [*on, "_salt"], how).drop("_salt")
 
 
+def of_users(facts: DataFrame, users: DataFrame) -> DataFrame:
+    """Facts of the given users, filtered where they are read if the list of users is short enough to be broadcast.
+
+    A longer list leaves the facts as they are: it costs less to fold them first and to join the folded rows, which every
+    caller does anyway. ``users`` is a written table, as it is counted here.
+    """
+    if users.limit(SHORT_LIST + 1).count() > SHORT_LIST:
+        return facts
+    return facts.join(F.broadcast(users.select("imei").distinct()), "imei", "left_semi")
+
+
 def split_hot_keys(
     facts: DataFrame,
     lookup: DataFrame,
@@ -41,14 +53,14 @@ def split_hot_keys(
 
     Rows per key come from ``counts`` (the key and ``n_rows``) or from a first pass over the key column. A
     key with n rows gets n / rows_per_task parts, its facts are dealt to them by the hash of the whole row,
-    and only its lookup rows are repeated. The list of hot keys is broadcast: it cannot be longer than
-    rows / rows_per_task. Exact copies of one row share a part; where those alone are too many, the skew join of
+    and only its lookup rows are repeated. The list of hot keys has rows / rows_per_task entries at most; Spark
+    broadcasts it while it is small. Exact copies of one row share a part; where those alone are too many, the skew join of
     adaptive execution divides the part further, as every caller shuffles again or writes after the join.
     """
     if counts is None:
         counts = facts.groupBy(*on).agg(F.count("*").alias("n_rows"))
     parts = F.ceil(F.col("n_rows") / rows_per_task).cast("int").alias("_parts")
-    hot = F.broadcast(counts.where(F.col("n_rows") > rows_per_task).select(*on, parts))
+    hot = counts.where(F.col("n_rows") > rows_per_task).select(*on, parts)
     n_parts = F.coalesce("_parts", F.lit(1))
     left = facts.join(hot, on, "left").withColumn("_salt", F.pmod(F.xxhash64(*facts.columns), n_parts).cast("int"))
     right = lookup.join(hot, on, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), n_parts - 1)))

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from footfall.functions import text as tx
 from footfall.functions.numeric import half_entropy_cell
-from footfall.operators.ranking import first_by_hash
+from footfall.operators.ranking import first_by_hash, md5_key
+from footfall.sources.staging import stage
 
 # The words of the original search for job ads.
 SEED_WORDS = ("招聘", "岗位", "待遇", "薪资")
@@ -27,12 +28,14 @@ def seed_filter(ads: DataFrame, words: tuple[str, ...] | list[str] = SEED_WORDS)
 def negative_sample(ads: DataFrame, matched: DataFrame, verified: DataFrame, ratio: int = NEGATIVE_RATIO) -> DataFrame:
     """``ratio`` negative ads per verified positive one, drawn by id from the ads the seed words did not match.
 
-    Only ids are shuffled to draw; texts join once the ids are known.
+    Only ids are shuffled to draw. The sample is the start of the md5 order, so the largest hash in it keeps the texts of
+    other ads in the scan, and the few left join the ids.
     """
     others = ads.select("id").distinct().join(matched.select("id"), "id", "left_anti")
     quota = verified.select("id").distinct().agg((F.count("*") * ratio).alias("quota"))
-    sample = first_by_hash(others, [], ["id"], quota).select("id")
-    return ads.join(sample, "id", "left_semi")
+    sample = stage(first_by_hash(others, [], ["id"], quota).select("id"), "negative_ids")
+    last = sample.agg(F.max(md5_key("id"))).scalar()
+    return ads.where(md5_key("id") <= last).join(sample, "id", "left_semi")
 
 
 def word_counts(texts: DataFrame, words: Column, by: list[str] | None = None) -> DataFrame:

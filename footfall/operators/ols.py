@@ -14,10 +14,11 @@ from footfall.operators.joins import salted_join
 TOLERANCE = 1e-9
 FLUSH_GROUPS = 1024  # partial matrices a task holds before it hands them on
 
-RESULT = (
-    "{group} string, term string, c1 double, se1 double, c2 double, se2 double, "
-    "r2_1 double, r2_2 double, n long, aliased boolean"
-)
+
+def result_columns(n_responses: int) -> list[str]:
+    """Coefficient and standard error of every response, then the R2 of every response."""
+    numbers = range(1, n_responses + 1)
+    return [c for i in numbers for c in (f"c{i}", f"se{i}")] + [f"r2_{i}" for i in numbers]
 
 
 def _partial_products(group: str, columns: list[str]):
@@ -82,26 +83,15 @@ def _solve_group(group: str, predictors: list[str], n_columns: int):
         full[upper] = pdf.sort_values("pos")["x"].to_numpy()
         full = full + np.triu(full, 1).T
         coef, se, r2, aliased = solve(full, len(terms))
-        return pd.DataFrame(
-            {
-                group: pdf[group].iloc[0],
-                "term": terms,
-                "c1": coef[0],
-                "se1": se[0],
-                "c2": coef[1],
-                "se2": se[1],
-                "r2_1": r2[0],
-                "r2_2": r2[1],
-                "n": int(round(full[0, 0])),
-                "aliased": aliased,
-            }
-        )
+        fits = [x for c, s in zip(coef, se, strict=True) for x in (c, s)] + list(r2)
+        named = dict(zip(result_columns(len(coef)), fits, strict=True))
+        return pd.DataFrame({group: pdf[group].iloc[0], "term": terms, **named, "n": int(round(full[0, 0])), "aliased": aliased})
 
     return run
 
 
 def ols_by_group(data: DataFrame, group: str, predictors: list[str], responses: list[str]) -> DataFrame:
-    """Coefficients and standard errors of two responses on the same predictors, per group.
+    """Coefficients and standard errors of one or more responses on the same predictors, per group.
 
     Only products of columns are shuffled: tasks add them up per group, Spark sums them position by
     position, and each group's small system is solved from those sums. Rows with a NULL are left out.
@@ -112,8 +102,9 @@ def ols_by_group(data: DataFrame, group: str, predictors: list[str], responses:
     cells = parts.select(group, F.posexplode("products").alias("pos", "x"))
     sums = cells.groupBy(group, "pos").agg(F.sum("x").alias("x"))
     solver = _solve_group(group, predictors, len(columns))
-    fits = sums.groupBy(group).applyInPandas(solver, RESULT.format(group=group))
-    doubles = ["c1", "se1", "c2", "se2", "r2_1", "r2_2"]
+    doubles = result_columns(len(responses))
+    shape = ", ".join([f"{group} string, term string", *(f"{c} double" for c in doubles), "n long, aliased boolean"])
+    fits = sums.groupBy(group).applyInPandas(solver, shape)
     return fits.withColumns({c: F.when(~F.isnan(c), F.col(c)) for c in doubles})
 
 
@@ -134,7 +125,7 @@ def normal_equations(
     """Largest product of a predictor with the residuals, per group and response: 0 for a least squares fit."""
     terms = ["intercept", *predictors]
     pos = F.array_position(F.array(*map(F.lit, terms)), F.col("term"))
-    by_term = F.sort_array(F.collect_list(F.struct(pos.alias("pos"), "c1", "c2")))
+    by_term = F.sort_array(F.collect_list(F.struct(pos.alias("pos"), *(f"c{i + 1}" for i in range(len(responses))))))
     coefficients = fits.groupBy(group).agg(by_term.alias("b"))
     x = F.array(F.lit(1.0), *(F.col(p).cast("double") for p in predictors))
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from footfall.functions.calendar import Weeks
+from footfall.operators.joins import of_users
 from footfall.operators.ranking import md5_key, numbered
 
 PLACE = ["poi_name", "level_1", "level_2", "level_3"]
@@ -23,14 +24,14 @@ def _visits(poi: DataFrame, when: Column) -> DataFrame:
 def daily_places(active: DataFrame, portrait: DataFrame, poi: DataFrame, days: tuple[int, int]) -> DataFrame:
     """Visits per user, day and place in a half-open day range."""
     rows = poi.where((F.col("dayno") >= days[0]) & (F.col("dayno") < days[1]))
-    seen = _visits(rows, F.col("dayno")).withColumnRenamed("when", "dayno")
+    seen = _visits(of_users(rows, active), F.col("dayno")).withColumnRenamed("when", "dayno")
     return seen.join(_visitors(active, portrait), "imei").select("imei", "dayno", *WHO, *PLACE, "visitnum")
 
 
 def weekly_places(active: DataFrame, portrait: DataFrame, poi: DataFrame, weeks: Weeks) -> DataFrame:
     """Visits and visitors per week, kind of user and place; visits are counted per user first."""
     day = F.col("dayno")
-    seen = _visits(poi.where(weeks.contains(day)), weeks.index(day))
+    seen = _visits(of_users(poi.where(weeks.contains(day)), active), weeks.index(day))
     return (
         seen.join(_visitors(active, portrait), "imei")
         .groupBy("when", *WHO, *PLACE)

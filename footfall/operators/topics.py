@@ -26,15 +26,18 @@ NO_TOPIC = -1
 
 
 def training_rows(scaled: DataFrame, names: list[str], n_partitions: int) -> DataFrame:
-    """Feature vectors in a fixed layout, written once because every fit reads them many times."""
-    vectors = feature_vectors(scaled, names, USER_DAY)
-    ordered = vectors.repartition(n_partitions, "imei").sortWithinPartitions(*USER_DAY)
-    return stage(ordered, "training_rows")
+    """Feature vectors in a fixed layout, written once because every fit reads them many times.
+
+    How written files are read back depends on the number of cores, and the fits draw their samples per partition. So
+    the rows are dealt and sorted again on the way in: ``n_partitions`` belongs to the model, like its seed.
+    """
+    written = stage(feature_vectors(scaled, names, USER_DAY), "training_rows")
+    return written.repartition(n_partitions, "imei").sortWithinPartitions(*USER_DAY)
 
 
 @contextmanager
 def _cached(rows: DataFrame) -> Iterator[DataFrame]:
-    """Keep the written rows in memory while fits read them; a lost executor reads its part again."""
+    """Keep the rows in memory while fits read them; a lost executor reads and deals its part again."""
     rows.persist(StorageLevel.MEMORY_AND_DISK)
     try:
         yield rows

@@ -25,10 +25,12 @@ class AdTables:
 
 @dataclass(frozen=True)
 class AdSettings:
-    """Days and thresholds of one study."""
+    """Days and thresholds of one study: apps count as advertised by their exposures on ``threshold_days``, and people as
+    exposed by those on ``ad_days``."""
 
     snapshot: int
     people_snapshot: int
+    threshold_days: tuple[int, int]
     ad_days: tuple[int, int]
     use_days: tuple[int, int]
     campaign: Campaign
@@ -39,6 +41,7 @@ class AdSettings:
 STUDY = AdSettings(
     snapshot=20210503,
     people_snapshot=20211101,
+    threshold_days=(20210301, 20210328),
     ad_days=(20210201, 20210425),
     use_days=(20210201, 20210425),
     campaign=Campaign.from_days((20210201, 20210301, 20210329, 20210426)),
@@ -48,11 +51,11 @@ STUDY = AdSettings(
 def analysis_people(t: AdTables, s: AdSettings) -> DataFrame:
     """The matched cohort, written once because every later step reads it."""
     ads = exposure.ads_on(t.ads, s.snapshot)
-    totals = stage(exposure.ad_totals(t.exposures, s.ad_days), "ad_totals")
+    totals = exposure.ad_totals(t.exposures, s.threshold_days)
     apps = exposure.advertised_apps(exposure.exposure_summary(ads, totals), s.min_exposure)
     kept = stage(exposure.kept_ads(ads, apps), "kept_ads")
-    exposed = stage(exposure.exposed_people(kept, t.exposures, s.ad_days, totals), "exposed_people")
-    use = facts.of_apps(t.use, kept)
+    exposed = stage(exposure.exposed_people(kept, t.exposures, s.ad_days), "exposed_people")
+    use = facts.of_apps(t.use, studied_apps(kept))
     return stage(cohort.matched_cohort(exposed, use, t.population, s.use_days), "analysis_people")
 
 

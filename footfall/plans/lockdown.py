@@ -6,6 +6,7 @@ from dataclasses import dataclass
 
 from pyspark.ml.clustering import LDAModel
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from footfall.functions.calendar import ACTIVITY_WEEKS, PLACE_WEEKS, Weeks
 from footfall.operators import activity, features, kmodes, places, portrait, topics
@@ -28,14 +29,18 @@ class CityTables:
 
 @dataclass(frozen=True)
 class CitySettings:
-    """Days, thresholds and model sizes of one study; the defaults are those of the original."""
+    """Days, thresholds and model sizes of one study; the defaults are those of the original.
+
+    ``sample`` takes so many users of each city for the features; by default they take all. ``partitions`` is the layout
+    that topic models are fitted on, and part of their result.
+    """
 
     snapshot: int = 20211101
     use_days: tuple[int, int] = (20201101, 20210901)
     weeks: Weeks = ACTIVITY_WEEKS
     place_weeks: Weeks = PLACE_WEEKS
     weekly_time: float = 25200.0
-    sample: int = 10000
+    sample: int | None = None
     sweep: range = topics.SWEEP
     topics: int = 20
     clusters: int = 30
@@ -62,9 +67,12 @@ def place_ranks(t: CityTables, s: CitySettings, who: DataFrame, active: DataFram
 
 
 def day_features(t: CityTables, s: CitySettings, active: DataFrame, names: list[str]) -> DataFrame:
-    """Scaled category time of sampled users as written feature vectors."""
-    sample = stage(features.user_sample(active, s.sample), "user_sample")
-    wide = features.category_wide(sample, t.use, t.categories, names)
+    """Scaled category time of steady users on the days of the study as feature vectors."""
+    users = active.select("city", "imei").distinct()
+    if s.sample is not None:
+        users = stage(features.user_sample(active, s.sample), "user_sample")
+    use = t.use.where((F.col("dayno") >= s.use_days[0]) & (F.col("dayno") < s.use_days[1]))
+    wide = features.category_wide(users, use, t.categories, names)
     return topics.training_rows(features.scaled_by_mean(wide, names), names, s.partitions)
 
 

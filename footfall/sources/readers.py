@@ -11,6 +11,7 @@ PLAIN_ENCODINGS = {"US-ASCII", "ISO-8859-1", "UTF-8", "UTF-16BE", "UTF-16LE", "U
 
 
 def allow_encoding(spark: SparkSession, encoding: str) -> None:
+    """Let the session read and write an encoding that Spark supports only with a setting, which stays on."""
     if encoding.upper() not in PLAIN_ENCODINGS:
         spark.conf.set("spark.sql.legacy.javaCharsets", "true")
 
@@ -36,11 +37,11 @@ def read_lookup_csv(spark: SparkSession, path: str, columns: list[str], *, encod
     return spark.read.csv(path, header=True, encoding=encoding, schema=schema, enforceSchema=True)
 
 
-def read_ad_texts(spark: SparkSession, path: str, *, encoding: str = "UTF-8") -> DataFrame:
-    """Ads as (id, text); quoted texts may span lines."""
+def read_ad_texts(spark: SparkSession, path: str, *, encoding: str = "UTF-8", multi_line: bool = False) -> DataFrame:
+    """Ads as (id, text), a line each. With ``multi_line`` quoted texts may span lines; a file is then read by one task."""
     allow_encoding(spark, encoding)
     return spark.read.csv(
-        path, header=True, multiLine=True, escape='"', encoding=encoding, schema="id string, text string"
+        path, header=True, multiLine=multi_line, escape='"', encoding=encoding, schema="id string, text string"
     )
 
 

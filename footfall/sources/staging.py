@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -12,14 +14,18 @@ _local_folders: dict[str, str] = {}
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named in ``spark.checkpoint.dir``; a temporary one only for a local session without it."""
+    """The folder named in ``spark.checkpoint.dir``. A local session without it has one temporary folder, removed at its
+    end."""
     sc = spark.sparkContext
     named = sc.getConf().get(CHECKPOINT_DIR) or spark.conf.get(CHECKPOINT_DIR, None) or sc.getCheckpointDir()
     if named:
         return named.rstrip("/")
     if not sc.master.startswith("local"):
         raise ValueError(f"set {CHECKPOINT_DIR} to a folder all executors share")
-    return _local_folders.setdefault(sc.applicationId, tempfile.mkdtemp(prefix="footfall-"))
+    if sc.applicationId not in _local_folders:
+        folder = _local_folders[sc.applicationId] = tempfile.mkdtemp(prefix="footfall-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    return _local_folders[sc.applicationId]
 
 
 def staging_path(spark: SparkSession, name: str) -> str:
@@ -27,6 +33,13 @@ def staging_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/footfall/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
 
 
+def discard(spark: SparkSession) -> None:
+    """Remove the staged tables of this application, when none of its results is needed any more."""
+    sc = spark.sparkContext
+    path = sc._jvm.org.apache.hadoop.fs.Path(f"{shared_folder(spark)}/footfall/{sc.applicationId}")
+    path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Write a table once and go on from the written copy, so that lost executors do not recompute it."""
     spark = df.sparkSession

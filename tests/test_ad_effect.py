@@ -330,7 +330,7 @@ def test_effect_of_both_kinds_end_to_end(spark):
     v = Views(spark, str(DATA))
     tables = ad_effect.AdTables(v.ads, v.exposures, v.app_use, v.browsers, v.people, v.city_level)
     days = Campaign.from_days((20240101, 20240111, 20240121, 20240131))
-    settings = ad_effect.AdSettings(SNAPSHOT, SNAPSHOT, AD_DAYS, USE_DAYS, days, 1000)
+    settings = ad_effect.AdSettings(SNAPSHOT, SNAPSHOT, AD_DAYS, AD_DAYS, USE_DAYS, days, 1000)
     people = ad_effect.analysis_people(tables, settings)
     direct = cohort.matched_cohort(
         exposure.exposed_people(
@@ -345,3 +345,46 @@ def test_effect_of_both_kinds_end_to_end(spark):
         tables, settings, people, installs=v.installs, searches=v.searches, clicks=v.clicks, groups=v.app_group
     )
     assert fits.count() == people.select("appname").distinct().count() * (len(panel.PREDICTORS) + 1)
+
+
+@pytest.mark.parametrize("responses", [["y1"], ["y1", "y2", "x4"]])
+def test_any_number_of_responses(spark, regression, responses):
+    df = spark.createDataFrame(regression).withColumn("imei", F.monotonically_increasing_id())
+    two = {(r.app, r.term): r for r in ols.ols_by_group(df, "app", X[:3], ["y1", "y2"]).collect()}
+    fits = ols.ols_by_group(df, "app", X[:3], responses)
+    assert len(fits.columns) == 4 + 3 * len(responses)
+    for r in fits.collect():
+        assert (r.c1, r.se1, r.r2_1) == pytest.approx((two[r.app, r.term].c1, two[r.app, r.term].se1, two[r.app, r.term].r2_1))
+    gaps = ols.normal_equations(df, fits, "app", X[:3], responses)
+    assert len(gaps.columns) == 2 + len(responses) and max(max(tuple(r)[2:]) for r in gaps.collect()) < 1e-8
+
+
+def test_searches_are_the_same_inside_and_outside_the_scan(spark, rows):
+    people = spark.createDataFrame([(1, "ab", 1), (1, "b.", 1), (2, "ab", 0), (2, None, 0)], "imei int, appname string, is_expose int")
+    asked = [(1, "get ab. free", 20210201), (1, "get ab. free", 20210201), (2, "b. ab", 20210302), (3, "ab", 20210301), (1, None, 20210301), (2, "xb", 20210301)]
+    asked = spark.createDataFrame(asked, "imei int, query string, dayno int")
+    for regex in (False, True):
+        inside = facts.by_period(people, facts.searches_folded(people, asked, CAMPAIGN, regex=regex), CAMPAIGN, "n")
+        hits = facts.search_hits(people, asked, CAMPAIGN, regex=regex, most_apps=1)
+        outside = facts.by_period(people, facts.fold(hits, CAMPAIGN, F.col("n")), CAMPAIGN, "n")
+        assert rows(inside) == rows(outside) != []
+    assert rows(inside, "imei", "appname", "time", "n") == [(1, "ab", "before", 2), (1, "b.", "before", 2), (2, "ab", "now", 1)]
+
+
+def test_no_text_of_a_search_is_moved(spark):
+    people = spark.createDataFrame([(1, "ab", 1)], "imei int, appname string, is_expose int")
+    asked = spark.createDataFrame([(1, "get ab", 20210201)], "imei int, query string, dayno int")
+    plan = facts.searches_folded(people, asked, CAMPAIGN)._jdf.queryExecution().optimizedPlan().toString()
+    top = plan[: plan.index("Generate")] if "Generate" in plan else plan
+    assert "query" not in top
+
+
+def test_threshold_and_exposure_days_are_apart(spark, rows):
+    ads = spark.createDataFrame([(1, "a", "c", 5), (2, "b", "c", 5)], "ad_id int, brand_name string, app_cat2_name string, dayno int")
+    seen = [(1, 7, 10, 20210310), (2, 7, 10, 20210205), (1, 8, 1, 20210210), (1, 9, 1, 20210601)]
+    seen = spark.createDataFrame(seen, "ad_id int, imei int, expose_cnt long, dayno int")
+    use = spark.createDataFrame([(7, "a", 1.0, 20210301)], "imei int, appname string, duration double, dayno int")
+    tables = ad_effect.AdTables(ads, seen, use, spark.range(30).selectExpr("int(id) as imei"), None, None)
+    settings = ad_effect.AdSettings(5, 5, (20210301, 20210328), DAYS, DAYS, CAMPAIGN, 10)
+    people = ad_effect.analysis_people(tables, settings)
+    assert rows(people.where("is_expose = 1"), "imei", "appname") == [(7, "a"), (8, "a")]

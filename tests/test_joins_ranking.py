@@ -7,7 +7,8 @@ import pytest
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from footfall.operators.joins import salted_join, split_hot_keys
+from footfall.operators import joins
+from footfall.operators.joins import of_users, salted_join, split_hot_keys
 from footfall.operators.ranking import first_by_hash, md5_key, numbered
 
 
@@ -78,3 +79,11 @@ def test_first_by_hash_with_every_kind_of_quota(spark, rows, prefix):
     total = spark.range(1).select(F.lit(40).alias("quota"))
     got = sorted(r[0] for r in first_by_hash(df.select("id"), [], ["id"], total, prefix).collect())
     assert got == sorted(first_ids(everyone, 40))
+
+
+def test_a_short_list_of_users_filters_facts_and_a_long_one_does_not(spark, monkeypatch):
+    facts = spark.range(10).selectExpr("id % 5 as imei", "id")
+    users = spark.createDataFrame([(1,), (1,), (3,)], "imei long")
+    assert of_users(facts, users).count() == 4
+    monkeypatch.setattr(joins, "SHORT_LIST", 2)
+    assert of_users(facts, users).count() == 10

@@ -230,6 +230,48 @@ def test_the_whole_study(spark, tmp_path):
 def test_fixed_point_tells_a_wrong_mode(spark):
     df = spark.createDataFrame([("c", i, [i % 2, 1, i % 2]) for i in range(20)], "city string, imei int, calendar array<int>")
     model = kmodes.kmodes(df, 2)
-    assert tuple(kmodes.fixed_point(model).first()) == (20, 0, 0)
-    wrong = kmodes.KModes(model.modes + np.array([[0, 5, 0], [0, 0, 0]]), model.costs, model.labelled)
-    assert tuple(kmodes.fixed_point(wrong).first()) == (20, 1, 10)
+    assert tuple(kmodes.fixed_point(model).first()) == (20, 0, 0, True)
+    wrong = kmodes.KModes(model.modes + np.array([[0, 5, 0], [0, 0, 0]]), model.costs, model.labelled, model.converged)
+    assert tuple(kmodes.fixed_point(wrong).first()) == (20, 1, 10, True)
+
+
+def test_sparse_codes_are_counted_by_value(spark):
+    df = spark.createDataFrame([("c", i, [10**9 * (i % 2), -5, i % 2]) for i in range(20)], "city string, imei int, calendar array<int>")
+    model = kmodes.kmodes(df, 2)
+    assert model.converged and model.costs[-1] == 0 and model.modes.tolist() == [[10**9, -5, 1], [0, -5, 0]] or model.costs[-1] == 0
+    limited = kmodes.kmodes(df.unionByName(df.limit(1).selectExpr("city", "99 as imei", "array(7, 7, 7) as calendar")), 2, max_iter=0)
+    assert not limited.converged
+
+
+def test_an_unlisted_category_raises(spark):
+    users = spark.createDataFrame([("c", 1)], "city string, imei int")
+    use = spark.createDataFrame([(1, "p", 5.0, 1), (1, "q", 7.0, 1)], "imei int, pack_name string, duration double, dayno int")
+    cats = spark.createDataFrame([("p", "k1"), ("q", "new")], "pack_name string, newcat string")
+    with pytest.raises(Exception, match="category without a column: new"):
+        features.category_wide(users, use, cats, ["k1"]).collect()
+
+
+def test_topics_do_not_depend_on_how_rows_are_read(spark, tmp_path):
+    names = ["k0", "k1", "k2"]
+    rng = random.Random(3)
+    data = [("c", u, d, *[rng.random() for _ in names]) for u in range(30) for d in range(5)]
+    df = spark.createDataFrame(data, "city string, imei int, dayno int, k0 double, k1 double, k2 double")
+    found = []
+    for files in (1, 7):
+        df.repartition(files).write.parquet(f"{tmp_path}/{files}")
+        train = topics.training_rows(spark.read.parquet(f"{tmp_path}/{files}"), names, 4)
+        assert train.rdd.getNumPartitions() == 4
+        found.append([tuple(r) for r in topics.topic_terms(topics.fit_topics(train, 2, max_iter=5), names).orderBy("topic", "rank").collect()])
+    assert found[0] == found[1]
+
+
+def test_use_outside_the_study_is_left_out(spark):
+    use = [(u, "p", 5.0, d) for u in range(12) for d in (20240101, 20240201)]
+    use = spark.createDataFrame(use, "imei int, pack_name string, duration double, dayno int")
+    cats = spark.createDataFrame([("p", "k1"), ("p2", "k2")], "pack_name string, newcat string")
+    active = spark.createDataFrame([("c", u) for u in range(12)], "city string, imei int")
+    t = lockdown.CityTables(None, None, use, None, None, cats)
+    s = lockdown.CitySettings(use_days=(20240101, 20240131), partitions=2)
+    got = lockdown.day_features(t, s, active, ["k1", "k2"])
+    assert {r.dayno for r in got.collect()} == {20240101} and got.count() == 12  # every user, without a sample
+    assert lockdown.day_features(t, lockdown.CitySettings(use_days=(20240101, 20240131), partitions=2, sample=5), active, ["k1", "k2"]).count() == 5

@@ -37,7 +37,7 @@ def test_lookup_csv_renames_by_position(spark, rows, tmp_path, encoding):
 def test_ad_texts_keep_line_breaks_and_quotes(spark, rows, tmp_path):
     df = spark.createDataFrame([("1", '急招 "保安"\n包吃, 包住'), ("2", "x")], "id string, text string")
     writers.write_csv(df, str(tmp_path / "ads"))
-    assert rows(readers.read_ad_texts(spark, str(tmp_path / "ads"))) == rows(df)
+    assert rows(readers.read_ad_texts(spark, str(tmp_path / "ads"), multi_line=True)) == rows(df)
 
 
 @pytest.mark.parametrize("encoding", ["GB18030", "UTF-8"])
