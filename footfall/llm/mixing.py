@@ -146,7 +146,7 @@ def select(units: DataFrame, need: DataFrame) -> DataFrame:
     state = [(r.group, r.need, 0, 1 << 62, r.n) for r in counted]
     while any(n > 8 * LAST and width > 1 for *_, width, n in state):
         finer = [(g, left, low, max(1, width // _buckets(n))) for g, left, low, width, n in state]
-        inside = rest.join(spark.createDataFrame(finer, shape), "group")
+        inside = rest.join(F.broadcast(spark.createDataFrame(finer, shape)), "group")
         inside = inside.withColumn("bucket", F.expr("(place - low) div width"))
         sums = inside.groupBy("group", "bucket", "left", "low", "width").agg(F.sum("words").alias("words"), F.sum("n").alias("n"))
         before = "sum(words) OVER (PARTITION BY group ORDER BY bucket ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
@@ -154,7 +154,7 @@ def select(units: DataFrame, need: DataFrame) -> DataFrame:
         # The last bucket that begins within the need is cut again.
         edge = reach.groupBy("group").agg(F.max_by(F.struct("bucket", "before", "n", "left", "low", "width"), "bucket").alias("e"))
         edges = [(r.group, *r.e) for r in edge.collect()]
-        cut = inside.drop("left", "low", "width").join(spark.createDataFrame([e[:2] for e in edges], f"group {group}, at long"), "group")
+        cut = inside.drop("left", "low", "width").join(F.broadcast(spark.createDataFrame([e[:2] for e in edges], f"group {group}, at long")), "group")
         chosen = chosen.unionByName(cut.where(F.col("bucket") < F.col("at")).select("group", "place", "size"))
         rest = stage(cut.where(F.col("bucket") == F.col("at")).select("group", "place", "size", "words", "n"), "mix-edge")
         state = [(g, left - before, low + bucket * width, width, n) for g, bucket, before, n, left, low, width in edges]
@@ -168,7 +168,7 @@ def select(units: DataFrame, need: DataFrame) -> DataFrame:
         taken += [False] * (len(words) - len(taken))
         return rows.loc[taken, ["group", "place", "size"]]
 
-    last = rest.join(spark.createDataFrame([s[:2] for s in state], f"group {group}, left double"), "group")
+    last = rest.join(F.broadcast(spark.createDataFrame([s[:2] for s in state], f"group {group}, left double")), "group")
     fitted = last.groupBy("group").applyInPandas(fit, f"group {group}, place long, size long")
     return chosen.unionByName(fitted)
 
@@ -206,7 +206,8 @@ def mix(docs: DataFrame, sources: str, size: str, epochs: int = 3, seed: int = 1
         elif r.words and rest > r.words * (1 - 1e-6) and whole < epochs:
             whole, rest = whole + 1, 0.0
         plan.append((r["__group"], whole, float(rest)))
-    plan_df = spark.createDataFrame(plan, "group string, whole int, need double")
+    # One row per set of sources, which MOST_GROUPS bounds: small enough for every task.
+    plan_df = F.broadcast(spark.createDataFrame(plan, "group string, whole int, need double"))
 
     counted = rows.where(F.col(size) > 0).join(plan_df.where("need > 0"), F.col("__group") == F.col("group"))
     units = counted.groupBy("group", F.col("__place").alias("place"), F.col(size).alias("size"))
@@ -216,7 +217,8 @@ def mix(docs: DataFrame, sources: str, size: str, epochs: int = 3, seed: int = 1
     else:
         extra = units.select("group", "place", "size")
     extra = extra.select(F.col("group").alias("__g"), F.col("place").alias("__p"), F.col("size").alias("__s"), F.lit(1).alias("__more"))
-    known = spark.createDataFrame([(s, n, float(target[s])) for s, n in sizes.items()], "__source string, source_size long, target double")
+    known = [(s, n, float(target[s])) for s, n in sizes.items()]
+    known = F.broadcast(spark.createDataFrame(known, "__source string, source_size long, target double"))
     first = F.get(members, F.lit(0))
     out = (
         rows.drop("source_size", "target", "times", "taken")
