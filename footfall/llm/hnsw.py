@@ -159,6 +159,8 @@ def build_index(vectors: DataFrame, shard: int = SHARD) -> DataFrame:
     dealt = vectors.withColumn("dim", F.size("vector"))
     dealt = dealt.withColumn("shard", F.pmod(F.xxhash64("vector"), F.element_at(shards, F.col("dim"))).cast("int"))
     dealt = dealt.withColumn("vector", F.col("vector").cast("array<float>"))
+    # A graph is long work on few bytes: a fixed number of partitions is not put together again by size.
+    dealt = dealt.repartition(sum(n for _, n in dims) or 1, "dim", "shard")
 
     def build(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("ids", key=lambda c: c.map(lambda x: x[0]))
