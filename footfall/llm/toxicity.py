@@ -30,7 +30,7 @@ TRAINING_ROWS = 20_000
 #: Features of a category, training rows that hold one at least, lengths of word beginnings, folds, and regularisation.
 FEATURES, LEAST_ROWS, STARTS, FOLDS, PENALTY = 3_000, 3, (4, 5, 6), 3, 0.002
 #: Weight of all positive training rows of a category against all others, rounds of a fit, and partitions it works on.
-BALANCE, ROUNDS, PARTITIONS = 0.5, 40, 4
+BALANCE, ROUNDS, PARTITIONS = 1.0, 40, 4
 #: Words that a task remembers.
 CACHED = 500_000
 
