@@ -6,14 +6,16 @@ page to page (one minus the entropy of each content over the pages that hold it)
 its own presentations and from the texts below it. Branches of low importance are removed from every page, and what is
 left is the text.
 
-Tags and class names that say what a branch is for count as presentation: a navigation or footer has no importance
-whatever it holds, and where pages name their article, only that is looked at. So a host of a few pages, where entropies
-say nothing, gives the same text as a large one. Nodes of the tree are elements that form blocks; inline elements belong
-to their block.
+Tags that say what a branch is for count as presentation: a navigation or footer has no importance whatever it holds, and
+where pages name their article, only that is looked at. Class names are weaker evidence (`settle`): a branch called sidebar
+goes if it is a small part of its page or if the entropies say so too. So a host of a few pages, where entropies say
+nothing, gives the same text as a large one. Nodes of the tree are elements that form blocks; inline elements belong to
+their block.
 """
 
 from __future__ import annotations
 
+import heapq
 import html
 import re
 from collections.abc import Iterator
@@ -49,6 +51,17 @@ ASIDE_WORDS = frozenset(
     "overlay newsletter subscribe subscription signup login sidebar aside rail menu nav navbar navigation breadcrumb breadcrumbs pagination pager footer "
     "header masthead topbar toolbar share sharing social related recommended recommendations widget comment comments disqus replies reply respond form".split()
 )
+#: Words that may stand beside them in a class or id (``comment-list``, ``site-nav``). Beside any other word they tell
+#: nothing: ``has-sidebar`` is a layout, ``related-work`` a chapter, ``article-header`` a title.
+CARRIERS = frozenset(
+    "box boxes container wrapper wrap block area section list bar inner outer slot unit panel group top bottom left right site page global main primary "
+    "secondary link links button buttons icon icons item items post posts article articles entry story blog".split()
+)
+TITLED = frozenset("post article entry story blog".split())
+#: Characters of a branch that are a small part of any page that has other text.
+LINE = 80
+#: Blocks whose classes and ids name no aside.
+UNNAMED = frozenset("html body main article h1 h2 h3 h4 h5 h6".split())
 #: Weight of what lies below a node, least importance that stays, and pages that a node needs for its entropies to count.
 BELOW, LEAST, PAGES = 0.9, 0.2, 8
 #: Levels of the tree; elements below belong to their ancestor there.
@@ -65,10 +78,18 @@ SPACE = re.compile(r"\s+")
 class Node:
     """An element: its name in the tree (tag, classes, id), its children (elements and texts), and its parent."""
 
-    __slots__ = ("aside", "children", "name", "parent", "tag")
+    __slots__ = ("aside", "children", "name", "named", "parent", "tag")
+
+    def __init__(self, tag: str, name: str, aside: bool, parent: Node | None, named: bool = False):
+        self.tag, self.name, self.aside, self.parent, self.named, self.children = tag, name, aside, parent, named, []
 
-    def __init__(self, tag: str, name: str, aside: bool, parent: Node | None):
-        self.tag, self.name, self.aside, self.parent, self.children = tag, name, aside, parent, []
+
+def names_aside(label: str) -> bool:
+    """Whether a whole class or id is the name of an aside."""
+    words = set(re.findall(r"[^\W\d_]+", label))
+    if "header" in words and words & TITLED:
+        return False
+    return not words.isdisjoint(ASIDE_WORDS) and words <= ASIDE_WORDS | CARRIERS
 
 
 def _element(tag: str, attributes: str, parent: Node) -> Node:
@@ -76,20 +97,20 @@ def _element(tag: str, attributes: str, parent: Node) -> Node:
     if "=" in attributes or "hidden" in attributes:
         known = {k.lower(): html.unescape(a or b or c or "") for k, a, b, c in ATTRIBUTES.findall(attributes)}
     labels = f"{known.get('class', '')} {known.get('id', '')}".lower()
-    words = set(re.findall(r"[a-z]+", labels)) if labels.strip() else set()
     hidden = "hidden" in known or known.get("aria-hidden") == "true" or "display:none" in known.get("style", "").replace(" ", "").lower()
-    named = words & ASIDE_WORDS and tag not in ("html", "body", "main", "article")
-    aside = bool(tag in ASIDE_TAGS or known.get("role", "").lower() in ASIDE_ROLES or named or hidden)
+    aside = bool(tag in ASIDE_TAGS or known.get("role", "").lower() in ASIDE_ROLES or hidden)
+    # Words of inline elements and headings tell what they say, not what they are for.
+    named = not aside and tag in BLOCKS - UNNAMED and any(names_aside(x) for x in labels.split())
     # Numbers in classes and ids differ from page to page; they are one name in the tree.
     label = re.sub(r"\d+", "#", SPACE.sub(".", labels.strip()))
-    return Node(tag, f"{tag}.{label}" if label else tag, aside, parent)
+    return Node(tag, f"{tag}.{label}" if label else tag, aside, parent, named)
 
 
 def parse(page: str) -> Node:
     """The DOM of a page: elements and texts, without comments, scripts and the like. Missing end tags are put where HTML
     puts them; a stray ``<`` is text."""
     root = at = Node("", "", False, None)
-    place, raw = 0, None
+    place, raw, named = 0, None, False
     for m in TOKENS.finditer(page):
         if m.start() < place:
             continue
@@ -128,13 +149,68 @@ def parse(page: str) -> Node:
         attributes = m[3] or m[4] or ""
         child = _element(tag, attributes, at)
         at.children.append(child)
+        named |= child.named
         if tag not in VOID and not attributes.endswith("/"):
             at = child
     if place < len(page):
         at.children.append(page[place:])
+    if named:
+        settle(root)
     return root
 
 
+def settle(root: Node) -> None:
+    """Make asides of the named elements that are a small part of their page: no longer than the text outside of named
+    elements, or than a line. Others are branches like any (the entropies may still remove them), and what lies in them
+    outside of further named elements counts as outside from then on. Elements that hold a main element or the page's
+    article are never asides; of several articles alike in length none is the page's.
+    """
+    order, todo = [], [root]
+    while todo:
+        node = todo.pop()
+        order.append(node)
+        todo += [c for c in node.children if isinstance(c, Node) and not c.aside]
+    size: dict[Node, int] = {}
+    outside: dict[Node, int] = {}
+    for node in reversed(order):
+        own = sum(len(c.strip()) for c in node.children if isinstance(c, str))
+        parts = [c for c in node.children if isinstance(c, Node) and not c.aside]
+        size[node] = own + sum(size[c] for c in parts)
+        outside[node] = own + sum(outside[c] for c in parts if not c.named)
+    over: dict[Node, Node] = {}  # the nearest named element above, or the root
+    inside: dict[Node, list[Node]] = {root: []}
+    articles, below = [], set()
+    for node in order[1:]:
+        over[node] = node.parent if node.parent.named else over.get(node.parent, root)
+        if node.named:
+            inside.setdefault(over[node], []).append(node)
+        if node.parent in below:
+            below.add(node)
+        elif node.tag == "article" and not node.named:
+            articles.append(node)
+            below.add(node)
+    articles.sort(key=lambda n: -size[n])
+    held = [n for n in order if n.tag == "main"]
+    if articles and (len(articles) == 1 or size[articles[0]] >= 2 * size[articles[1]]):
+        held.append(articles[0])
+    holds = set()
+    for node in held:
+        while node is not None and node not in holds:
+            holds.add(node)
+            node = node.parent
+    place = {node: i for i, node in enumerate(order)}
+    queue = [(node not in holds, -size[node], place[node], node) for node in inside[root]]
+    heapq.heapify(queue)
+    rest = outside[root]
+    while queue and (not queue[0][0] or -queue[0][1] > (max(rest, LINE) if rest else 0)):
+        node = heapq.heappop(queue)[3]
+        rest += outside[node]
+        for n in inside.get(node, ()):
+            heapq.heappush(queue, (n not in holds, -size[n], place[n], n))
+    for *_, node in queue:
+        node.aside = True
+
+
 def step(path: str, node: Node) -> str:
     """The path of a child: its block's, if it forms none itself or lies deeper than the tree goes."""
     return f"{path}/{node.name}" if node.tag in BLOCKS and path.count("/") < DEPTH else path

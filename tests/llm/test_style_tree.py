@@ -88,3 +88,29 @@ def test_odd_rows_and_empty_table(spark):
     told = {r.page_id: r.text for r in got.collect()}
     assert told[1] == told[2] == "" and told[3].count("\n") == 599 and told[4] == "x" and told[5] == "deep"
     assert extract(df.limit(0)).count() == 0
+
+
+LONG = prose(1, 60)
+
+
+@pytest.mark.parametrize(("page", "text"), [
+    (f"<body><div class='site has-sidebar'><p>{LONG}</p><div class='sidebar'>s</div></div></body>", LONG),
+    (f"<body><div class='layout no-sidebar'><article><p>{LONG}</p></article></div></body>", LONG),
+    (f"<body><div class='sidebar-left'><article><p>a</p></article></div><p>{LONG}</p></body>", None),
+    (f"<body><div class='form'><main><p>a</p></main></div><p>{LONG}</p></body>", None),
+    (f"<body><div class='widget'><p>{LONG}</p></div><p>foot</p></body>", f"{LONG}\nfoot"),
+    ("<body><div class='notice'><p>all there is</p></div></body>", "all there is"),
+    ("<article><h2 id='related-work'>Related</h2><p>a</p><section id='social-history'><p>b</p></section></article>", "Related\na\nb"),
+    ("<article><h2 id='notice'>Notice</h2><p>the <span class='form'>plural form</span> of a word</p></article>", "Notice\nthe plural form of a word"),
+    (f"<article><div class='article-header'><h1>T</h1></div><p>{LONG}</p><div class='comment-list'>c</div><div id='share_buttons'>s</div></article>", f"T\n{LONG}"),
+    (f"<body><p>{LONG}</p><div class='comments'><div class='comment'>{prose(2, 40)}</div><div class='comment'>{prose(3, 40)}</div></div></body>", LONG),
+])
+def test_words_of_classes_need_the_amount_of_text(page, text):
+    got = main_text(page)
+    assert got == text if text is not None else "a" in got.split("\n")
+
+
+def test_entropies_confirm_a_long_named_branch(spark):
+    named = f"<div class='widget'><p>{prose(7, 90)}</p></div>"
+    df = pages(spark, [(i, "http://w.example/", f"<body>{named}<div><p>{prose(50 + i, 12)}</p></div></body>") for i in range(20)])
+    assert {r.page_id: r.text for r in extract(df).collect()} == {i: prose(50 + i, 12) for i in range(20)}
