@@ -18,14 +18,18 @@ from __future__ import annotations
 import heapq
 import html
 import re
+import zlib
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from footfall.llm.arrow import map_slices
+from footfall.llm.near_dedup import mixed
+from footfall.operators.joins import salted_join
 from footfall.sources.staging import stage
 
 #: Tags without content, tags whose content is no text, and tags that begin a block (fixed values of HTML).
@@ -64,6 +68,9 @@ LINE = 80
 UNNAMED = frozenset("html body main article h1 h2 h3 h4 h5 h6".split())
 #: Weight of what lies below a node, least importance that stays, and pages that a node needs for its entropies to count.
 BELOW, LEAST, PAGES = 0.9, 0.2, 8
+#: Bins of a sketch, share of them in which near copies agree (pages without a named main text agree in their frame, too),
+#: and pages that a bin is compared with.
+BINS, COPY, COPY_WHOLE, HUBS = 32, 0.5, 0.9, 4
 #: Levels of the tree; elements below belong to their ancestor there.
 DEPTH = 64
 
@@ -283,49 +290,105 @@ def main_text(page: str, removed: frozenset[str] = frozenset()) -> str:
     return "\n".join(lines)
 
 
-def node_features(pages: DataFrame) -> DataFrame:
-    """``host, path, kind, feature, n``: on how many pages of a host a node of the tree has a presentation (kind 0, the
-    sequence of its children) or a content (kind 1, its text). Pages are added up in the tasks first."""
+def sketch(text: str) -> np.ndarray:
+    """The least hash of word pairs in each of 32 bins; near copies agree in most. Scripts without spaces give characters."""
+    words = text.split()
+    if len(text) > 20 * len(words):
+        words = list(text)
+    h = np.fromiter(map(zlib.crc32, map(str.encode, words)), np.uint64, len(words))
+    h = mixed(h[:-1] * np.uint64(0x9E3779B97F4A7C15) + h[1:] if len(h) > 1 else h)
+    none = np.iinfo(np.uint64).max
+    best = np.full(BINS, none)
+    np.minimum.at(best, (h >> np.uint64(59)).astype(np.int64), h)
+    return (best[best != none] >> np.uint64(1)).astype(np.int64)
+
+
+PAGE = "host string, key long, page long, whole boolean, bins array<long>, nodes array<struct<path:string,kind:int,feature:long>>"
+
+
+def styles(pages: DataFrame) -> DataFrame:
+    """A row per page of ``host, html``: hashes of its main text and of itself, whether the main text is the whole page, the
+    sketch, and the nodes of its tree (kind 0: presentation, 1: content, 2: the longest main branch)."""
 
     def make():
         def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-            found: dict[tuple, int] = {}
-            for host, page in zip(batch.column("host").to_pylist(), batch.column("html").to_pylist(), strict=True):
-                root, own = parse(page or ""), set()
+            keys, ids, whole, bins, sizes, nodes = [], [], [], [], [], []
+            for page in batch.column("html").to_pylist():
+                root, own, paths = parse(page or ""), set(), {}
                 for node, path in walk(root):
+                    paths[node] = path
                     if node.tag not in BLOCKS and node is not root:
                         continue
                     names = [c.name for c in node.children if isinstance(c, Node) and c.tag in BLOCKS]
                     runs = [n for i, n in enumerate(names) if not i or names[i - 1] != n]  # a longer list is no other style
                     own.add((path, 0, xxhash.xxh64_intdigest(" ".join(runs)) >> 1))
-                own |= {(path, 1, xxhash.xxh64_intdigest(text) >> 1) for path, text in blocks(root, "")}
-                for key in own:
-                    found[host, *key] = found.get((host, *key), 0) + 1
-            host, path, kind, feature = zip(*found, strict=True) if found else ((),) * 4
-            return pa.RecordBatch.from_arrays(
-                [pa.array(host, pa.string()), pa.array(path, pa.string()), pa.array(kind, pa.int32()), pa.array(feature, pa.int64()), pa.array(list(found.values()), pa.int64())],
-                ["host", "path", "kind", "feature", "n"],
-            )
+                found = list(blocks(root, ""))
+                own |= {(path, 1, xxhash.xxh64_intdigest(text) >> 1) for path, text in found}
+                branches = main_branches(root)
+                held = [found if b is root else list(blocks(b, paths[b])) for b in branches]
+                longest = max(range(len(held)), key=lambda i: sum(len(text) for _, text in held[i]))
+                own.add((paths[branches[longest]], 2, 0))
+                text = "\n".join(text for lines in held for _, text in lines)
+                keys.append(xxhash.xxh64_intdigest(text) >> 1)
+                ids.append(xxhash.xxh64_intdigest(page or "") >> 1)
+                whole.append(branches == [root])
+                bins.append(sketch(text))
+                sizes.append(len(own))
+                nodes += own
+            path, kind, feature = zip(*nodes, strict=True)
+            flat = pa.StructArray.from_arrays([pa.array(path, pa.string()), pa.array(kind, pa.int32()), pa.array(feature, pa.int64())], ["path", "kind", "feature"])
+            ends = lambda lengths: pa.array(np.r_[0, np.cumsum(lengths)], pa.int32())
+            columns = [
+                batch.column("host"), pa.array(keys, pa.int64()), pa.array(ids, pa.int64()), pa.array(whole, pa.bool_()),
+                pa.ListArray.from_arrays(ends([len(b) for b in bins]), pa.array(np.concatenate(bins))), pa.ListArray.from_arrays(ends(sizes), flat),
+            ]
+            return pa.RecordBatch.from_arrays(columns, ["host", "key", "page", "whole", "bins", "nodes"])
 
         return work
 
-    shape = "host string, path string, kind int, feature long, n long"
-    return map_slices(pages, make, shape).groupBy("host", "path", "kind", "feature").agg(F.sum("n").alias("n"))
+    return map_slices(pages, make, PAGE)
+
+
+def near_copies(texts: DataFrame) -> DataFrame:
+    """``host, key`` of the main texts that are near copies of another one of their host with a smaller key.
+
+    Every bin of a sketch is compared with the texts of the smallest keys that share it, one of each of four classes of
+    keys; a text that agrees with one of them in enough bins is its copy. The smallest key of a group is no copy.
+    """
+    least = F.when(F.col("whole"), COPY_WHOLE).otherwise(COPY) * F.size("bins")
+    members = texts.select("host", "key", least.alias("least"), F.explode("bins").alias("bin"))
+    hubs = members.groupBy("host", "bin", F.pmod("key", F.lit(HUBS)).alias("class")).agg(F.min("key").alias("hub")).drop("class")
+    met = salted_join(members, hubs, ["host", "bin"], ["key"]).where(F.col("hub") < F.col("key"))
+    return met.groupBy("host", "key", "hub", "least").count().where(F.col("count") >= F.col("least")).select("host", "key").distinct()
+
+
+def node_features(pages: DataFrame) -> DataFrame:
+    """``host, path, kind, feature, n``: on how many pages of a host a node of the tree has a presentation (kind 0, the
+    sequence of its children) or a content (kind 1, its text), and how often it is the longest main branch (kind 2).
+
+    Pages of one main text count once, as do near copies: what copies repeat is no frame.
+    """
+    row = F.struct("whole", "bins", "nodes")
+    texts = styles(pages).groupBy("host", "key").agg(F.min_by(row, "page").alias("row")).select("host", "key", "row.*")
+    texts = stage(texts, "page-styles")
+    counted = texts.join(near_copies(texts), ["host", "key"], "left_anti").select("host", F.explode("nodes").alias("node"))
+    return counted.groupBy("host", "node.path", "node.kind", "node.feature").agg(F.count("*").alias("n"))
 
 
 def importance(features: DataFrame) -> DataFrame:
-    """``host, path, pages, importance`` of every node of the style trees.
+    """``host, path, pages, main, importance`` of every node of the style trees; ``main`` if it is a longest main branch.
 
     With m pages and presentations of probability p, an element's own importance is the entropy of p to the base m. A
     content on n of m pages, as likely on each, has the entropy log n to the base m; the importance of a text node is one
     minus the mean over its contents. Both are 1 for a node of one page. An element weighs its own importance with
     1 - 0.9 and the mean of the texts below it, each by its number of contents, with 0.9.
     """
-    style = features.where("kind = 0").groupBy("host", "path").agg(
-        F.sum("n").alias("pages"), F.sum(F.col("n") * F.log("n")).alias("s")
+    shown = F.when(F.col("kind") == 0, F.col("n"))
+    style = features.where("kind <> 1").groupBy("host", "path").agg(
+        F.sum(shown).alias("pages"), F.sum(shown * F.log("n")).alias("s"), F.max(F.col("kind") == 2).alias("main")
     )
     own = F.when(F.col("pages") > 1, (F.log("pages") - F.col("s") / F.col("pages")) / F.log("pages")).otherwise(1.0)
-    style = stage(style.select("host", "path", "pages", own.alias("own")), "styles")
+    style = stage(style.select("host", "path", "pages", "main", own.alias("own")), "styles")
     held = features.where("kind = 1").groupBy("host", "path").agg(F.sum(F.log("n")).alias("logs"), F.count("*").alias("contents"))
     held = held.join(style.select("host", "path", "pages"), ["host", "path"])
     text = F.when(F.col("pages") > 1, 1 - F.col("logs") / F.col("contents") / F.log("pages")).otherwise(1.0)
@@ -337,17 +400,19 @@ def importance(features: DataFrame) -> DataFrame:
     below = below.groupBy("host", "path").agg((F.sum(F.col("text") * F.col("contents")) / F.sum("contents")).alias("below"))
     both = style.join(below, ["host", "path"], "left")
     value = (1 - BELOW) * F.col("own") + BELOW * F.coalesce("below", F.lit(0.0))
-    return both.select("host", "path", "pages", value.alias("importance"))
+    return both.select("host", "path", "pages", "main", value.alias("importance"))
 
 
 def low_branches(nodes: DataFrame, least: float = LEAST, pages: int = PAGES) -> DataFrame:
     """``host, removed``: the paths of a host whose importance is below ``least``, seen on at least ``pages`` pages.
 
-    If the pages of a host are alike as a whole (copies of one page), nothing tells text from frame and no branch goes.
+    If the pages of a host are alike as a whole, nothing tells text from frame and no branch goes; if they are alike in
+    their main branch, nothing goes there.
     """
-    alike = nodes.where((F.col("path") == "") & (F.col("importance") < least)).select("host")
+    alike = nodes.where(((F.col("path") == "") | F.col("main")) & (F.col("importance") < least)).select(F.col("host").alias("h"), F.col("path").alias("top"))
     low = nodes.where((F.col("importance") < least) & (F.col("pages") >= pages) & (F.col("path") != ""))
-    return low.join(alike, "host", "left_anti").groupBy("host").agg(F.collect_set("path").alias("removed"))
+    below = (F.col("host") == F.col("h")) & F.startswith(F.concat("path", F.lit("/")), F.concat("top", F.lit("/")))
+    return low.join(alike, below, "left_anti").groupBy("host").agg(F.collect_set("path").alias("removed"))
 
 
 def host_of(url: Column) -> Column:

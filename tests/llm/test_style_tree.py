@@ -114,3 +114,35 @@ def test_entropies_confirm_a_long_named_branch(spark):
     named = f"<div class='widget'><p>{prose(7, 90)}</p></div>"
     df = pages(spark, [(i, "http://w.example/", f"<body>{named}<div><p>{prose(50 + i, 12)}</p></div></body>") for i in range(20)])
     assert {r.page_id: r.text for r in extract(df).collect()} == {i: prose(50 + i, 12) for i in range(20)}
+
+
+def page_texts(spark, htmls):
+    return [r.text for r in extract(pages(spark, [(i, "http://copies.example/", h) for i, h in enumerate(htmls)])).orderBy("page_id").collect()]
+
+
+def test_near_copies_are_no_frame(spark):
+    """One article with a paragraph edited, and one with a teaser or date beside or inside it."""
+    story = f"<p>{prose(1, 60)}</p><p>{prose(2, 50)}</p>"
+    edited = [f"<article><h1>Same title</h1>{story}<p>{prose(100 + i, 12)}</p></article>" for i in range(40)]
+    assert page_texts(spark, edited) == [f"Same title\n{prose(1, 60)}\n{prose(2, 50)}\n{prose(100 + i, 12)}" for i in range(40)]
+    beside = [f"<body><article><h1>Same title</h1>{story}</article><div class='more'><p>{prose(100 + i, 12)}</p></div></body>" for i in range(40)]
+    assert page_texts(spark, beside) == [f"Same title\n{prose(1, 60)}\n{prose(2, 50)}"] * 40
+    inside = [f"<body><article><h1>Same title</h1>{story}<div class='day'>{prose(100 + i, 8)}</div></article></body>" for i in range(40)]
+    assert all(t.startswith(f"Same title\n{prose(1, 60)}\n{prose(2, 50)}") for t in page_texts(spark, inside))
+
+
+def test_copies_on_a_host_of_other_pages(spark):
+    """What only the copies of one article hold stays; the frame inside the other articles goes."""
+    frame = "<div class='about'>About the writer</div>"
+    copies = [f"<article><h1>One</h1><section><p>{prose(1, 60)}</p></section><p>{prose(100 + i, 6)}</p>{frame}</article>" for i in range(15)]
+    others = [f"<article><h1>Title {i}</h1><p>{prose(200 + i, 40)}</p>{frame}</article>" for i in range(25)]
+    got = page_texts(spark, copies + others)
+    assert got[:15] == [f"One\n{prose(1, 60)}\n{prose(100 + i, 6)}" for i in range(15)]
+    assert got[15:] == [f"Title {i}\n{prose(200 + i, 40)}" for i in range(25)]
+
+
+def test_articles_alike_in_their_blocks_keep_them(spark):
+    """Distinct orders of the same blocks: no near copies, yet no block differs."""
+    blocks = [f"<p>{prose(i, 5)}</p>" for i in range(12)]
+    rows = [f"<body><article>{''.join(blocks[i:] + blocks[:i])}</article><p>{prose(300 + i, 9)}</p></body>" for i in range(12)]
+    assert all(t.count("\n") == 11 for t in page_texts(spark, rows))
