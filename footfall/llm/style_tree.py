@@ -7,10 +7,10 @@ its own presentations and from the texts below it. Branches of low importance ar
 left is the text.
 
 Tags that say what a branch is for count as presentation: a navigation or footer has no importance whatever it holds, and
-where pages name their article, only that is looked at. Class names are weaker evidence (`settle`): a branch called sidebar
-goes if it is a small part of its page or if the entropies say so too. So a host of a few pages, where entropies say
-nothing, gives the same text as a large one. Nodes of the tree are elements that form blocks; inline elements belong to
-their block.
+where pages name their article, only that is looked at, if it holds enough of the text that is left (`main_branches`).
+Class names are weaker evidence (`settle`): a branch called sidebar goes if it is a small part of its page or if the
+entropies say so too. So a host of a few pages, where entropies say nothing, gives the same text as a large one. Nodes of
+the tree are elements that form blocks; inline elements belong to their block.
 """
 
 from __future__ import annotations
@@ -20,6 +20,7 @@ import html
 import re
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -61,11 +62,14 @@ CARRIERS = frozenset(
     "box boxes container wrapper wrap block area section list bar inner outer slot unit panel group top bottom left right site page global main primary "
     "secondary link links button buttons icon icons item items post posts article articles entry story blog".split()
 )
+#: Further words that tell an article which is not the page's.
+TEASERS = frozenset("teaser teasers card cards preview previews tile tiles snippet snippets".split())
+ARTICLE_WORDS = ASIDE_WORDS | TEASERS
 TITLED = frozenset("post article entry story blog".split())
 #: Characters of a branch that are a small part of any page that has other text.
 LINE = 80
-#: Blocks whose classes and ids name no aside.
-UNNAMED = frozenset("html body main article h1 h2 h3 h4 h5 h6".split())
+#: Blocks whose classes and ids name asides.
+NAMED = BLOCKS - frozenset("html body main h1 h2 h3 h4 h5 h6".split())
 #: Weight of what lies below a node, least importance that stays, and pages that a node needs for its entropies to count.
 BELOW, LEAST, PAGES = 0.9, 0.2, 8
 #: Bins of a sketch, share of them in which near copies agree (pages without a named main text agree in their frame, too),
@@ -85,29 +89,31 @@ SPACE = re.compile(r"\s+")
 class Node:
     """An element: its name in the tree (tag, classes, id), its children (elements and texts), and its parent."""
 
-    __slots__ = ("aside", "children", "name", "named", "parent", "tag")
+    __slots__ = ("aside", "children", "name", "named", "outside", "parent", "size", "tag")
 
     def __init__(self, tag: str, name: str, aside: bool, parent: Node | None, named: bool = False):
         self.tag, self.name, self.aside, self.parent, self.named, self.children = tag, name, aside, parent, named, []
 
 
-def names_aside(label: str) -> bool:
+@lru_cache(4096)
+def names_aside(label: str, asides: frozenset[str] = ASIDE_WORDS) -> bool:
     """Whether a whole class or id is the name of an aside."""
     words = set(re.findall(r"[^\W\d_]+", label))
     if "header" in words and words & TITLED:
         return False
-    return not words.isdisjoint(ASIDE_WORDS) and words <= ASIDE_WORDS | CARRIERS
+    return not words.isdisjoint(asides) and words <= asides | CARRIERS
 
 
 def _element(tag: str, attributes: str, parent: Node) -> Node:
-    known = {}
-    if "=" in attributes or "hidden" in attributes:
-        known = {k.lower(): html.unescape(a or b or c or "") for k, a, b, c in ATTRIBUTES.findall(attributes)}
+    if "=" not in attributes and "hidden" not in attributes:
+        return Node(tag, tag, tag in ASIDE_TAGS, parent)
+    known = {k.lower(): html.unescape(a or b or c or "") for k, a, b, c in ATTRIBUTES.findall(attributes)}
     labels = f"{known.get('class', '')} {known.get('id', '')}".lower()
     hidden = "hidden" in known or known.get("aria-hidden") == "true" or "display:none" in known.get("style", "").replace(" ", "").lower()
     aside = bool(tag in ASIDE_TAGS or known.get("role", "").lower() in ASIDE_ROLES or hidden)
+    words = ASIDE_WORDS if tag != "article" else ARTICLE_WORDS
     # Words of inline elements and headings tell what they say, not what they are for.
-    named = not aside and tag in BLOCKS - UNNAMED and any(names_aside(x) for x in labels.split())
+    named = not aside and tag in NAMED and any(names_aside(x, words) for x in labels.split())
     # Numbers in classes and ids differ from page to page; they are one name in the tree.
     label = re.sub(r"\d+", "#", SPACE.sub(".", labels.strip()))
     return Node(tag, f"{tag}.{label}" if label else tag, aside, parent, named)
@@ -117,7 +123,7 @@ def parse(page: str) -> Node:
     """The DOM of a page: elements and texts, without comments, scripts and the like. Missing end tags are put where HTML
     puts them; a stray ``<`` is text."""
     root = at = Node("", "", False, None)
-    place, raw, named = 0, None, False
+    place, raw, named, held = 0, None, [], []
     for m in TOKENS.finditer(page):
         if m.start() < place:
             continue
@@ -156,66 +162,83 @@ def parse(page: str) -> Node:
         attributes = m[3] or m[4] or ""
         child = _element(tag, attributes, at)
         at.children.append(child)
-        named |= child.named
+        if child.named:
+            named.append(child)
+        elif tag in ("article", "main"):
+            held.append(child)
         if tag not in VOID and not attributes.endswith("/"):
             at = child
     if place < len(page):
         at.children.append(page[place:])
     if named:
-        settle(root)
+        settle(root, named, held)
     return root
 
 
-def settle(root: Node) -> None:
+def settle(root: Node, named: list[Node], held: list[Node]) -> None:
     """Make asides of the named elements that are a small part of their page: no longer than the text outside of named
-    elements, or than a line. Others are branches like any (the entropies may still remove them), and what lies in them
-    outside of further named elements counts as outside from then on. Elements that hold a main element or the page's
-    article are never asides; of several articles alike in length none is the page's.
+    elements, or than a line. Others are branches like any (the entropies may still remove them), all of their name with
+    them, and what lies in them outside of further named elements counts as outside from then on. Elements that hold a main element or the page's
+    article are never asides; of several articles alike in length none is the page's. ``named`` and ``held`` (articles and main elements) are in page order.
     """
     order, todo = [], [root]
     while todo:
         node = todo.pop()
         order.append(node)
         todo += [c for c in node.children if isinstance(c, Node) and not c.aside]
-    size: dict[Node, int] = {}
-    outside: dict[Node, int] = {}
     for node in reversed(order):
-        own = sum(len(c.strip()) for c in node.children if isinstance(c, str))
-        parts = [c for c in node.children if isinstance(c, Node) and not c.aside]
-        size[node] = own + sum(size[c] for c in parts)
-        outside[node] = own + sum(outside[c] for c in parts if not c.named)
-    over: dict[Node, Node] = {}  # the nearest named element above, or the root
-    inside: dict[Node, list[Node]] = {root: []}
-    articles, below = [], set()
-    for node in order[1:]:
-        over[node] = node.parent if node.parent.named else over.get(node.parent, root)
-        if node.named:
-            inside.setdefault(over[node], []).append(node)
-        if node.parent in below:
-            below.add(node)
-        elif node.tag == "article" and not node.named:
+        size = outside = 0
+        for c in node.children:
+            if isinstance(c, str):
+                n = len(c.strip())
+                size += n
+                outside += n
+            elif not c.aside:
+                size += c.size
+                outside += 0 if c.named else c.outside
+        node.size, node.outside = size, outside
+    inside: dict[Node, dict[str, list[Node]]] = {}  # by the named element above and by name, as a list of cards is one thing
+    seen = set(order)
+    for node in named:
+        if node in seen:
+            over = node.parent
+            while over is not root and not over.named:
+                over = over.parent
+            inside.setdefault(over, {}).setdefault(node.name, []).append(node)
+    below, articles = set(), []
+    for node in held:
+        over = node.parent
+        while over is not None and over not in below:
+            over = over.parent
+        if node.tag == "article" and node in seen and over is None:
             articles.append(node)
             below.add(node)
-    articles.sort(key=lambda n: -size[n])
-    held = [n for n in order if n.tag == "main"]
-    if articles and (len(articles) == 1 or size[articles[0]] >= 2 * size[articles[1]]):
+    articles.sort(key=lambda n: -n.size)
+    held = [n for n in held if n.tag == "main" and n in seen]
+    if articles and (len(articles) == 1 or articles[0].size >= 2 * articles[1].size):
         held.append(articles[0])
     holds = set()
     for node in held:
         while node is not None and node not in holds:
             holds.add(node)
             node = node.parent
-    place = {node: i for i, node in enumerate(order)}
-    queue = [(node not in holds, -size[node], place[node], node) for node in inside[root]]
-    heapq.heapify(queue)
-    rest = outside[root]
+    queue, n = [], 0
+
+    def add(top: Node) -> None:
+        nonlocal n
+        for alike in inside.get(top, {}).values():
+            n += 1
+            heapq.heappush(queue, (holds.isdisjoint(alike), -max(x.size for x in alike), n, alike))
+
+    add(root)
+    rest = root.outside
     while queue and (not queue[0][0] or -queue[0][1] > (max(rest, LINE) if rest else 0)):
-        node = heapq.heappop(queue)[3]
-        rest += outside[node]
-        for n in inside.get(node, ()):
-            heapq.heappush(queue, (n not in holds, -size[n], place[n], n))
-    for *_, node in queue:
-        node.aside = True
+        for node in heapq.heappop(queue)[3]:
+            rest += node.outside
+            add(node)
+    for *_, alike in queue:
+        for node in alike:
+            node.aside = True
 
 
 def step(path: str, node: Node) -> str:
@@ -232,20 +255,53 @@ def walk(root: Node) -> Iterator[tuple[Node, str]]:
         todo += [(c, step(path, c)) for c in reversed(node.children) if isinstance(c, Node)]
 
 
-def main_branches(root: Node) -> list[Node]:
-    """The elements that say they are the main text; the whole page if none does."""
-    found: list[Node] = []
-    for kind in (lambda n: n.tag == "article", lambda n: n.tag == "main" or n.name.endswith(".main")):
-        todo = [root]
+def main_branches(root: Node, tree: list[tuple[Node, str]], removed: frozenset[str] = frozenset()) -> list[Node]:
+    """The elements that are the main text, chosen by the amount of text in them without the branches in ``removed``.
+
+    Articles are, if the longest holds half as much as lies outside of articles; else the main element or the whole page
+    is, with the articles in it. A main element is the part of the page that is looked at, unless an article elsewhere is
+    twice as long or twice as much lies outside of both. ``tree`` is the `walk` of the page.
+    """
+    def named(tops: list[Node]) -> tuple[list[Node], list[Node]]:
+        """Topmost articles and main elements below ``tops``."""
+        articles, mains, todo = [], [], [c for top in reversed(tops) for c in reversed(top.children)]
         while todo:
             node = todo.pop()
-            if kind(node) and not node.aside:
-                found.append(node)
+            if isinstance(node, str) or node.aside:
                 continue
-            todo += [c for c in reversed(node.children) if isinstance(c, Node) and not c.aside]
-        if found:
-            return found
-    return [root]
+            if node.tag == "article":
+                articles.append(node)
+            elif node.tag == "main" or node.name.endswith(".main"):
+                mains.append(node)
+            else:
+                todo += reversed(node.children)
+        return articles, mains
+
+    articles, mains = named([root])
+    if not articles and not mains:
+        return [root]
+    for node, path in reversed(tree):
+        size = 0
+        if not node.aside and not (node.tag in BLOCKS and path in removed):
+            for c in node.children:
+                size += len(c.strip()) if isinstance(c, str) else c.size
+        node.size = size
+
+    def total(nodes: list[Node]) -> int:
+        return sum(n.size for n in nodes)
+
+    tops = [root]
+    if mains and 2 * total(mains) >= max((n.size for n in articles), default=0) and 2 * total(mains) >= root.size - total(mains) - total(articles):
+        tops, articles = mains, []
+    while mains:  # a main element inside another adds nothing but its articles
+        more, mains = named(mains)
+        articles += more
+    if articles and 2 * max(n.size for n in articles) >= total(tops) - total(articles):
+        if len(articles) > 1:
+            place = {node: i for i, (node, _) in enumerate(tree)}
+            articles.sort(key=place.__getitem__)
+        return articles
+    return tops
 
 
 def blocks(node: Node, path: str, removed: frozenset[str] = frozenset()) -> Iterator[tuple[str, str]]:
@@ -280,27 +336,38 @@ def blocks(node: Node, path: str, removed: frozenset[str] = frozenset()) -> Iter
         yield at, text
 
 
+def plain(node: Node) -> str:
+    """All texts below a node without asides, a space between any two; cheaper than its blocks."""
+    parts, todo = [], [node]
+    while todo:
+        item = todo.pop()
+        if isinstance(item, str):
+            parts.append(item)
+        elif item is node or not item.aside:
+            todo += reversed(item.children)
+    return " ".join(html.unescape(" ".join(parts)).split())
+
+
 def main_text(page: str, removed: frozenset[str] = frozenset()) -> str:
     """The blocks of the main branches, one per line, without asides and the branches in ``removed``."""
     root = parse(page)
-    paths = {id(n): p for n, p in walk(root)}
+    tree = list(walk(root))
+    paths = dict(tree)
     lines: list[str] = []
-    for branch in main_branches(root):
-        lines += [text for _, text in blocks(branch, paths[id(branch)], removed)]
+    for branch in main_branches(root, tree, removed):
+        lines += [text for _, text in blocks(branch, paths[branch], removed)]
     return "\n".join(lines)
 
 
 def sketch(text: str) -> np.ndarray:
     """The least hash of word pairs in each of 32 bins; near copies agree in most. Scripts without spaces give characters."""
-    words = text.split()
+    words = text.encode().split()
     if len(text) > 20 * len(words):
-        words = list(text)
-    h = np.fromiter(map(zlib.crc32, map(str.encode, words)), np.uint64, len(words))
-    h = mixed(h[:-1] * np.uint64(0x9E3779B97F4A7C15) + h[1:] if len(h) > 1 else h)
-    none = np.iinfo(np.uint64).max
-    best = np.full(BINS, none)
-    np.minimum.at(best, (h >> np.uint64(59)).astype(np.int64), h)
-    return (best[best != none] >> np.uint64(1)).astype(np.int64)
+        words = [c.encode() for c in text]
+    h = np.array([zlib.crc32(w) for w in words], np.uint64)
+    h = np.sort(mixed(h[:-1] * np.uint64(0x9E3779B97F4A7C15) + h[1:] if len(h) > 1 else h))
+    bins = h >> np.uint64(64 - BINS.bit_length() + 1)
+    return (h[np.diff(bins, prepend=np.uint64(BINS)) != 0] >> np.uint64(1)).astype(np.int64)
 
 
 PAGE = "host string, key long, page long, whole boolean, bins array<long>, nodes array<struct<path:string,kind:int,feature:long>>"
@@ -314,21 +381,21 @@ def styles(pages: DataFrame) -> DataFrame:
         def work(batch: pa.RecordBatch) -> pa.RecordBatch:
             keys, ids, whole, bins, sizes, nodes = [], [], [], [], [], []
             for page in batch.column("html").to_pylist():
-                root, own, paths = parse(page or ""), set(), {}
-                for node, path in walk(root):
-                    paths[node] = path
+                root, own = parse(page or ""), set()
+                tree = list(walk(root))
+                paths = dict(tree)
+                for node, path in tree:
                     if node.tag not in BLOCKS and node is not root:
                         continue
                     names = [c.name for c in node.children if isinstance(c, Node) and c.tag in BLOCKS]
                     runs = [n for i, n in enumerate(names) if not i or names[i - 1] != n]  # a longer list is no other style
                     own.add((path, 0, xxhash.xxh64_intdigest(" ".join(runs)) >> 1))
-                found = list(blocks(root, ""))
-                own |= {(path, 1, xxhash.xxh64_intdigest(text) >> 1) for path, text in found}
-                branches = main_branches(root)
-                held = [found if b is root else list(blocks(b, paths[b])) for b in branches]
-                longest = max(range(len(held)), key=lambda i: sum(len(text) for _, text in held[i]))
+                own |= {(path, 1, xxhash.xxh64_intdigest(text) >> 1) for path, text in blocks(root, "")}
+                branches = main_branches(root, tree)
+                held = [plain(b) for b in branches]
+                longest = max(range(len(held)), key=lambda i: len(held[i]))
                 own.add((paths[branches[longest]], 2, 0))
-                text = "\n".join(text for lines in held for _, text in lines)
+                text = " ".join(held)
                 keys.append(xxhash.xxh64_intdigest(text) >> 1)
                 ids.append(xxhash.xxh64_intdigest(page or "") >> 1)
                 whole.append(branches == [root])
@@ -357,7 +424,9 @@ def near_copies(texts: DataFrame) -> DataFrame:
     """
     least = F.when(F.col("whole"), COPY_WHOLE).otherwise(COPY) * F.size("bins")
     members = texts.select("host", "key", least.alias("least"), F.explode("bins").alias("bin"))
-    hubs = members.groupBy("host", "bin", F.pmod("key", F.lit(HUBS)).alias("class")).agg(F.min("key").alias("hub")).drop("class")
+    of_class = [F.min(F.when(F.pmod("key", F.lit(HUBS)) == c, F.col("key"))) for c in range(HUBS)]
+    shared = members.groupBy("host", "bin").agg(F.array_compact(F.array(*of_class)).alias("hubs"), F.count("*").alias("n")).where("n > 1")
+    hubs = shared.select("host", "bin", F.explode("hubs").alias("hub"))
     met = salted_join(members, hubs, ["host", "bin"], ["key"]).where(F.col("hub") < F.col("key"))
     return met.groupBy("host", "key", "hub", "least").count().where(F.col("count") >= F.col("least")).select("host", "key").distinct()
 

@@ -146,3 +146,29 @@ def test_articles_alike_in_their_blocks_keep_them(spark):
     blocks = [f"<p>{prose(i, 5)}</p>" for i in range(12)]
     rows = [f"<body><article>{''.join(blocks[i:] + blocks[:i])}</article><p>{prose(300 + i, 9)}</p></body>" for i in range(12)]
     assert all(t.count("\n") == 11 for t in page_texts(spark, rows))
+
+
+TEASER = "<article><h3>More</h3><p>elsewhere</p></article>"
+
+
+@pytest.mark.parametrize(("page", "text"), [
+    (f"<main><p>{LONG}</p></main>{TEASER * 3}", LONG),
+    (f"<body><div class='story'><p>{LONG}</p></div><div class='related'>{TEASER * 2}</div></body>", LONG),
+    (f"<body><div class='story'><p>{LONG}</p></div>{TEASER}</body>", f"{LONG}\nMore\nelsewhere"),
+    (f"<body><p>{LONG}</p><article class='teaser'><p>{prose(2, 30)}</p></article><article class='post-card'>c</article></body>", LONG),
+    (f"<main><article><p>{LONG}</p></article><div><p>{prose(2, 20)}</p></div></main>", LONG),
+    (f"<article><p>{LONG}</p><article id='comment-7'><p>first</p></article></article>", LONG),
+    (f"<body><p>{LONG}</p><div id='comments'><article class='comment'>{prose(2, 20)}</article></div></body>", LONG),
+    ("<body>" + "".join(f"<article class='card'><p>{prose(i, 9 + i)}</p></article>" for i in range(8)) + "<p>foot</p></body>", "\n".join(prose(i, 9 + i) for i in range(8))),
+    ("<main></main><div><article><p>a</p></article></div>", "a"),
+    (f"<main><p>intro</p></main><article><p>{LONG}</p></article>", LONG),
+])
+def test_an_article_is_chosen_by_its_text(page, text):
+    assert main_text(page) == text
+
+
+def test_importance_chooses_among_articles_and_the_rest(spark):
+    """A longer article that is the same on every page is no main text; a main element that differs is."""
+    same = f"<article><p>{prose(7, 90)}</p></article>"
+    df = pages(spark, [(i, "http://w.example/", f"<body>{same}<main><p>{prose(50 + i, 60)}</p></main></body>") for i in range(20)])
+    assert {r.page_id: r.text for r in extract(df).collect()} == {i: prose(50 + i, 60) for i in range(20)}
