@@ -146,30 +146,33 @@ def distinct_vectors(rows: DataFrame, id_col: str, vector: str, most: int) -> Da
     return few.groupBy("vector").agg(F.sort_array(F.collect_list("id")).alias("ids"))
 
 
-INDEX = "dim int, shard int, n int, entry int, vectors array<float>, ids array<array<long>>, rows array<array<int>>, links array<array<int>>"
+INDEX = "dim int, shard int, n int, entry int, vectors {vectors}, ids array<array<long>>, rows array<array<int>>, links array<array<int>>"
 
 
 def build_index(vectors: DataFrame, shard: int = SHARD) -> DataFrame:
     """One row per shard of ``vector, ids``: vectors, ids, and per level the rows of nodes and the flat neighbour array.
 
-    Vectors of different lengths never meet: the length is part of the shard.
+    Vectors of different lengths never meet: the length is part of the shard. Those of floats are kept as floats, others as
+    doubles.
     """
     dims = [(r.dim, max(1, -(-r.n // shard))) for r in vectors.groupBy(F.size("vector").alias("dim")).agg(F.count("*").alias("n")).collect()]
     shards = F.create_map(*(F.lit(x) for pair in dims for x in pair)) if dims else F.lit(None).cast("map<int,int>")
     dealt = vectors.withColumn("dim", F.size("vector"))
     dealt = dealt.withColumn("shard", F.pmod(F.xxhash64("vector"), F.element_at(shards, F.col("dim"))).cast("int"))
-    dealt = dealt.withColumn("vector", F.col("vector").cast("array<float>"))
+    kind = "array<float>" if vectors.schema["vector"].dataType.simpleString() == "array<float>" else "array<double>"
+    own = np.float32 if kind == "array<float>" else np.float64
+    dealt = dealt.withColumn("vector", F.col("vector").cast(kind))
     # A graph is long work on few bytes: a fixed number of partitions is not put together again by size.
     dealt = dealt.repartition(sum(n for _, n in dims) or 1, "dim", "shard")
 
     def build(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("ids", key=lambda c: c.map(lambda x: x[0]))
-        x = np.array(rows["vector"].tolist(), np.float32).astype(np.float64)
+        x = np.array(rows["vector"].tolist(), np.float64)
         graph = Graph.build(x)
-        one = (int(rows["dim"].iloc[0]), int(rows["shard"].iloc[0]), len(x), graph.entry, x.ravel().astype(np.float32), rows["ids"].tolist())
+        one = (int(rows["dim"].iloc[0]), int(rows["shard"].iloc[0]), len(x), graph.entry, x.ravel().astype(own), rows["ids"].tolist())
         return pd.DataFrame([(*one, graph.rows, [link.ravel() for link in graph.links])], columns=["dim", "shard", "n", "entry", "vectors", "ids", "rows", "links"])
 
-    return dealt.groupBy("dim", "shard").applyInPandas(build, INDEX)
+    return dealt.groupBy("dim", "shard").applyInPandas(build, INDEX.format(vectors=kind))
 
 
 def nearest(rows: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "vec_id", vector: str = "embedding", shard: int = SHARD, breadth: int = SEARCH) -> DataFrame:

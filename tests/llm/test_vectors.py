@@ -126,3 +126,12 @@ def test_a_group_of_near_copies_is_reached():
     graph = hnsw.Graph.build(x)
     found = [len(set(graph.search(x[i], 10).tolist()) & set(np.argsort(((x - x[i]) ** 2).sum(axis=1))[:10].tolist())) for i in range(0, 1500, 25)]
     assert np.mean(found) >= 9.5
+
+
+def test_nearest_keeps_doubles(spark):
+    """Vectors that differ beyond the precision of floats, and one whose components no float holds."""
+    rows = [(1, [1.0 + 2e-12, 0.0]), (2, [1.0 + 1e-12, 0.0]), (3, [1.0, 0.0]), (4, [1e39, 0.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = hnsw.nearest(df, df.where("vec_id = 3"), k=3).orderBy("rank").collect()
+    assert [r.vec_id for r in got] == [2, 1, 4]
+    assert [r.score for r in got] == [rows[1][1][0] - 1, rows[0][1][0] - 1, 1e39]
