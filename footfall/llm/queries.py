@@ -8,7 +8,20 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from footfall.llm import bpe, hnsw, line_dedup, mixing, near_dedup, piece_counts, secrets, style_tree, subspace_join, toxicity
+from footfall.llm import (
+    bpe,
+    fill_in_middle,
+    hnsw,
+    licenses,
+    line_dedup,
+    mixing,
+    near_dedup,
+    piece_counts,
+    secrets,
+    style_tree,
+    subspace_join,
+    toxicity,
+)
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 PIECE_BPE = public_tokenizers.path("piece_bpe_32k.model")
@@ -100,3 +113,16 @@ def op9_html_text(spark: SparkSession, folder: str) -> DataFrame:
 def op10_nearest(spark: SparkSession, folder: str) -> DataFrame:
     vectors = table(spark, folder, "embeddings").select("vec_id", "embedding")
     return hnsw.nearest(vectors, vectors.where("vec_id % 100 = 0"))
+
+
+@query
+def op11_fill_in_middle(spark: SparkSession, folder: str) -> DataFrame:
+    return fill_in_middle.digest(fill_in_middle.fill_in_middle(table(spark, folder, "documents")))
+
+
+ORACLE["op11_fill_in_middle"] = fill_in_middle.ORACLE_SQL
+
+
+@query
+def op12_licenses(spark: SparkSession, folder: str) -> DataFrame:
+    return licenses.digest(licenses.scan(table(spark, folder, "documents")))
