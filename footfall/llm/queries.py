@@ -18,6 +18,7 @@ from footfall.llm import (
     near_dedup,
     piece_counts,
     secrets,
+    spelling,
     style_tree,
     subspace_join,
     toxicity,
@@ -126,3 +127,8 @@ ORACLE["op11_fill_in_middle"] = fill_in_middle.ORACLE_SQL
 @query
 def op12_licenses(spark: SparkSession, folder: str) -> DataFrame:
     return licenses.digest(licenses.scan(table(spark, folder, "documents")))
+
+
+@query
+def op13_spelling(spark: SparkSession, folder: str) -> DataFrame:
+    return spelling.spelling_variants(table(spark, folder, "documents"))

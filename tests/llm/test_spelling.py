@@ -1,0 +1,133 @@
+from __future__ import annotations
+
+import random
+import re
+import zlib
+from collections import Counter, defaultdict
+
+import pytest
+from helpers import DATA, documents, odd_rows
+from pyspark.sql import functions as F
+
+from footfall.llm.queries import QUERIES
+from footfall.llm.spelling import common_chars, last_forms, near_pairs, spelling_variants, trie
+
+RUN = re.compile("[A-Za-zÀ-ÿ]+")
+
+
+def counted(rows, noise=199):
+    counts = Counter()
+    for doc_id, text in rows:
+        for run in RUN.findall(text or ""):
+            run = "".join(c.lower() if c.isascii() else c for c in run)
+            h = zlib.crc32(f"{'' if doc_id is None else doc_id}:{run}".encode())
+            if h % noise == 0:
+                run = run[: h % len(run)] + run[h % len(run) + 1 :]
+            counts[run] += 1
+    return counts
+
+
+def near_words(words):
+    """Pairs one edit apart, from the words with one character left out."""
+    holes, near = defaultdict(set), defaultdict(set)
+    for w in words:
+        for i in range(len(w)):
+            holes[w[:i], w[i + 1 :]].add(w)
+    for (a, b), same in holes.items():
+        for w in same:
+            near[w] |= same - {w}
+            if a + b in words:
+                near[w].add(a + b)
+                near[a + b].add(w)
+    return near
+
+
+def plainly(rows, min_chars=6, min_count=5, noise=199):
+    n = {w: c for w, c in counted(rows, noise).items() if len(w) >= min_chars and c >= min_count}
+    near, forms = near_words(n), {}
+    for w in n:
+        best = min(near[w], key=lambda x: (-n[x], x), default=None)
+        forms[w] = best if best is not None and n[best] >= 5 * n[w] else None
+    out = set()
+    for w in n:
+        root = w
+        while forms[root]:
+            root = forms[root]
+        out.add((w, forms[w], root, n[w], len(near[w]), n[forms[w]] if forms[w] else None))
+    return out
+
+
+def check(spark, rows, **kwargs):
+    got = [tuple(r) for r in spelling_variants(documents(spark, rows), **kwargs).collect()]
+    assert set(got) == plainly(rows, **kwargs) and len(got) == len(set(got))
+    return got
+
+
+def test_pairs_against_brute_force(spark):
+    rng = random.Random(13)
+    words = {"".join(rng.choice("abà") for _ in range(rng.randint(1, 7))) for _ in range(900)}
+    words |= {"abc" * 30, "abc" * 30 + "d", "abc" * 29 + "abd", "abc" * 10 + "x" + "abc" * 20}
+    df = spark.createDataFrame([(w, 1) for w in words], "word string, n long")
+    got = [(r.word, r.near) for r in near_pairs(df).collect()]
+    near = near_words(words)
+    assert len(got) == len(set(got)) and set(got) == {(w, x) for w in words for x in near[w]}
+
+
+def test_trie_holds_every_word_once(spark):
+    words = {"car", "cart", "care", "carton", "dog", "do", "c", "zebra" * 1000}
+    levels = trie(spark.createDataFrame([(w, len(w)) for w in words], "word string, n long"))
+    edges = [r for level in levels for r in level.edges.collect()]
+    assert {r.child: r.child_n for r in edges if r.child_n} == {w: len(w) for w in words}
+    assert all(r.node + r.label == r.child and r.label[0] == r.first for r in edges)
+    assert len(levels) == 4
+
+
+def test_common_chars(spark):
+    cases = [("abc", "abd", 2), ("abc", "abc", 3), ("ab", "abc", 2), ("", "a", 0), ("", "", 0), ("éa", "éb", 1), ("x", "y", 0)]
+    df = spark.createDataFrame(cases, "a string, b string, n int")
+    assert df.where(common_chars(F.col("a"), F.col("b")) != F.col("n")).count() == 0
+
+
+def test_variants_against_the_contract(spark):
+    rng = random.Random(3)
+    stems = ["Harbour", "measure", "distance", "ÉCOLEnoire", "straße", "mississippi", "aaaaaaaa", "naïveté"]
+
+    def spoilt(w):
+        i, c = rng.randrange(len(w)), rng.choice("abéx")
+        return rng.choice([w[:i] + w[i + 1 :], w[:i] + c + w[i:], w[:i] + c + w[i + 1 :], w.upper(), w])
+
+    weights = [100, 50, 20, 20, 9, 9, 30, 5]
+    rows = [(i, "1, ".join(spoilt(w) if rng.random() < 0.5 else w for w in rng.choices(stems, weights, k=rng.randint(0, 60)))) for i in range(250)]
+    assert {r[4] for r in check(spark, rows)} > {0}
+    assert len(check(spark, rows, noise=7)) > 100
+
+
+def test_chains_are_followed_to_the_end(spark):
+    forms = [(f"w{i}", f"w{i + 1}") for i in range(9)]
+    df = spark.createDataFrame(forms, "word string, form string")
+    assert {(r.word, r.root) for r in last_forms(df, 9).collect()} == {(a, "w9") for a, _ in forms}
+    text = " ".join(["colours"] * 5 + ["colour"] * 25 + ["colur"] * 4 + ["colourr"] * 130)
+    rows = [(1, text)]
+    assert {(r[0], r[1], r[2]) for r in check(spark, rows)} == {("colours", "colourr", "colourr"), ("colour", "colourr", "colourr"), ("colourr", None, "colourr")}
+
+
+def test_ties_go_to_the_least_word(spark):
+    rows = [(1, " ".join(["bridga"] * 5 + ["bridge"] * 25 + ["bridgé"] * 25))]
+    assert ("bridga", "bridge", "bridge", 5, 2, 25) in check(spark, rows)
+
+
+def test_odd_rows_and_empty_table(spark):
+    check(spark, [*odd_rows(), (7, "HARBOUR " * 5), (7, "HARBOUR " * 5), (None, "harbour x" * 9), (8, "a" * 50_000 + " "), (8, ("b" * 20_000 + " ") * 6)])
+    assert spelling_variants(documents(spark, []).limit(0)).count() == 0
+    assert spelling_variants(documents(spark, [(1, None), (2, "")])).count() == 0
+    clash = spark.createDataFrame([(1, "harbour " * 6, "x", 3)], "doc_id int, text string, word string, n int")
+    assert [tuple(r) for r in spelling_variants(clash, noise=10**9).collect()] == [("harbour", None, "harbour", 6, 0, None)]
+    with pytest.raises(ValueError):
+        spelling_variants(clash, ratio=1)
+
+
+def test_query_against_brute_force(spark):
+    docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{DATA}/documents.parquet").collect()]
+    got = QUERIES["op13_spelling"](spark, DATA)
+    assert got.columns == ["word", "form", "root", "n", "n_near", "form_n"]
+    assert {tuple(r) for r in got.collect()} == plainly(docs)
