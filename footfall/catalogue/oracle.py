@@ -365,11 +365,70 @@ _MI = (
     + ", 9) as mi from mi_counts cross join mi_total"
 )
 
+
+
+def _least_squares() -> str:
+    """The regression of every app by elimination, a statement per predictor: the part of the others and of the responses that
+    a predictor explains is taken out of them, so that what is left at the last predictor is its own effect."""
+    unknown = {f"{a}_nan": "1 - (" + " + ".join(levels.values()) + ")" for a, levels in INDICATORS.items()}
+    first = {next(iter(levels.values())) for levels in INDICATORS.values()}
+    behaviour = ["beforeuse", "beforedown", "beforesearch", "Guse", "NGuse", "Huse", "Luse"]
+    terms = ["one", *behaviour, *(c for c in INDICATOR_NAMES if c not in first), *unknown, "is_expose"]
+    values = ", ".join(f"cast({unknown.get(c, '1' if c == 'one' else c)} as double) as {c}" for c in [*terms, "nowuse", "afteruse"])
+    complete = f"select appname, {values} from ({FEATURES}) where appname <> '{vw.LOST_APP}'"
+    steps = [f"e0 as materialized ({complete})"]
+    sizes = ", ".join(f"sum({c} * {c}) as {c}" for c in terms)
+    steps.append(f"lengths as (select appname, count(*) as n, {sizes} from e0 group by appname)")
+    for j, term in enumerate(terms[:-1]):
+        later = [*terms[j + 1 :], "nowuse", "afteruse"]
+        own = f"sum(e.{term} * e.{term}) over app"
+        used = f"{own} > 1e-16 * l.{term}"
+        left = ", ".join(
+            f"e.{c} - case when {used} then e.{term} * (sum(e.{term} * e.{c}) over app) / ({own}) else 0 end as {c}" for c in later
+        )
+        spread = "".join(f", e.{y} as {y}_around" if j == 1 else f", e.{y}_around" for y in ("nowuse", "afteruse")) if j else ""
+        steps.append(
+            f"""e{j + 1} as materialized (select e.appname, {left}{spread}, {'e.rank + ' if j else ''}
+            case when {used} then 1 else 0 end as rank from e{j} e join lengths l on e.appname = l.appname
+            window app as (partition by e.appname))"""
+        )
+    ys = [("1", "nowuse"), ("2", "afteruse")]
+    sums = ", ".join(
+        f"sum(is_expose * {y}) as xy{i}, sum({y} * {y}) as yy{i}, sum({y}_around * {y}_around) as total{i}" for i, y in ys
+    )
+    steps.append(
+        f"""last as (select e.appname, any_value(l.n) as n, any_value(e.rank) as others, sum(is_expose * is_expose) as xx,
+        sum(is_expose * is_expose) <= 1e-16 * any_value(l.x0) as aliased, {sums}
+        from e{len(terms) - 1} e join (select appname, n, is_expose as x0 from lengths) l on e.appname = l.appname group by e.appname)"""
+    )
+    steps.append(
+        """fits as (select *, others + case when aliased then 0 else 1 end as rank, """
+        + ", ".join(f"yy{i} - case when aliased then 0 else xy{i} * xy{i} / xx end as sse{i}" for i, _ in ys)
+        + " from last)"
+    )
+    shown = ", ".join(
+        f"""round(case when not aliased then xy{i} / xx end, 6) as c{i},
+        round(case when not aliased and n > rank then sqrt(greatest(sse{i}, 0) / (n - rank) / xx) end, 6) as se{i},
+        round(1 - sse{i} / nullif(total{i}, 0), 6) as r2_{i}"""
+        for i, _ in ys
+    )
+    empty = ", ".join(f"null as c{i}, null as se{i}, null as r2_{i}" for i, _ in ys)
+    return (
+        _with("select 1 from regression").rsplit("\n", 1)[0]
+        + ",\n"
+        + ",\n".join(steps)
+        + f"""\nselect appname, n, {shown}, aliased, case when n > rank then 'fitted' else 'no degrees of freedom' end as status
+        from fits union all select appname, 0, {empty}, true, 'no complete rows'
+        from (select distinct appname from regression where appname = '{vw.LOST_APP}')"""
+    )
+
+
 ORACLE: dict[str, str] = {name: _with(sql) for name, sql in _PLAIN.items()}
 ORACLE["word_mi"] = ORACLE["word_mi_from_lists"] = _with(_MI)
 ORACLE["cohort_matched"] = ORACLE["cohort_matched_browsers"].replace(
     VIEWS["population"], "select c_custkey as imei from customer"
 )
+ORACLE["ols_exposure_effect"] = _least_squares()
 ORACLE["strata_counts"] = _did_with(["base_gender", "city_level"], rates=False)
 ORACLE["did_by_app"] = _did_with(["base_gender", "city_level"])
 ORACLE["did_by_app_4key"] = _did_with(["base_age", "base_gender", "city_level", "on_price"])

@@ -225,15 +225,30 @@ def ols_simple_by_app(v: Views) -> DataFrame:
     return rounded(fits, *(c for c in fits.columns if c not in ("appname", "n")))
 
 
+def _design(v: Views) -> DataFrame:
+    return panel.regression_design(_regression_features(v))
+
+
 @query
 def ols_by_app(v: Views) -> DataFrame:
-    return ols.ols_by_group(_regression_features(v), "appname", panel.PREDICTORS, panel.RESPONSES)
+    return ols.ols_by_group(_design(v), "appname", panel.PREDICTORS, panel.RESPONSES)
+
+
+@query
+def ols_exposure_effect(v: Views) -> DataFrame:
+    """What exposure adds to all other predictors, with standard error, R2 and state of every app's regression; the users of
+    one app have no group time, so that none of its rows is complete."""
+    behaviour = [c for c in panel.PREDICTORS if c != "is_expose"]
+    lost = F.when(F.col("appname") != vw.LOST_APP, F.col("Guse"))
+    fits = ols.ols_by_group(_design(v).withColumn("Guse", lost), "appname", [*behaviour, "is_expose"], panel.RESPONSES)
+    shown = fits.where(F.col("term") == "is_expose").drop("term")
+    return rounded(shown, *ols.result_columns(len(panel.RESPONSES)))
 
 
 @query
 def ols_normal_equations(v: Views) -> DataFrame:
     """Every predictor is orthogonal to the residuals of the fits, aliased ones included."""
-    data = stage(_regression_features(v), "regression_features")
+    data = stage(_design(v), "regression_design")
     fits = ols.ols_by_group(data, "appname", panel.PREDICTORS, panel.RESPONSES)
     gaps = ols.normal_equations(data, fits, "appname", panel.PREDICTORS, panel.RESPONSES)
     return rounded(gaps, "gap_r1", "gap_r2")

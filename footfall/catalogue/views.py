@@ -20,6 +20,7 @@ MIN_EXPOSURE = 10000
 DAYS = list(range(20240101, 20240131))
 CATEGORIES = [f"cat{i}" for i in range(1, 37)]
 LDA_PARTITIONS = 8
+LOST_APP = "Brand#3"
 SEED_WORDS = ("thble", "thtion", "attion", "nicht")
 ANY_WORDS = ("thble", "attion", "nicht")
 PAIR_WORDS = (

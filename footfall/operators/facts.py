@@ -14,10 +14,10 @@ from pyspark.sql import functions as F
 
 from footfall.functions.calendar import Campaign, Period, in_campaign, period_of, snapshot_period
 from footfall.functions.numeric import flag, zero_if_null
-from footfall.operators.joins import salted_join, split_hot_keys
+from footfall.operators.joins import salted_join
+from footfall.operators.names import names_in_texts
 
 PAIR = ["imei", "appname"]
-MOST_APPS = 1000  # names that are looked for inside the scan
 
 
 def of_apps(facts: DataFrame, apps: DataFrame) -> DataFrame:
@@ -54,27 +54,15 @@ def clicks_in(clicks: DataFrame, period: Period) -> DataFrame:
     return clicks.where((day >= period.lo) & (day < period.hi) & (F.col("click_nums") > 0)).select(*PAIR)
 
 
-def search_hits(
-    cohort: DataFrame, queries: DataFrame, campaign: Campaign, *, regex: bool = False, most_apps: int = MOST_APPS
-) -> DataFrame:
+def search_hits(cohort: DataFrame, queries: DataFrame, campaign: Campaign, *, regex: bool = False) -> DataFrame:
     """Searches whose text names an app of the cohort; ``regex`` reads the name as a pattern.
 
-    Up to ``most_apps`` names are looked for where the text is read: it becomes the names it holds, and no text is moved.
-    Whose pairs are in the cohort is left to the join of the folded rows. With more names, texts go to the apps of their
-    user.
+    A text becomes the names it holds where it is read, through an index of the names. Whose pairs are in the cohort is left
+    to the join of the folded rows.
     """
-    named: Callable[[Column, Column], Column] = F.rlike if regex else F.contains
-    names = cohort.select("appname").where(F.col("appname").isNotNull()).distinct().limit(most_apps + 1).collect()
-    if len(names) <= most_apps:
-        apps = F.array(*(F.lit(r.appname) for r in sorted(names))).cast("array<string>")
-        held = F.filter(apps, lambda app: named(F.col("query"), app))
-        rows = timed(queries, campaign, "imei", "query").select("imei", "time", F.explode(held).alias("appname"))
-        return rows.withColumn("n", F.lit(1).cast("long")).select(*PAIR, "time", "n")
-    asked = timed(queries, campaign, "imei", "query").groupBy("imei", "query", "time").agg(F.count("*").alias("n"))
-    pairs = cohort.select(*PAIR).distinct()
-    # Raw rows bound the folded ones, and counting them shuffles no texts.
-    counts = timed(queries, campaign, "imei").groupBy("imei").agg(F.count("*").alias("n_rows"))
-    return split_hot_keys(asked, pairs, ["imei"], counts=counts).where(named(F.col("query"), F.col("appname"))).select(*PAIR, "time", "n")
+    asked = timed(queries, campaign, "imei", "query")
+    found = names_in_texts(asked, "query", cohort.select("appname"), cohort.select(*PAIR), regex=regex)
+    return found.select(*PAIR, "time", F.lit(1).cast("long").alias("n"))
 
 
 def fold(rows: DataFrame, campaign: Campaign, measure: Column, how: Callable[[Column], Column] = F.sum) -> DataFrame:

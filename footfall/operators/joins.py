@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+from operator import and_
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 N_SALTS = 8
 SHORT_LIST = 1_000_000  # ids that are broadcast at most: some 30 MB
 ROWS_PER_TASK = 2_000_000
+MOST_BITS = 1 << 28  # of a filter that is handed to every task: 32 MB
 
 
 def salted_join(
@@ -30,14 +34,41 @@ def salted_join(
     return left.join(right, [*on, "_salt"], how).drop("_salt")
 
 
-def of_users(facts: DataFrame, users: DataFrame) -> DataFrame:
-    """Facts of the given users, filtered where they are read if the list of users is short enough to be broadcast.
+def maybe_in(keys: DataFrame, on: str, most_bits: int = MOST_BITS) -> Column:
+    """A filter on column ``on`` that keeps every value of ``keys`` and few others, for lists too long to be broadcast.
+
+    It is a Bloom filter of some ten bits a key and ``most_bits`` at most (32 MB), built by Spark and handed to the tasks that
+    read the facts; with more keys it lets more rows through, never fewer. ``keys`` is a written table, as it is counted.
+    """
+    n = max(keys.count(), 1)
+    n_words = max(min(10 * n, most_bits) // 64, 1)
+    seeds = range(max(1, min(4, round(0.7 * 64 * n_words / n))))
+
+    def place(seed: int) -> Column:
+        return F.pmod(F.xxhash64(F.lit(seed), on), F.lit(64 * n_words))
+
+    places = keys.select(F.explode(F.array(*map(place, seeds))).alias("place"))
+    one = F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("place") % 64).cast("int"))
+    words = places.select((F.col("place") / 64).cast("long").alias("word"), one.alias("bits"))
+    every = keys.sparkSession.range(n_words).select(F.col("id").alias("word"), F.lit(0).cast("long").alias("bits"))
+    merged = words.unionByName(every).groupBy("word").agg(F.bit_or("bits").alias("bits"))
+    packed = merged.agg(F.array_sort(F.collect_list(F.struct("word", "bits"))).alias("all"))
+    bits = packed.select(F.transform("all", lambda word: word["bits"])).scalar()
+
+    def has(seed: int) -> Column:
+        return F.getbit(F.get(bits, (place(seed) / 64).cast("int")), (place(seed) % 64).cast("int")) == 1
+
+    return reduce(and_, map(has, seeds))
+
+
+def of_users(facts: DataFrame, users: DataFrame, short_list: int = SHORT_LIST) -> DataFrame:
+    """Facts of the given users, filtered where they are read.
 
-    A longer list leaves the facts as they are: it costs less to fold them first and to join the folded rows, which every
-    caller does anyway. ``users`` is a written table, as it is counted here.
+    Up to ``short_list`` users are broadcast. A longer list becomes a bit filter that lets a few other users through: every
+    caller joins the exact list after folding the facts, which is when it costs least. ``users`` is a written table.
     """
-    if users.limit(SHORT_LIST + 1).count() > SHORT_LIST:
-        return facts
+    if users.limit(short_list + 1).count() > short_list:
+        return facts.where(maybe_in(users, "imei"))
     return facts.join(F.broadcast(users.select("imei").distinct()), "imei", "left_semi")
 
 

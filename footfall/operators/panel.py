@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from functools import reduce
+from operator import add
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from footfall.functions.calendar import Campaign
-from footfall.functions.codes import indicator_names
+from footfall.functions.codes import INDICATORS, MISSING, indicator_names
 from footfall.functions.numeric import interaction, log10_plus1, zero_if_null
 from footfall.operators import facts as ft
 from footfall.operators.facts import PAIR
@@ -96,6 +97,21 @@ def regression_features(data: DataFrame) -> DataFrame:
     )
 
 
+def regression_design(features: DataFrame) -> DataFrame:
+    """Features with an indicator of each attribute's missing values, so that its baseline level can be left out.
+
+    All levels of an attribute and the intercept depend on each other for an app whose users' attributes are all known, and do
+    not for another. Without the baseline, with missing values as a level, the fit is the same and coefficients are
+    differences from the same level for every app; a level that an app does not have is aliased.
+    """
+    return features.withColumns(
+        {f"{attribute}_{MISSING}": 1 - reduce(add, map(F.col, levels.values())) for attribute, levels in INDICATORS.items()}
+    )
+
+
 BEHAVIOUR = ["is_expose", "beforeuse", "beforedown", "beforesearch", "Guse", "NGuse", "Huse", "Luse"]
-PREDICTORS = [*BEHAVIOUR, *indicator_names()]
+#: The level of every attribute that others are compared with: the first one listed.
+BASELINES = {attribute: next(iter(levels.values())) for attribute, levels in INDICATORS.items()}
+PORTRAIT = [name for name in indicator_names() if name not in BASELINES.values()]
+PREDICTORS = [*BEHAVIOUR, *PORTRAIT, *(f"{attribute}_{MISSING}" for attribute in INDICATORS)]
 RESPONSES = ["nowuse", "afteruse"]

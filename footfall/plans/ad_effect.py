@@ -81,11 +81,12 @@ def effect_by_regression(
     clicks: DataFrame,
     groups: DataFrame,
 ) -> DataFrame:
-    """Regression of use during and after the campaign on exposure, prior behaviour and portrait, per app."""
+    """Regression of use during and after the campaign on exposure, prior behaviour and portrait: rows and a status for every app."""
     who = portrait.people_portrait(t.people, t.city_level, s.people_snapshot)
     apps = studied_apps(people)
     use, installs, clicks = (facts.of_apps(f, apps) for f in (t.use, installs, clicks))
     wide = stage(panel.conversion_panel(people, use, installs, searches, clicks, s.campaign), "conversion_panel")
     spent = categories.category_time(people, panel.total_use(wide, s.campaign), groups)
     data = panel.regression_data(wide, portrait.portrait_indicators(people, who), spent)
-    return ols.ols_by_group(panel.regression_features(data), "appname", panel.PREDICTORS, panel.RESPONSES)
+    design = panel.regression_design(panel.regression_features(data))
+    return ols.ols_by_group(design, "appname", panel.PREDICTORS, panel.RESPONSES)
