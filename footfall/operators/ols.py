@@ -16,7 +16,8 @@ from pyspark.sql import functions as F
 
 from footfall.operators.joins import salted_join
 
-TOLERANCE = 1e-8  # part of a column's length that the columns before it must leave unexplained
+TOLERANCE = 1e-8  # part of a column's spread around its mean that the columns before it must leave unexplained
+ROUNDING = 1e-13  # part of a column's length that is noise of the arithmetic
 FLUSH_GROUPS = 1024  # triangles a task holds before it hands them on
 BLOCK_ROWS = 128  # rows of a group that are factorised together
 MERGE_TASKS = 64  # tasks that merge the triangles of one group before the last one does
@@ -113,12 +114,13 @@ def solve(r: np.ndarray, n: int, n_terms: int) -> tuple[np.ndarray, np.ndarray,
     Terms enter in order; one that the earlier terms explain (or a constant) is aliased.
     """
     basis, kept = np.zeros((len(r), 0)), []
+    spread = np.linalg.norm(r[1:], axis=0)  # the first column is the intercept, and R turns it into the first row
     for j in range(n_terms):
         rest = r[:, j].copy()
         for _ in range(2):  # once more against rounding
             rest -= basis @ (basis.T @ rest)
         length = np.linalg.norm(rest)
-        if length > TOLERANCE * np.linalg.norm(r[:, j]):
+        if length > max(ROUNDING * np.linalg.norm(r[:, j]), TOLERANCE * spread[j]):
             basis, kept = np.column_stack([basis, rest / length]), [*kept, j]
     aliased = np.ones(n_terms, dtype=bool)
     aliased[kept] = False
@@ -127,13 +129,12 @@ def solve(r: np.ndarray, n: int, n_terms: int) -> tuple[np.ndarray, np.ndarray,
     coef = np.full((responses.shape[1], n_terms), np.nan)
     coef[:, kept] = (inverse @ (basis.T @ responses)).T
     sse = ((responses - basis @ (basis.T @ responses)) ** 2).sum(axis=0)
-    around_mean = responses - basis[:, :1] @ (basis[:, :1].T @ responses)
-    sst = (around_mean**2).sum(axis=0)
+    sst = (responses[1:] ** 2).sum(axis=0)
     free = n - len(kept)
     se = np.full_like(coef, np.nan)
     if free > 0:
         se[:, kept] = np.sqrt(np.outer(sse / free, (inverse**2).sum(axis=1)))
-    constant = sst <= TOLERANCE**2 * (responses**2).sum(axis=0)
+    constant = sst <= ROUNDING**2 * (responses**2).sum(axis=0)
     r2 = np.where(constant, np.nan, 1.0 - sse / np.where(constant, 1.0, sst))
     return coef, se, r2, aliased
 
