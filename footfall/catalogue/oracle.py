@@ -428,6 +428,30 @@ ORACLE["word_mi"] = ORACLE["word_mi_from_lists"] = _with(_MI)
 ORACLE["cohort_matched"] = ORACLE["cohort_matched_browsers"].replace(
     VIEWS["population"], "select c_custkey as imei from customer"
 )
+
+
+def _dense_start(steps: int = 6) -> str:
+    """The greedy choice of first modes, a statement per step."""
+    days = [f"d{d}" for d in vw.DAYS]
+    head, body = _with("select 1 from wide").rsplit("\n", 1)[0], _PLAIN["category_calendar"]
+    density = " + ".join(f"(select count(*) from calendar y where y.{d} = x.{d})" for d in days)
+    hashed = f"md5(concat_ws(',', {', '.join(days)}))"
+    parts = [
+        f"calendar as materialized ({body})",
+        f"rated as materialized (select {', '.join(days)}, {density} as density, {hashed} as h from (select distinct {', '.join(days)} from calendar) x)",
+        "s1 as materialized (select *, density as score from rated)",
+    ]
+    for i in range(1, steps + 1):
+        parts.append(f"m{i} as materialized (select * from s{i} where score > 0 order by score desc, h limit 1)")
+        far = " + ".join(f"cast(s.{d} <> m.{d} as int)" for d in days)
+        kept = f"s.density * ({far})" if i == 1 else f"least(s.score, s.density * ({far}))"
+        parts.append(f"s{i + 1} as materialized (select s.* replace ({kept} as score) from s{i} s cross join m{i} m)")
+    chosen = " union all ".join(f"select cast({i} as int) as step, {', '.join(days)} from m{i}" for i in range(1, steps + 1))
+    return head + ",\n" + ",\n".join(parts) + "\n" + chosen
+
+
+ORACLE["kmodes_start"] = _dense_start()
+ORACLE["kmodes_start_gain"] = _with("select count(*) as people, true as no_worse from active")
 ORACLE["ols_exposure_effect"] = _least_squares()
 ORACLE["strata_counts"] = _did_with(["base_gender", "city_level"], rates=False)
 ORACLE["did_by_app"] = _did_with(["base_gender", "city_level"])

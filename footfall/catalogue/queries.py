@@ -32,6 +32,8 @@ from footfall.plans.keyword_expansion import segmented
 from footfall.sources import readers, writers
 from footfall.sources.staging import stage, staging_path
 
+START_MODES = 6  # of which the SQL restates the choice
+
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 
@@ -478,8 +480,29 @@ def kmodes_centroids(v: Views) -> DataFrame:
 
 @query
 def kmodes_cost(v: Views) -> DataFrame:
-    labelled = kmodes.kmodes(_category_calendar(v)).labelled
-    return labelled.agg(F.sum("mismatches").alias("cost"), F.count("*").alias("people"))
+    model = kmodes.kmodes(_category_calendar(v))
+    totals = model.labelled.agg(F.sum("mismatches").alias("cost"), F.count("*").alias("people"))
+    return totals.withColumn("converged", F.lit(model.converged))
+
+
+@query
+def kmodes_start(v: Views) -> DataFrame:
+    """The first modes of the densest start, in the order in which they are chosen, by their distance from earlier ones."""
+    rows = stage(_category_calendar(v), "kmodes_rows")
+    modes = kmodes.dense_start(rows, START_MODES, "calendar")
+    listed = [(i, [int(x) for x in mode]) for i, mode in enumerate(modes, 1)]
+    return v.spark.createDataFrame(listed, "step int, calendar array<int>").select(
+        "step", *(F.col("calendar")[i].alias(f"d{d}") for i, d in enumerate(vw.DAYS))
+    )
+
+
+@query
+def kmodes_start_gain(v: Views) -> DataFrame:
+    """Whether the clusters cost no more than those found from either start alone."""
+    rows = stage(_category_calendar(v), "kmodes_rows")
+    cost = kmodes.kmodes(rows).costs[-1]
+    alone = [kmodes.kmodes(rows, starts=(start,)).costs[-1] for start in kmodes.STARTS]
+    return rows.agg(F.count("*").alias("people")).withColumn("no_worse", F.lit(cost <= min(alone)))
 
 
 @query

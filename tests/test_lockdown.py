@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import hashlib
 import random
 from collections import Counter, defaultdict
 
@@ -173,6 +174,8 @@ def test_kmodes_equals_a_run_by_hand(spark):
     assert {tuple(b) for b in base} == {t for t, _ in start[:4]}
     labels = {r.imei: (r.cluster, r.mismatches) for r in model.labelled.collect()}
     assert all(a >= b for a, b in zip(model.costs, model.costs[1:]))
+    frequent = kmodes.kmodes(df, 4, starts=(kmodes.frequent_start,))
+    assert model.costs[-1] <= frequent.costs[-1]
     modes, _, near = kmodes_by_hand(values, model.modes.tolist())
     assert modes == model.modes.tolist() and [labels[i][0] for i in range(len(values))] == near
     assert sum(m for _, m in labels.values()) == model.costs[-1]
@@ -180,6 +183,32 @@ def test_kmodes_equals_a_run_by_hand(spark):
     assert model.centroids().count() == 4 * 12
 
 
+def dense_by_hand(values, k):
+    """The greedy choice over all rows, one step after the other."""
+    counts = [Counter(col) for col in zip(*values)]
+    rated = {v: sum(c[x] for c, x in zip(counts, v)) for v in set(map(tuple, values))}
+    order = {v: hashlib.md5(",".join(map(str, v)).encode()).hexdigest() for v in rated}
+    chosen = []
+    while len(chosen) < k:
+        score = {v: d * min((sum(a != b for a, b in zip(v, c)) for c in chosen), default=1) for v, d in rated.items()}
+        best = min(score, key=lambda v: (-score[v], order[v]))
+        if not score[best]:
+            break
+        chosen.append(best)
+    return [list(c) for c in chosen]
+
+
+@pytest.mark.parametrize("most", [1, 3, 2048])
+def test_dense_start_is_the_greedy_choice_however_many_candidates(spark, most):
+    rng = random.Random(4)
+    values = [[rng.choice([0, 0, 0, 1, 2]) for _ in range(5)] for _ in range(80)] + [[9, 9, 9, 9, 9]]
+    df = spark.createDataFrame([(v,) for v in values], "calendar array<int>")
+    k = 4 if most == 1 else 9
+    assert kmodes.dense_start(df, k, "calendar", most).tolist() == dense_by_hand(values, k)
+    few = spark.createDataFrame([([1, 2],)] * 5 + [([1, 3],)], "calendar array<int>")
+    assert kmodes.dense_start(few, 9, "calendar", most).tolist() == [[1, 2], [1, 3]]
+
+
 def test_kmodes_with_fewer_rows_than_clusters(spark):
     df = spark.createDataFrame([("c", i, [i, i]) for i in range(3)], "city string, imei int, calendar array<int>")
     model = kmodes.kmodes(df, 30)
