@@ -472,7 +472,10 @@ ORACLE["cjk_pair_counts"] = _with(
     then list_transform(range(1, length(word)), lambda i: substr(word, i, 2)) else [word] end) as piece from said) """
     + f"where piece not in ({_quoted(vw.CJK_STOP_WORDS)}) group by piece"
 ).replace(VIEWS["texts"], f"select doc_id as id, {_CHINESE} as text, 0 as quality from documents")
-ORACLE["top_words"] = ORACLE["segmented_lines"] + " order by n desc, word limit 100"
+ORACLE["top_words"] = _with("select word, count(*) as n, row_number() over (order by count(*) desc, word) as rank from said group by word").replace(
+    VIEWS["texts"], "select doc_id as id, text, 0 as quality from documents"
+)
+ORACLE["word_mi_ranked"] = _with(f"select *, row_number() over (order by mi desc, word) as rank from ({_MI})")
 ORACLE["study_days"] = _with(
-    "select d as dayno, (select count(*) from all_use u where u.dayno = d) as n from (select unnest(range(20240101, 20240116)) as d)"
+    "select d as dayno, (select count(*) from all_use u where u.dayno = d) as n from (select unnest(range(20240101, 20240132)) as d)"
 )

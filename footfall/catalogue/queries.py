@@ -27,6 +27,8 @@ from footfall.operators import (
     portrait,
     topics,
 )
+from footfall.operators.joins import of_users
+from footfall.operators.ranking import ranked
 from footfall.plans import ad_effect
 from footfall.plans.keyword_expansion import segmented
 from footfall.sources import readers, writers
@@ -377,11 +379,17 @@ def _users(v: Views) -> DataFrame:
 
 @query
 def user_day_categories(v: Views) -> DataFrame:
-    return rounded(features.category_time_by_day(_users(v), v.all_use, v.categories), "sumtime")
+    users = _users(v)
+    return rounded(features.category_time_by_day(users, _by_user(v, users), v.categories), "sumtime")
+
+
+def _by_user(v: Views, users: DataFrame) -> DataFrame:
+    return features.use_by_user(of_users(v.all_use, users))
 
 
 def _wide(v: Views) -> DataFrame:
-    return features.category_wide(_users(v), v.all_use, v.categories, vw.CATEGORIES)
+    users = _users(v)
+    return features.category_wide(users, _by_user(v, users), v.categories, vw.CATEGORIES)
 
 
 @query
@@ -564,18 +572,24 @@ def cjk_pair_counts(v: Views) -> DataFrame:
 
 @query
 def top_words(v: Views) -> DataFrame:
-    """The hundred most frequent words, the most frequent first."""
-    return keywords.word_counts(v.ad_text, _words()).orderBy(F.desc("n"), "word").limit(100)
+    """Every word with its rank, the most frequent first."""
+    return ranked(keywords.word_counts(v.ad_text, _words()), [F.desc("n"), F.asc("word")])
 
 
 @query
 def study_days(v: Views) -> DataFrame:
-    """Use per day of the first half of the study, over the list of its days."""
-    days = calendar.day_range(v.spark, 20240101, 20240115)
+    """Use per day of the study, over the list of its days."""
+    days = calendar.day_range(v.spark, *vw.USE_DAYS)
     used = v.all_use.groupBy("dayno").agg(F.count("*").alias("n"))
     return days.join(used, "dayno", "left").select("dayno", F.coalesce("n", F.lit(0)).alias("n"))
 
 
+@query
+def word_mi_ranked(v: Views) -> DataFrame:
+    """The words by what they tell about the class, the most telling first."""
+    return ranked(word_mi(v), [F.desc("mi"), F.asc("word")])
+
+
 @query
 def word_mi(v: Views) -> DataFrame:
     counts = keywords.class_word_counts(v.labelled_text, _words(), F.col("quality") == 0)

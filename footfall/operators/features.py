@@ -8,8 +8,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from footfall.functions.numeric import log_ratio, zero_if_null
-from footfall.operators.joins import salted_join
+from footfall.operators.joins import of_users, salted_join
 from footfall.operators.ranking import PREFIX, first_by_hash, md5_key, numbered
+from footfall.sources.staging import stage, stage_by
 
 USER_DAY = ["city", "imei", "dayno"]
 
@@ -43,30 +44,43 @@ def from_day_key(df: DataFrame) -> DataFrame:
     return df.withColumns({"imei_number": parts["imei_number"].cast("long"), "dayno": parts["dayno"].cast("int")})
 
 
+def use_by_user(use: DataFrame, n_buckets: int | None = None) -> DataFrame:
+    """Use per user, day and package, written once in buckets of users.
+
+    Rows are added up before they move, so a user moves no more than days x packages rows, however many events there are. What is
+    read per user from here on (activity, features, scaling, windows) needs no further shuffle of facts.
+    """
+    folded = use.groupBy("imei", "dayno", "pack_name").agg(F.sum("duration").alias("duration"))
+    return stage_by(folded, "use_by_user", ["imei"], n_buckets)
+
+
 def _category_rows(users: DataFrame, use: DataFrame, categories: DataFrame) -> DataFrame:
-    mine = salted_join(use, users.select("imei", "city"), ["imei"], spread_by=["dayno", "pack_name"])
-    per_package = mine.groupBy(*USER_DAY, "pack_name").agg(F.sum("duration").alias("duration"))
-    lookup = categories.select("pack_name", "newcat").distinct()
-    return salted_join(per_package, lookup, ["pack_name"], spread_by=["imei", "dayno"])
+    """Rows of the users' time per day, package and category. ``use`` comes from ``use_by_user``, ``users`` is a written table.
+
+    The lookup is written too, so that Spark knows its size before it decides whether facts have to move to meet it.
+    """
+    mine = of_users(use, users).join(users.select("imei", "city"), "imei")
+    lookup = stage(categories.select("pack_name", "newcat").distinct(), "categories")
+    return salted_join(mine, lookup, ["pack_name"], spread_by=["imei", "dayno"])
 
 
 def category_time_by_day(users: DataFrame, use: DataFrame, categories: DataFrame) -> DataFrame:
-    """Time per user, day and category."""
+    """Time per user, day and category, from ``use_by_user``."""
     rows = _category_rows(users, use, categories)
     return rows.groupBy(*USER_DAY, "newcat").agg(F.sum("duration").alias("sumtime"))
 
 
 def category_wide(users: DataFrame, use: DataFrame, categories: DataFrame, names: list[str]) -> DataFrame:
-    """One row per user-day and one column per category, zero-filled.
+    """One row per user-day and one column per category, zero-filled, from ``use_by_user``.
 
-    Rows are moved to their user while they are narrow (a user has at most days x packages of them); the wide
-    rows and the user's means then need no further shuffle. Names become positions in the lookup, so that the
-    facts compare numbers. A category of the lookup that is not among the names raises, as its time would vanish.
+    Rows of a user lie together as written, so neither the wide rows nor the user's means are moved while the lookup is broadcast.
+    Names become positions in the lookup, so that the facts compare numbers. A category of the lookup that is not among the
+    names raises, as its time would vanish.
     """
     place = F.array_position(F.array(*map(F.lit, names)), F.col("newcat"))
     unknown = F.raise_error(F.concat(F.lit("category without a column: "), F.col("newcat")))
     position = F.when(place == 0, unknown.cast("long")).otherwise(place).cast("int")
-    rows = _category_rows(users, use, categories.withColumn("newcat", position)).repartition("imei")
+    rows = _category_rows(users, use, categories.withColumn("newcat", position))
     cells = [
         zero_if_null(F.sum(F.when(F.col("newcat") == i, F.col("duration")))).alias(c) for i, c in enumerate(names, 1)
     ]

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from footfall.functions.calendar import ACTIVITY_WEEKS, PLACE_WEEKS, Weeks
 from footfall.operators import activity, features, kmodes, places, portrait, topics
+from footfall.operators.joins import of_users
 from footfall.operators.topics import MAX_ITER
 from footfall.sources.staging import stage
 from footfall.sources.writers import write_csv, write_table
@@ -68,11 +69,10 @@ def place_ranks(t: CityTables, s: CitySettings, who: DataFrame, active: DataFram
 
 def day_features(t: CityTables, s: CitySettings, active: DataFrame, names: list[str]) -> DataFrame:
     """Scaled category time of steady users on the days of the study as feature vectors."""
-    users = active.select("city", "imei").distinct()
-    if s.sample is not None:
-        users = stage(features.user_sample(active, s.sample), "user_sample")
+    users = active.select("city", "imei").distinct() if s.sample is None else features.user_sample(active, s.sample)
+    users = stage(users, "users")
     use = t.use.where((F.col("dayno") >= s.use_days[0]) & (F.col("dayno") < s.use_days[1]))
-    wide = features.category_wide(users, use, t.categories, names)
+    wide = features.category_wide(users, features.use_by_user(of_users(use, users)), t.categories, names)
     return topics.training_rows(features.scaled_by_mean(wide, names), names, s.partitions)
 
 

@@ -46,3 +46,20 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     path = staging_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def stage_by(df: DataFrame, name: str, keys: list[str], n_buckets: int | None = None) -> DataFrame:
+    """Write a table once in sorted buckets of ``keys``: joins, aggregations and windows on them read it without a shuffle.
+
+    The catalog only lends its name while the table is written and resolved; the files stay in the shared folder like those of
+    ``stage``. By default there are as many buckets as shuffle partitions.
+    """
+    spark = df.sparkSession
+    buckets = n_buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    table, path = f"{name}_{uuid.uuid4().hex}", staging_path(spark, name)
+    dealt = df.repartition(buckets, *keys).write.bucketBy(buckets, *keys).sortBy(*keys)
+    dealt.option("path", path).saveAsTable(table)
+    written = spark.table(table)
+    written.schema  # noqa: B018 - resolved while the name is there
+    spark.sql(f"DROP TABLE {table}")
+    return written

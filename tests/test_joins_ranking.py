@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from footfall.operators import joins
 from footfall.operators.joins import of_users, salted_join, split_hot_keys
-from footfall.operators.ranking import first_by_hash, md5_key, numbered
+from footfall.operators.ranking import first_by_hash, md5_key, numbered, ranked
 
 
 @pytest.fixture(scope="module")
@@ -87,3 +87,14 @@ def test_users_filter_facts_by_a_list_or_by_a_bit_filter(spark):
     assert of_users(facts, users).count() == 4
     kept = of_users(facts, users, short_list=2)
     assert kept.join(users.distinct(), "imei").count() == 4 and kept.count() <= 10
+
+
+def test_ranks_of_a_whole_table(spark):
+    rng = random.Random(6)
+    rows = [(i, 1 if rng.random() < 0.9 else rng.randint(2, 9)) for i in range(3000)]
+    df = spark.createDataFrame(rows, "w int, n int").repartition(7)
+    got = ranked(df, [F.desc("n"), F.asc("w")], n_tasks=13)
+    want = {w: r for r, (w, _) in enumerate(sorted(rows, key=lambda x: (-x[1], x[0])), 1)}
+    assert {r.w: r["rank"] for r in got.collect()} == want and got.columns == ["w", "n", "rank"]
+    assert ranked(df.limit(0), [F.asc("w")]).count() == 0
+    assert [tuple(r) for r in ranked(df.where("w = 5"), [F.asc("w")], "place").select("w", "place").collect()] == [(5, 1)]

@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import hashlib
+import itertools
 import random
 from collections import Counter, defaultdict
 
@@ -13,6 +14,7 @@ from footfall.catalogue.views import CATEGORIES, DAYS, SNAPSHOT, USE_DAYS, Views
 from footfall.functions.calendar import Weeks
 from footfall.operators import activity, features, kmodes, places, topics
 from footfall.plans import lockdown
+from footfall.sources import staging
 
 WEEKS = Weeks(20240101, 3)
 RANGE = (20240101, 20240122)
@@ -88,9 +90,9 @@ def test_category_features(spark, rows):
     )
     cats = spark.createDataFrame([("p", "k1"), ("q", "k1"), ("z", "k2")], "pack_name string, newcat string")
     assert features.category_list(cats) == ["k1", "k2"]
-    long = features.category_time_by_day(sample, use, cats)
+    long = features.category_time_by_day(sample, features.use_by_user(use), cats)
     assert rows(long, "imei", "dayno", "newcat", "sumtime") == [(1, 1, "k1", 10.0), (1, 2, "k1", 99.0)]
-    wide = features.category_wide(sample, use, cats, ["k1", "k2"])
+    wide = features.category_wide(sample, features.use_by_user(use), cats, ["k1", "k2"])
     assert rows(wide, "dayno", "k1", "k2") == [(1, 10.0, 0.0), (2, 99.0, 0.0)]
     scaled = rows(features.scaled_by_mean(wide, ["k1", "k2"]), "dayno", "k1", "k2")
     mean = np.log10(54.5 + 1)
@@ -277,7 +279,7 @@ def test_an_unlisted_category_raises(spark):
     use = spark.createDataFrame([(1, "p", 5.0, 1), (1, "q", 7.0, 1)], "imei int, pack_name string, duration double, dayno int")
     cats = spark.createDataFrame([("p", "k1"), ("q", "new")], "pack_name string, newcat string")
     with pytest.raises(Exception, match="category without a column: new"):
-        features.category_wide(users, use, cats, ["k1"]).collect()
+        features.category_wide(users, features.use_by_user(use), cats, ["k1"]).collect()
 
 
 def test_topics_do_not_depend_on_how_rows_are_read(spark, tmp_path):
@@ -304,3 +306,27 @@ def test_use_outside_the_study_is_left_out(spark):
     got = lockdown.day_features(t, s, active, ["k1", "k2"])
     assert {r.dayno for r in got.collect()} == {20240101} and got.count() == 12  # every user, without a sample
     assert lockdown.day_features(t, lockdown.CitySettings(use_days=(20240101, 20240131), partitions=2, sample=5), active, ["k1", "k2"]).count() == 5
+
+
+def test_facts_of_users_are_moved_once(spark):
+    use = spark.range(4000).selectExpr("id % 60 as imei", "cast(20240101 + id % 9 as int) as dayno", "concat('p', id % 7) as pack_name", "1.0 as duration")
+    hot = spark.range(6000).selectExpr("7L as imei", "20240101 as dayno", "'p1' as pack_name", "2.0 as duration")
+    users = staging.stage(spark.range(0, 60, 3).selectExpr("id as imei", "'c' as city"), "users")
+    cats = spark.createDataFrame([(f"p{i}", f"k{i % 2}") for i in range(7)], "pack_name string, newcat string")
+    before = {t.name for t in spark.catalog.listTables()}
+    folded = features.use_by_user(use.unionByName(hot), 3)
+    assert {t.name for t in spark.catalog.listTables()} == before
+    assert folded.where("imei = 7").count() <= 9 * 7 and folded.agg(F.sum("duration")).first()[0] == 16000.0
+    scaled = features.scaled_by_mean(features.category_wide(users, folded, cats, ["k0", "k1"]), ["k0", "k1"])
+    plan = scaled._jdf.queryExecution().executedPlan().toString()
+    lines = plan.splitlines()
+    for i, line in enumerate(lines):
+        if "Exchange hashpartitioning" in line:
+            depth = line.index("Exchange")
+            below = itertools.takewhile(lambda x: len(x) - len(x.lstrip(" :+-*(0123456789)")) > depth, lines[i + 1 :])
+            assert not any("duration" in x for x in below), "only the lists of users and packages may be moved"
+    assert "Bucketed: true" in plan and scaled.count() == 20 * 3
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    shuffled = features.scaled_by_mean(features.category_wide(users, folded, cats, ["k0", "k1"]), ["k0", "k1"])
+    assert sorted(map(tuple, shuffled.collect())) == sorted(map(tuple, scaled.collect()))
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
