@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from footfall.sources.records import read_records
+
 # Encodings Spark reads without further settings.
 PLAIN_ENCODINGS = {"US-ASCII", "ISO-8859-1", "UTF-8", "UTF-16BE", "UTF-16LE", "UTF-16", "UTF-32"}
 
@@ -38,11 +40,12 @@ def read_lookup_csv(spark: SparkSession, path: str, columns: list[str], *, encod
 
 
 def read_ad_texts(spark: SparkSession, path: str, *, encoding: str = "UTF-8", multi_line: bool = False) -> DataFrame:
-    """Ads as (id, text), a line each. With ``multi_line`` quoted texts may span lines; a file is then read by one task."""
+    """Ads as (id, text), a line each. With ``multi_line`` quoted texts may span lines; large files are read by many tasks too."""
     allow_encoding(spark, encoding)
-    return spark.read.csv(
-        path, header=True, multiLine=multi_line, escape='"', encoding=encoding, schema="id string, text string"
-    )
+    schema = "id string, text string"
+    if multi_line:
+        return read_records(spark, path, schema, encoding=encoding)
+    return spark.read.csv(path, header=True, escape='"', encoding=encoding, schema=schema)
 
 
 def read_lines(spark: SparkSession, path: str, *, encoding: str = "UTF-8") -> DataFrame:
