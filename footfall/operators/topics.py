@@ -10,7 +10,8 @@ from pyspark import StorageLevel, inheritable_thread_target
 from pyspark.ml.clustering import LDA, LDAModel
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.stat import Summarizer
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from footfall.functions.numeric import first_argmax
@@ -94,6 +95,64 @@ def topic_terms(model: LDAModel, names: list[str], n_terms: int = TOP_TERMS) ->
     )
 
 
+def term_weights(model: LDAModel, names: list[str]) -> DataFrame:
+    """The weight of every category in every topic; a topic's weights add up to 1."""
+    terms = model.describeTopics(len(names)).select("topic", F.explode(F.arrays_zip("termIndices", "termWeights")).alias("t"))
+    labels = F.array(*(F.lit(c) for c in names))
+    return terms.select("topic", labels[F.col("t.termIndices")].alias("term"), F.col("t.termWeights").alias("weight"))
+
+
+def heaviest_terms(weights: DataFrame, n_terms: int = TOP_TERMS) -> DataFrame:
+    """Rank, category and rounded weight of the heaviest categories, from the whole weights."""
+    rank = F.row_number().over(W.partitionBy("topic").orderBy(F.desc("weight"), "term"))
+    ranked = weights.withColumn("rank", rank).where(F.col("rank") <= n_terms)
+    return ranked.select("topic", "rank", "term", F.round("weight", 2).alias("weight"))
+
+
+def likelihood_bounds(mixes: DataFrame, weights: DataFrame, names: list[str]) -> DataFrame:
+    """How likely every user-day is under a model: ``size, likelihood, bound, one_topic``, from its mix and the terms alone.
+
+    ``mixes`` are user-days with their ``features`` and ``mix``. ``likelihood`` adds up the logarithms of the categories'
+    probabilities. ``bound`` is Jensen's bound with the share of each topic in each category, which meets the likelihood when the
+    shares belong to the mix; ``one_topic`` is the likelihood under the categories' overall shares, which is what a model
+    without topics says.
+    """
+    by_topic = F.array_sort(F.collect_list(F.struct("topic", "weight")))
+    listed = weights.groupBy("term").agg(F.transform(by_topic, lambda t: t["weight"]).alias("w"))
+    position = F.array_position(F.array(*map(F.lit, names)), F.col("term"))
+    table = listed.agg(F.array_sort(F.collect_list(F.struct(position.alias("pos"), "w"))).alias("all"))
+    beta = table.select(F.transform("all", lambda t: t["w"])).scalar()  # names x topics
+    rows = mixes.withColumn("x", vector_to_array("features"))
+    sums = rows.select(F.posexplode("x").alias("pos", "v")).groupBy("pos").agg(F.sum("v").alias("v"))
+    ordered = sums.agg(F.array_sort(F.collect_list(F.struct("pos", "v"))).alias("all"), F.sum("v").alias("total"))
+    shares = ordered.select(F.transform("all", lambda t: t["v"] / F.col("total"))).scalar()
+
+    def plus(a: Column, b: Column) -> Column:
+        return a + b
+
+    def added(values: Column) -> Column:
+        return F.aggregate(values, F.lit(0.0), plus)
+
+    def logs(amounts: Column, chances: Column) -> Column:
+        return added(F.zip_with(amounts, chances, lambda v, p: F.when(v > 0, v * F.ln(p)).otherwise(F.lit(0.0))))
+
+    known = rows.withColumns({"beta": beta, "shares": shares})
+    joint = known.withColumn("joint", F.transform("beta", lambda w: F.zip_with(w, "mix", lambda b, t: b * t)))
+    chances = joint.withColumn("p", F.transform("joint", added))
+
+    def jensen(parts: Column, p: Column) -> Column:
+        return added(F.transform(parts, lambda j: F.when(j > 0, j / p * F.ln(j / (j / p))).otherwise(F.lit(0.0))))
+
+    per_term = F.zip_with("joint", "p", jensen)
+    return chances.select(
+        *USER_DAY,
+        added(F.col("x")).alias("size"),
+        logs(F.col("x"), F.col("p")).alias("likelihood"),
+        added(F.zip_with("x", per_term, lambda v, b: v * b)).alias("bound"),
+        logs(F.col("x"), F.col("shares")).alias("one_topic"),
+    )
+
+
 def topic_mix(model: LDAModel, rows: DataFrame) -> DataFrame:
     """Topic weights of every user-day as an array."""
     return model.transform(rows).select(*USER_DAY, vector_to_array("topicDistribution").alias("mix"))

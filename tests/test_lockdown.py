@@ -7,6 +7,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
 
 from conftest import DATA
@@ -330,3 +331,24 @@ def test_facts_of_users_are_moved_once(spark):
     shuffled = features.scaled_by_mean(features.category_wide(users, folded, cats, ["k0", "k1"]), ["k0", "k1"])
     assert sorted(map(tuple, shuffled.collect())) == sorted(map(tuple, scaled.collect()))
     spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_likelihood_and_its_bound_against_numpy(spark):
+    rng = np.random.default_rng(5)
+    names, k, n = ["a", "b", "c", "d"], 3, 7
+    beta = rng.dirichlet(np.ones(4), k)
+    theta = rng.dirichlet(np.ones(k), n)
+    x = rng.integers(0, 4, (n, 4)).astype(float)
+    x[0] = 0
+    weights = spark.createDataFrame([(t, names[w], float(beta[t, w])) for t in range(k) for w in range(4)], "topic int, term string, weight double")
+    rows = [("c", i, 1, Vectors.dense(x[i]), [float(v) for v in theta[i]]) for i in range(n)]
+    mixes = spark.createDataFrame(rows, ["city", "imei", "dayno", "features", "mix"])
+    got = {r.imei: r for r in topics.likelihood_bounds(mixes, weights, names).collect()}
+    chances, shares = theta @ beta, x.sum(axis=0) / x.sum()
+    for i in range(n):
+        assert got[i].likelihood == pytest.approx((x[i] * np.log(chances[i])).sum())
+        assert got[i].bound == pytest.approx(got[i].likelihood) and got[i].size == x[i].sum()
+        assert got[i].one_topic == pytest.approx((x[i] * np.log(shares)).sum())
+    ties = spark.createDataFrame([(0, "a", 0.254), (0, "b", 0.254), (0, "c", 0.492), (1, "c", 1.0)], "topic int, term string, weight double")
+    listed = sorted(tuple(r) for r in topics.heaviest_terms(ties, 2).collect())
+    assert listed == [(0, 1, "c", 0.49), (0, 2, "a", 0.25), (1, 1, "c", 1.0)]
