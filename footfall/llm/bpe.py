@@ -23,6 +23,7 @@ import regex
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from tokenizers.pre_tokenizers import ByteLevel
 
 from footfall.llm.arrow import map_slices, slices, texts
 from footfall.llm.files import publish
@@ -33,22 +34,26 @@ SPLIT = r"'(?:s|t|re|ve|m|ll|d)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\
 #: Words kept in the lexicon, and their longest length in bytes.
 LEXICON_WORDS, LEXICON_BYTES = 131_072, 48
 #: Distinct words that a task keeps at once outside the lexicon.
-CACHED = 400_000
+CACHED = 131_072
 
 
-def _newer_ranges() -> str:
-    """Code points that ``regex`` calls letters or numbers and Unicode 15.1 does not know; tokenizers calls them others."""
+def newer_ranges() -> str:
+    """Ranges of code points that ``regex`` calls letters or numbers and the tokenizers library, which knows an older Unicode,
+    does not: it is asked whether each stays with a letter or number before it. The driver finds them, tasks are told."""
     every = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x110000)]))
-    new = [ord(c) for c in regex.findall(r"[\p{L}\p{N}]", every) if unicodedata.category(c) == "Cn"]
+    unsure = [c for c in regex.findall(r"[\p{L}\p{N}]", every) if unicodedata.category(c) == "Cn"]
+    ask = ByteLevel(add_prefix_space=False, use_regex=True).pre_tokenize_str
+    cut = [{end for _, (_, end) in ask("".join(f"\n{mark}{c}" for c in unsure))} for mark in "x1"]
+    new = [ord(c) for i, c in enumerate(unsure) if all(3 * i + 2 in ends for ends in cut)]
     cuts = [i for i in range(1, len(new)) if new[i] != new[i - 1] + 1]
     return "".join(f"\\U{new[a]:08x}-\\U{new[b - 1]:08x}" for a, b in zip([0, *cuts], [*cuts, len(new)], strict=True) if b)
 
 
 class Splitter:
-    """Cuts texts into the added tokens they hold and the words that are merged on their own."""
+    """Cuts texts into the added tokens they hold and the words that are merged on their own. ``new`` are the ranges of
+    ``newer_ranges``; how a text is cut depends on nothing but the text."""
 
-    def __init__(self, added: Iterable[str] = ()):
-        new = _newer_ranges()
+    def __init__(self, new: str, added: Iterable[str] = ()):
         self.words = regex.compile(SPLIT).findall
         ascii_split = SPLIT.replace(r"\p{L}", "A-Za-z").replace(r"\p{N}", "0-9").replace(r"\s", " \\t\n\\x0b\f\r")
         ascii_split = ascii_split.replace(" ?A-Za-z+", " ?[A-Za-z]+").replace(" ?0-9+", " ?[0-9]+")
@@ -61,8 +66,8 @@ class Splitter:
         self.added = sorted(added, key=len, reverse=True)
         self.cut = re.compile("(" + "|".join(map(re.escape, self.added)) + ")").split if self.added else None
 
-    def __call__(self, text: str, strict: bool = False) -> list[str]:
-        words = self.strict if strict else self.ascii_words if text.isascii() else self.words
+    def __call__(self, text: str) -> list[str]:
+        words = self.ascii_words if text.isascii() else self.strict if self.new(text) else self.words
         if self.cut and any(a in text for a in self.added):
             return [w for i, part in enumerate(self.cut(text)) for w in ([part] if i % 2 else words(part))]
         return words(text)
@@ -251,8 +256,8 @@ class Lexicon:
 class Encoder:
     """Texts to ids, word by word: the words met before, then the lexicon, then the merge rules."""
 
-    def __init__(self, merger: Merger, lexicon: Lexicon | None):
-        self.merger, self.lexicon, self.split = merger, lexicon, Splitter(merger.added)
+    def __init__(self, merger: Merger, lexicon: Lexicon | None, new: str):
+        self.merger, self.lexicon, self.split = merger, lexicon, Splitter(new, merger.added)
         self.reset()
 
     def reset(self) -> None:
@@ -281,9 +286,6 @@ class Encoder:
             self.reset()
         split = [self.split(t) for t in batch]
         new = set(chain.from_iterable(split)).difference(self.index)
-        if self.split.new("".join(new)):
-            split = [self.split(t, strict=True) if self.split.new(t) else words for t, words in zip(batch, split, strict=True)]
-            new = set(chain.from_iterable(split)).difference(self.index)
         if new:
             self.learn(list(new))
         counts = np.fromiter(map(len, split), np.int64, len(split))
@@ -320,8 +322,10 @@ def word_counts(docs: DataFrame, text: str = "text") -> DataFrame:
     A text is cut at blanks before it is counted; the pieces are split afterwards, each with its count.
     """
 
+    new = newer_ranges()
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        split, pieces = Splitter(), Counter()
+        split, pieces = Splitter(new), Counter()
 
         def counted() -> pa.RecordBatch:
             words: Counter[str] = Counter()
@@ -368,10 +372,10 @@ def encode(docs: DataFrame, tokenizer: str, lexicon: str | None = None, id_col:
     Strings of added tokens inside a text become their ids, as in the tokenizers library. Columns other than the two
     named ones are ignored, so clashing names do no harm. Repeated rows give repeated results.
     """
-    kind = docs.schema[id_col].dataType.simpleString()
+    kind, new = docs.schema[id_col].dataType.simpleString(), newer_ranges()
 
     def make():
-        encoder = Encoder(Merger(tokenizer), Lexicon(SparkFiles.get(lexicon)) if lexicon else None)
+        encoder = Encoder(Merger(tokenizer), Lexicon(SparkFiles.get(lexicon)) if lexicon else None, new)
 
         def work(batch: pa.RecordBatch) -> pa.RecordBatch:
             flat, offsets = encoder(texts(batch, text))
@@ -402,6 +406,27 @@ def decode(encoded: DataFrame, tokenizer: str, id_col: str = "doc_id") -> DataFr
     return map_slices(encoded.select(id_col, "ids"), make, f"{id_col} {kind}, ids array<int>, decoded string")
 
 
+def round_trip(docs: DataFrame, tokenizer: str, lexicon: str | None = None, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+    """``id, ids, decoded`` of every whole text: ``decode(encode(...))`` by one Python worker instead of two, with one copy of
+    the merge rules."""
+    kind, new = docs.schema[id_col].dataType.simpleString(), newer_ranges()
+
+    def make():
+        merger = Merger(tokenizer)
+        encoder, decoder = Encoder(merger, Lexicon(SparkFiles.get(lexicon)) if lexicon else None, new), Decoder(merger.bytes_of)
+
+        def work(batch: pa.RecordBatch) -> pa.RecordBatch:
+            flat, offsets = encoder(texts(batch, text))
+            ids = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat, pa.int32()))
+            return pa.RecordBatch.from_arrays(
+                [batch.column(id_col), ids, pa.array(decoder(flat, offsets), pa.string())], [id_col, "ids", "decoded"]
+            )
+
+        return work
+
+    return map_slices(docs.select(id_col, text), make, f"{id_col} {kind}, ids array<int>, decoded string")
+
+
 def digest(decoded: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """``id, n_tokens, ids_sha256, decoded_sha256`` of what ``decode`` gives."""
     ids = F.array_join(F.col("ids").cast("array<string>"), ",")

@@ -71,8 +71,7 @@ def op3_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op4_bpe_round_trip(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
-    encoded = bpe.encode(docs, BYTE_BPE, bpe.build_lexicon(docs, BYTE_BPE))
-    return bpe.digest(bpe.decode(encoded, BYTE_BPE))
+    return bpe.digest(bpe.round_trip(docs, BYTE_BPE, bpe.build_lexicon(docs, BYTE_BPE)))
 
 
 @query

@@ -20,7 +20,6 @@ import html
 import re
 import zlib
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -95,9 +94,9 @@ class Node:
         self.tag, self.name, self.aside, self.parent, self.named, self.children = tag, name, aside, parent, named, []
 
 
-@lru_cache(4096)
 def names_aside(label: str, asides: frozenset[str] = ASIDE_WORDS) -> bool:
-    """Whether a whole class or id is the name of an aside."""
+    """Whether a whole class or id is the name of an aside. A plain function, as a cached one would only be found where the
+    package is installed."""
     words = set(re.findall(r"[^\W\d_]+", label))
     if "header" in words and words & TITLED:
         return False

@@ -31,8 +31,8 @@ TRAINING_ROWS = 20_000
 FEATURES, LEAST_ROWS, STARTS, FOLDS, PENALTY = 3_000, 3, (4, 5, 6), 3, 0.002
 #: Weight of all positive training rows of a category against all others, rounds of a fit, and partitions it works on.
 BALANCE, ROUNDS, PARTITIONS = 1.0, 40, 4
-#: Words that a task remembers.
-CACHED = 500_000
+#: Words that a task remembers: some 20 MB, as workers that wait for the next stage keep what they once held.
+CACHED = 65_536
 
 
 def word_features(word: str) -> list[str]:

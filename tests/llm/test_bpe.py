@@ -2,9 +2,11 @@ from __future__ import annotations
 
 import hashlib
 import random
+import unicodedata
 
 import numpy as np
 import pytest
+import regex
 from helpers import DATA, documents, odd_rows
 from tokenizers import Tokenizer
 
@@ -92,3 +94,25 @@ def test_bytes_that_are_no_text_are_replaced(spark):
     library = Tokenizer.from_file(BYTE_BPE)
     got = {r.doc_id: r.decoded for r in bpe.decode(encoded, BYTE_BPE).collect()}
     assert got == {1: library.decode([161, 0], skip_special_tokens=False), 2: ""}
+
+
+def test_letters_newer_than_the_library_before_every_contraction(library):
+    unsure = [c for c in map(chr, [*range(0x80, 0xD800), *range(0xE000, 0x33480)]) if unicodedata.category(c) == "Cn"]
+    unsure = [c for c in unsure if regex.match(r"[\p{L}\p{N}]", c)]
+    marks = ["'s", "'t", "'re", "'ve", "'m", "'ll", "'d", "'x"]
+    texts = [f"{c}{marks[i % 8]} a{c}{marks[(i + 3) % 8]}1{c} {c}" for i, c in enumerate(unsure)]
+    texts += [f"{c}{m}" for c in ["Ɤ", "Ᲊ", "\U00010d40", "࢏"] for m in marks] + ["Ɤ", "'s"]
+    want = [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
+    merger, new = bpe.Merger(BYTE_BPE), bpe.newer_ranges()
+    for order in (1, -1):  # what was met before makes no difference
+        flat, offsets = bpe.Encoder(merger, None, new)(texts[::order])
+        got = [flat[a:b].tolist() for a, b in zip(offsets, offsets[1:])]
+        assert got[::order] == want
+    assert len(unsure) > 10_000
+
+
+def test_round_trip_in_one_step_is_the_two_steps(spark):
+    docs = documents(spark, list(enumerate(ODD)))
+    name = bpe.build_lexicon(docs, BYTE_BPE, words=20)
+    both = bpe.decode(bpe.encode(docs, BYTE_BPE, name), BYTE_BPE)
+    assert sorted(map(tuple, bpe.round_trip(docs, BYTE_BPE, name).collect())) == sorted(map(tuple, both.collect()))

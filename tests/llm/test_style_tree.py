@@ -1,12 +1,18 @@
 from __future__ import annotations
 
+import subprocess
+import sys
+
 import html as entities
 import re
 
 import pytest
 from helpers import DATA, prose
 
+from pyspark import cloudpickle
+
 from footfall.llm.queries import QUERIES
+from footfall.llm import style_tree
 from footfall.llm.style_tree import extract, importance, low_branches, main_text, node_features
 
 PAGES = "page_id long, url string, html string, text string"
@@ -172,3 +178,11 @@ def test_importance_chooses_among_articles_and_the_rest(spark):
     same = f"<article><p>{prose(7, 90)}</p></article>"
     df = pages(spark, [(i, "http://w.example/", f"<body>{same}<main><p>{prose(50 + i, 60)}</p></main></body>") for i in range(20)])
     assert {r.page_id: r.text for r in extract(df).collect()} == {i: prose(50 + i, 60) for i in range(20)}
+
+
+def test_functions_travel_without_the_package():
+    """What a task is sent loads where the package is not installed."""
+    code = "import pickle, sys; sys.path[:] = [p for p in sys.path if 'repo' not in p]; f = pickle.loads(sys.stdin.buffer.read()); print(f('sidebar', frozenset(['sidebar'])))"
+    sent = cloudpickle.dumps(style_tree.names_aside)
+    done = subprocess.run([sys.executable, "-I", "-c", code], input=sent, capture_output=True, cwd="/", check=False)
+    assert done.stdout.strip() == b"True", done.stderr.decode()[-500:]
