@@ -94,13 +94,22 @@ class Node:
         self.tag, self.name, self.aside, self.parent, self.named, self.children = tag, name, aside, parent, named, []
 
 
+#: What ``names_aside`` has said in this worker. A dictionary travels with the function; a caching decorator would only be found
+#: where the package is installed.
+_SAID: dict[tuple[str, frozenset[str]], bool] = {}
+
+
 def names_aside(label: str, asides: frozenset[str] = ASIDE_WORDS) -> bool:
-    """Whether a whole class or id is the name of an aside. A plain function, as a cached one would only be found where the
-    package is installed."""
-    words = set(re.findall(r"[^\W\d_]+", label))
-    if "header" in words and words & TITLED:
-        return False
-    return not words.isdisjoint(asides) and words <= asides | CARRIERS
+    """Whether a whole class or id is the name of an aside."""
+    said = _SAID.get((label, asides))
+    if said is None:
+        words = set(re.findall(r"[^\W\d_]+", label))
+        titled = "header" in words and words & TITLED
+        said = not titled and not words.isdisjoint(asides) and words <= asides | CARRIERS
+        if len(_SAID) >= 4096:
+            _SAID.clear()
+        _SAID[label, asides] = said
+    return said
 
 
 def _element(tag: str, attributes: str, parent: Node) -> Node:
