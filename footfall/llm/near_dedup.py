@@ -17,6 +17,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -28,8 +29,8 @@ from footfall.sources.staging import stage
 SHINGLE, SIMILARITY = 5, 0.8
 #: 24 bands of 5 components: a pair at similarity 0.8 is missed with probability 7e-5, one at 0.85 with 1e-6.
 BANDS, ROWS = 24, 5
-#: Members of a bucket that all others are compared with first, and members of a chunk of a large bucket.
-HUBS, CHUNK = 2, 2048
+#: Members of a bucket that all others are compared with first; members of a chunk of a large bucket, and their shingles.
+HUBS, CHUNK, LOAD = 2, 2048, 1 << 20
 #: Signatures that agree in fewer components than the similarity less this are not looked at closer. At similarity 0.8
 #: and 120 components that is five standard deviations: one pair in a million is lost.
 MARGIN = 0.18
@@ -140,8 +141,8 @@ def overlap(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray])
 
 
 def signatures(docs: DataFrame, id_col: str, text: str, bands: int = BANDS, rows: int = ROWS, shingle: int = SHINGLE) -> DataFrame:
-    """``doc, f1, f2, bands, mini``: a 128-bit fingerprint of the bag, a key per band, and 16 bits of every component.
-    Empty bags and null ids have no row."""
+    """``doc, f1, f2, bands, mini, weight``: a 128-bit fingerprint of the bag, a key per band, 16 bits of every component,
+    and the size of the bag. Empty bags and null ids have no row."""
 
     def make():
         bags_of = Shingler(shingle)
@@ -159,14 +160,15 @@ def signatures(docs: DataFrame, id_col: str, text: str, bands: int = BANDS, rows
                 key = mixed(key ^ own[:, :, r])
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(full) + 1) * bands, pa.int32()), pa.array(key.ravel().view(np.int64)))
             mini = pa.array([x.tobytes() for x in mixed(own.reshape(len(full), bands * rows)).astype(np.uint16)], pa.binary())
-            columns = [batch.column("doc").take(pa.array(full)), pa.array(prints[0]), pa.array(prints[1]), lists, mini]
-            return pa.RecordBatch.from_arrays(columns, ["doc", "f1", "f2", "bands", "mini"])
+            weight = pa.array(np.add.reduceat(np.r_[bags.counts, 0], bags.ends[:-1])[full].astype(np.int64))
+            columns = [batch.column("doc").take(pa.array(full)), pa.array(prints[0]), pa.array(prints[1]), lists, mini, weight]
+            return pa.RecordBatch.from_arrays(columns, ["doc", "f1", "f2", "bands", "mini", "weight"])
 
         return work
 
     kind = docs.schema[id_col].dataType.simpleString()
     named = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("doc"), F.col(text).alias("text"))
-    return map_slices(named, make, f"doc {kind}, f1 long, f2 long, bands array<long>, mini binary")
+    return map_slices(named, make, f"doc {kind}, f1 long, f2 long, bands array<long>, mini binary, weight long")
 
 
 def likely(pairs: DataFrame, minis: DataFrame, least: float) -> DataFrame:
@@ -185,57 +187,135 @@ def likely(pairs: DataFrame, minis: DataFrame, least: float) -> DataFrame:
     return both.select("a", "b", "x", "y").mapInArrow(run, f"a {kind}, b {kind}")
 
 
-def bucket_pairs(members: DataFrame, minis: DataFrame, least: float, chunk: int = CHUNK) -> DataFrame:
-    """``a, b``: members of one bucket and of different classes whose signatures agree in a share of at least ``least``.
-
-    ``members`` has ``key, rep, component``. Rows of a bucket come to one task one after the other; a bucket of more than
-    ``chunk`` members is cut, and every two of its chunks are a task's work. Only likely pairs leave a task.
+def groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
+    """The rows of every value of ``keys``, which come one after the other, as one table each."""
+    held: pa.Table | None = None
+    for batch in chain(batches, [None]):
+        table = held if batch is None else pa.Table.from_batches([*(held.to_batches() if held else []), batch])
+        if table is None or not table.num_rows:
+            continue
+        work = np.stack([table.column(k).to_numpy() for k in keys])
+        cuts = np.r_[0, np.flatnonzero((work[:, 1:] != work[:, :-1]).any(axis=0)) + 1, table.num_rows].tolist()
+        if batch is not None:  # the last group may go on
+            held = table.slice(cuts[-2])
+            cuts.pop()
+        for low, high in zip(cuts, cuts[1:]):
+            yield table.slice(low, high - low).combine_chunks()
+
+
+class Members:
+    """One task's work: members of two chunks of a bucket, the left ones first, or of one chunk."""
+
+    def __init__(self, rows: pa.Table, similarity: float):
+        n = rows.num_rows
+        self.least, self.similarity = similarity - MARGIN, similarity
+        self.key, self.places = rows.column("key")[0].as_py(), np.arange(n)
+        #: Labels of the classes known so far.
+        self.label = np.unique(rows.column("component").to_numpy(), return_inverse=True)[1]
+        right, self.alone = rows.column("right").to_numpy(), rows.column("i")[0].as_py() == rows.column("j")[0].as_py()
+        self.left, self.right = (self.places, self.places) if self.alone else (self.places[~right], self.places[right])
+        self.mini = np.frombuffer(b"".join(rows.column("mini").to_pylist()), np.uint16).reshape(n, -1)
+        self.bands = pc.list_flatten(rows.column("bands")).to_numpy().reshape(n, -1)
+        self.weight = rows.column("weight").to_numpy()
+
+    def partners(self, i: int) -> np.ndarray:
+        """Members of other classes than ``i`` that it is to be compared with here: their signatures are alike, their
+        sizes allow the similarity, and this is the first bucket that both are in."""
+        with_ = self.right[self.right > i] if self.alone else self.right
+        with_ = with_[self.label[with_] != self.label[i]]
+        low, high = np.minimum(self.weight[with_], self.weight[i]), np.maximum(self.weight[with_], self.weight[i])
+        with_ = with_[low >= self.similarity * high - 1e-9]
+        with_ = with_[(self.mini[with_] == self.mini[i]).mean(axis=1) >= self.least]
+        same = self.bands[with_] == self.bands[i]
+        return with_[~same.any(axis=1) | (self.bands[i][same.argmax(axis=1)] == self.key)]
+
+
+def close_members(members: DataFrame, profiles: DataFrame, similarity: float, chunk: int = CHUNK, load: int = LOAD) -> DataFrame:
+    """The members of a bucket that have a partner in it: ``key, i, j, right, rep, component, mini, bands, weight``.
+
+    ``members`` has ``key, rep, component, weight``, ``profiles`` has ``doc, mini, bands, weight``. Rows of a bucket come to
+    one task one after the other; a bucket of more than ``chunk`` members or ``load`` shingles is cut, and every two of its
+    chunks, ``i`` and ``j``, are a task's work. Members leave a task once, however many partners they have.
     """
-    sizes = members.groupBy("key").agg(F.ceil(F.count("*") / chunk).cast("int").alias("chunks"))
+    n_chunks = F.ceil(F.greatest(F.count("*") / chunk, F.sum("weight") / load)).cast("int")
+    sizes = members.groupBy("key").agg(n_chunks.alias("chunks"))
     c = F.pmod(F.xxhash64("rep"), F.col("chunks")).cast("int")
     others = F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda j: F.struct(F.least(j, "c").alias("i"), F.greatest(j, "c").alias("j"), (j < F.col("c")).alias("right")))
-    dealt = members.join(sizes, "key").withColumn("c", c).withColumn("t", F.explode(others)).select("key", "t.*", "rep", "component")
-    dealt = dealt.join(minis.select(F.col("doc").alias("rep"), "mini"), "rep")
+    dealt = members.drop("weight").join(sizes, "key").withColumn("c", c).withColumn("t", F.explode(others)).select("key", "t.*", "rep", "component")
+    dealt = dealt.join(profiles.withColumnRenamed("doc", "rep"), "rep").select("key", "i", "j", "right", "rep", "component", "mini", "bands", "weight")
     dealt = dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "right", "rep")
-    kind = minis.schema["doc"].dataType.simpleString()
-
-    def likely_in(rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-        """Places of the likely pairs of one task's work."""
-        component = np.unique(rows.column("component").to_numpy(), return_inverse=True)[1]
-        if component.max() == 0:
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        right, diagonal = rows.column("right").to_numpy(), rows.column("i")[0].as_py() == rows.column("j")[0].as_py()
-        mini = np.frombuffer(b"".join(rows.column("mini").to_pylist()), np.uint16).reshape(rows.num_rows, -1)
-        rest = np.arange(rows.num_rows) if diagonal else np.flatnonzero(right)
-        found = []
-        for i in range(rows.num_rows) if diagonal else np.flatnonzero(~right):
-            with_ = rest[rest > i] if diagonal else rest
-            with_ = with_[component[with_] != component[i]]
-            near = with_[(mini[with_] == mini[i]).mean(axis=1) >= least]
-            found.append((np.full(len(near), i), near))
-        return tuple(map(np.concatenate, zip(*found, strict=True)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: pa.Table | None = None
-        for batch in chain(batches, [None]):
-            table = held if batch is None else pa.Table.from_batches([*(held.to_batches() if held else []), batch])
-            if table is None or not table.num_rows:
+        for rows in groups(batches, ["key", "i", "j"]):
+            work, close = Members(rows, similarity), np.zeros(rows.num_rows, bool)
+            if work.label.max() == 0:
                 continue
-            work = np.stack([table.column(k).to_numpy() for k in ("key", "i", "j")])
-            cuts = np.r_[0, np.flatnonzero((work[:, 1:] != work[:, :-1]).any(axis=0)) + 1, table.num_rows].tolist()
-            if batch is not None:  # the last group may go on
-                held = table.slice(cuts[-2])
-                cuts.pop()
-            for low, high in zip(cuts, cuts[1:]):
-                if high - low > 1:
-                    rows = table.slice(low, high - low).combine_chunks()
-                    x, y = likely_in(rows)
-                    if len(x):
-                        rep = rows.column("rep").to_numpy()
-                        x, y = rep[x], rep[y]
-                        yield pa.RecordBatch.from_pydict({"a": np.minimum(x, y), "b": np.maximum(x, y)})
-
-    return dealt.mapInArrow(run, f"a {kind}, b {kind}").distinct()
+            for i in work.left:
+                found = work.partners(i)
+                close[found] = True
+                close[i] |= len(found) > 0
+            yield from rows.filter(pa.array(close)).to_batches()
+
+    return dealt.mapInArrow(run, dealt.schema)
+
+
+def flat_bags(named: DataFrame, shingle: int) -> DataFrame:
+    """``doc, shingles, counts``: the bags of ``doc, text`` as bytes."""
+
+    def make():
+        bags_of = Shingler(shingle)
+
+        def work(batch: pa.RecordBatch) -> pa.RecordBatch:
+            bags = bags_of(texts(batch))
+            own = [bags[i] for i in range(bags.n)]
+            flat = [pa.array([x.tobytes() for x, _ in own], pa.binary()), pa.array([n.astype(np.uint32).tobytes() for _, n in own], pa.binary())]
+            return pa.RecordBatch.from_arrays([batch.column("doc"), *flat], ["doc", "shingles", "counts"])
+
+        return work
+
+    return map_slices(named, make, f"doc {named.schema['doc'].dataType.simpleString()}, shingles binary, counts binary")
+
+
+def bucket_links(close: DataFrame, bags: DataFrame, similarity: float) -> DataFrame:
+    """``a, b``: links of similar bags that join up what is linked within a task's work; ``close`` as of ``close_members``,
+    ``bags`` as of ``flat_bags``.
+
+    A task looks at every pair of partners whose classes it has not joined yet, and returns a link only where it joins two:
+    fewer links than members, however many pairs are alike or compared in vain.
+    """
+    kind = close.schema["rep"].dataType.simpleString()
+    dealt = close.join(bags.where(F.octet_length("counts") > 0).withColumnRenamed("doc", "rep"), "rep")
+    dealt = dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "right", "rep")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in groups(batches, ["key", "i", "j"]):
+            work = Members(rows, similarity)
+            size = pc.binary_length(rows.column("counts")).to_numpy() // 4
+            end = np.cumsum(size, dtype=np.int64)
+            begin = end - size
+            counts = np.frombuffer(b"".join(rows.column("counts").to_pylist()), np.uint32).astype(np.int64)
+            shingles = np.unique(np.frombuffer(b"".join(rows.column("shingles").to_pylist()), U64), return_inverse=True)[1]
+            total, own, a, b = np.add.reduceat(counts, begin), np.zeros(len(counts), np.int64), [], []
+            for i in work.left:
+                with_ = work.partners(i)
+                if not len(with_):
+                    continue
+                here = slice(begin[i], end[i])
+                own[shingles[here]] = counts[here]
+                offset = np.cumsum(size[with_]) - size[with_]
+                flat = np.repeat(begin[with_] - offset, size[with_]) + np.arange(int(size[with_].sum()))
+                common = np.add.reduceat(np.minimum(counts[flat], own[shingles[flat]]), offset)
+                own[shingles[here]] = 0
+                alike = with_[common >= similarity * (total[i] + total[with_] - common) - 1e-9]
+                joined, first = np.unique(work.label[alike], return_index=True)
+                a += [i] * len(first)
+                b += alike[first].tolist()
+                work.label[np.isin(work.label, joined)] = work.label[i]
+            if a:
+                rep = rows.column("rep").combine_chunks()
+                yield pa.RecordBatch.from_arrays([rep.take(pa.array(x)) for x in (a, b)], ["a", "b"])
+
+    return dealt.select(*close.columns, "shingles", "counts").mapInArrow(run, f"a {kind}, b {kind}")
 
 
 def texts_of(named: DataFrame, ids: DataFrame) -> DataFrame:
@@ -279,36 +359,38 @@ def near_duplicates(
     """``id, class_id, kept``: the smallest id that a document reaches over links of similarity, one row per document.
 
     First all members of a bucket are compared with two of them, so that a bucket of near copies becomes one class with
-    few pairs. Then every two members of a bucket that are in different classes are compared: by their signatures inside
-    the tasks, and by the bags of the texts where those are alike.
+    few pairs. Then every two members of a bucket that are in different classes are compared inside the tasks: by their
+    signatures, and by their bags where those are alike. Tasks return links that join classes, never all pairs.
 
     Documents without words are classes of their own, and so are rows without an id, whose ``class_id`` is null and
     which are kept. Rows of one id are one document.
     """
     kind = docs.schema[id_col].dataType.simpleString()
     sketch = stage(signatures(docs, id_col, text, bands, rows, shingle), "signatures")
-    classes = sketch.groupBy("f1", "f2").agg(F.min("doc").alias("rep"), F.first("bands").alias("bands"), F.first("mini").alias("mini"))
+    classes = sketch.groupBy("f1", "f2").agg(F.min("doc").alias("rep"), *(F.first(c).alias(c) for c in ("bands", "mini", "weight")))
     classes = stage(classes, "classes")
-    keys = classes.select("rep", F.explode("bands").alias("key"))
+    keys = classes.select("rep", "weight", F.explode("bands").alias("key"))
     shared = keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
     members = stage(keys.join(shared, "key"), "buckets")
-    minis = classes.groupBy(F.col("rep").alias("doc")).agg(F.min("mini").alias("mini"))
+    profiles = classes.groupBy(F.col("rep").alias("doc")).agg(F.min(F.struct("mini", "bands", "weight")).alias("p")).select("doc", "p.*")
     named = docs.select(F.col(id_col).alias("doc"), F.col(text).alias("text")).where(F.col("doc").isNotNull())
 
-    def links_of(pairs: DataFrame) -> DataFrame:
-        pairs = stage(pairs, "pairs")
-        needed = stage(pairs.select(F.col("a").alias("doc")).union(pairs.select("b")).distinct(), "pair-ids")
-        return stage(verified(pairs, stage(texts_of(named, needed), "pair-texts"), similarity, shingle), "links")
+    def texts_for(ids: DataFrame) -> DataFrame:
+        return texts_of(named, stage(ids.distinct(), "pair-ids"))
 
     place = F.row_number().over(Window.partitionBy("key").orderBy("rep"))
     hubs = members.withColumn("place", place).where(F.col("place") <= HUBS).select("key", F.col("rep").alias("a"))
     stars = members.join(hubs, "key").where("a < rep").select("a", F.col("rep").alias("b")).distinct()
-    links = links_of(likely(stars, minis, similarity - MARGIN))
+    pairs = stage(likely(stars, profiles.select("doc", "mini"), similarity - MARGIN), "pairs")
+    ends = pairs.select(F.col("a").alias("doc")).union(pairs.select("b"))
+    links = stage(verified(pairs, stage(texts_for(ends), "pair-texts"), similarity, shingle), "links")
     label = stage(components(links), "labels")
-    known = members.join(label, F.col("rep") == F.col("id"), "left").select("key", "rep", F.coalesce("component", "rep").alias("component"))
+    known = members.join(label, F.col("rep") == F.col("id"), "left").select("key", "rep", "weight", F.coalesce("component", "rep").alias("component"))
     several = known.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high")
     open_ = stage(known.join(several.select("key"), "key", "left_semi"), "open-buckets")
-    more = links_of(bucket_pairs(open_, minis, similarity - MARGIN))
+    close = stage(close_members(open_, profiles, similarity), "close-members")
+    bags = flat_bags(texts_for(close.select(F.col("rep").alias("doc"))), shingle)
+    more = stage(bucket_links(close, bags, similarity), "links")
     label = stage(components(links.unionByName(more)), "labels")
     member = sketch.select("doc", "f1", "f2").join(classes.select("f1", "f2", "rep"), ["f1", "f2"])
     member = member.join(label, F.col("rep") == F.col("id"), "left").select("doc", F.coalesce("component", "rep").alias("class"))

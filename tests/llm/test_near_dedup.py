@@ -6,9 +6,21 @@ from collections import Counter
 import numpy as np
 import pytest
 from helpers import documents, odd_rows, prose
+from pyspark.sql import functions as F
 
 from footfall.llm.graph import components
-from footfall.llm.near_dedup import Bags, Shingler, mixed, near_duplicates, overlap, signature
+from footfall.llm.near_dedup import (
+    Bags,
+    Shingler,
+    bucket_links,
+    close_members,
+    flat_bags,
+    mixed,
+    near_duplicates,
+    overlap,
+    signature,
+    signatures,
+)
 
 
 def bag(counts):
@@ -98,6 +110,30 @@ def test_a_class_is_found_over_a_bucket_with_many_hubs(spark):
     assert told(near_duplicates(documents(spark, rows), bands=60, rows=2)) == brute(rows)
 
 
+def test_a_large_group_of_alike_but_not_similar_texts(spark):
+    """Signatures of the group are alike, its texts are not: tasks return trees of what is linked, however they are cut."""
+    shared = prose(3, 200)
+    rows = [(i, shared + " " + prose(500 + i, 36)) for i in range(120)]
+    rows += [(1000 + i, t + " more words") for i, t in rows[::3]]  # near copies of some
+    rows += [(2000, "x " * 5000), (2001, "x " * 4500), (2002, "x " * 3000)]  # one shingle, by its number
+    docs = documents(spark, rows)
+    expected = brute(rows)
+    assert len({c for _, c in expected}) == 120 + 2
+    assert told(near_duplicates(docs)) == expected
+    sketch = signatures(docs, "doc_id", "text")
+    profiles = sketch.select("doc", "mini", "bands", "weight")
+    members = sketch.select(F.col("doc").alias("rep"), F.col("doc").alias("component"), "weight", F.explode("bands").alias("key"))
+    bags = flat_bags(docs.selectExpr("doc_id AS doc", "text"), 5)
+    for chunk, load in ((2048, 1 << 20), (25, 1 << 20), (2048, 4000)):
+        close = close_members(members, profiles, 0.8, chunk, load)
+        got = bucket_links(close, bags, 0.8).collect()
+        assert len(got) <= close.count()
+        parts = {r.id: r.component for r in components(spark.createDataFrame(got, "a long, b long")).collect()}
+        assert sorted((i, parts.get(i, i)) for i, _ in rows) == sorted(expected)
+        if chunk == 2048 and load > 4000:  # the first bucket of each pair alone has it, so no link is there twice
+            assert len(got) == len(rows) - len({c for _, c in expected})
+
+
 def test_kept_rows_repeats_and_empty_table(spark):
     docs = documents(spark, odd_rows())
     got = near_duplicates(docs).collect()
