@@ -3,8 +3,10 @@
 Unit vectors are rotated and split into blocks of a few dimensions. Two vectors whose squared distance is within a budget
 have at least one block whose squared distance is within that block's share of it, so a range join per block finds every
 pair. In a block the join runs over slabs of its first coordinate, as wide as the block's radius: a vector lies at home in
-one slab and visits the next. Large slabs are cut into chunks, and a task compares two chunks. A pair that several blocks
-find is taken in the first, and its cosine is worked out anew from the given vectors.
+one slab and visits the next. Large slabs are cut into chunks, and a task compares two chunks tile by tile: one product in
+single precision, with slack for its rounding, leaves the pairs that may lie within the block's budget; double precision
+decides on those. A pair that several blocks find is taken in the first, and its cosine is worked out anew from the given
+vectors.
 
 Tasks return sums and spanning trees of what they link, never the pairs, so a dense group costs no more rows than its
 vectors.
@@ -22,10 +24,12 @@ from footfall.llm.graph import components
 from footfall.llm.vectors import matrix, usable
 from footfall.sources.staging import stage
 
-#: Dimensions of a block, vectors of a chunk, and rows of a chunk that are compared at once.
-BLOCK, CHUNK, TILE = 16, 8192, 512
+#: Dimensions of a block, vectors of a chunk, and rows and columns that are compared at once.
+BLOCK, CHUNK, TILE = 16, 32768, (256, 1024)
 #: Added to a block's budget, so that rounding loses no pair.
 SLACK = 1e-9
+#: Added in single precision: its products of two blocks of unit vectors and their norms err by less.
+COARSE = 1e-4
 
 
 def rotation(dim: int) -> np.ndarray:
@@ -122,6 +126,49 @@ def _join_labels(labels: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray
         np.minimum.at(labels, np.maximum(x, y), np.minimum(x, y))
 
 
+def _gaps(own: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    gap = own[a] - own[b]
+    return np.einsum("ij,ij->i", gap, gap)
+
+
+def near_pairs(own: np.ndarray, left: np.ndarray, right: np.ndarray, budget: float):
+    """Pairs of row numbers, one of ``left`` and one of ``right`` (each pair once if they are the same rows), whose squared
+    distance in a block is within the budget; those of some tiles at a time.
+
+    A row carries half its negative squared norm and a one, so that a product of two rows is half their negative squared
+    distance.
+    """
+    same, (high, wide) = left is right, TILE
+    half = -np.einsum("ij,ij->i", own, own)[:, None] / 2
+    one = np.ones_like(half)
+    rows = np.hstack([own, half, one]).astype(np.float32)[left]
+    columns = np.hstack([own, one, half]).astype(np.float32)[right]
+    least = np.float32(-(budget + COARSE) / 2)
+    products, hits = np.empty(high * wide, np.float32), np.empty(high * wide, bool)
+    found: list[tuple[np.ndarray, np.ndarray]] = []
+    waiting = 0
+    for i in range(0, len(rows), high):
+        part = rows[i : i + high]
+        for j in range(i // wide * wide if same else 0, len(columns), wide):
+            other = columns[j : j + wide]
+            shape, size = (len(part), len(other)), len(part) * len(other)
+            product = np.matmul(part, other.T, out=products[:size].reshape(shape))
+            hit = np.flatnonzero(np.greater_equal(product, least, out=hits[:size].reshape(shape)))
+            a, b = i + hit // shape[1], j + hit % shape[1]
+            if same:
+                a, b = a[a < b], b[a < b]
+            if len(a):
+                a, b = left[a], right[b]
+                within = _gaps(own, a, b) <= budget
+                found.append((a[within], b[within]))
+                waiting += len(found[-1][0])
+            if waiting >= high * wide:
+                yield tuple(map(np.concatenate, zip(*found, strict=True)))
+                found, waiting = [], 0
+    if waiting:
+        yield tuple(map(np.concatenate, zip(*found, strict=True)))
+
+
 def compare(cosine: float):
     """For two chunks: ``rep, links, root``, the number of vectors linked to each here, and the least it reaches here."""
 
@@ -135,24 +182,14 @@ def compare(cosine: float):
         turned = x @ rotation(dim)
         left = np.flatnonzero(side == 0)
         right = left if i == j else np.flatnonzero(side == 1)
-        own = turned[:, cuts[block]]
-        norm = np.einsum("ij,ij->i", own, own)
         links, labels = np.zeros(len(rep), np.int64), np.arange(len(rep))
-        for start in range(0, len(left), TILE):
-            part = left[start : start + TILE]
-            near = norm[part][:, None] + norm[right] - 2 * (own[part] @ own[right].T) <= budget[block] + SLACK
-            a, b = np.nonzero(near)
-            a, b = part[a], right[b]
-            if i == j:
-                a, b = a[a < b], b[a < b]
-            for at in range(0, len(a), 1 << 18):
-                p, q = a[at : at + (1 << 18)], b[at : at + (1 << 18)]
-                for cut, limit in zip(cuts[:block], budget[:block], strict=True):  # an earlier block has the pair
-                    gap = turned[p, cut] - turned[q, cut]
-                    later = np.einsum("ij,ij->i", gap, gap) > limit
-                    p, q = p[later], q[later]
-                linked = np.einsum("ij,ij->i", x[p], x[q]) >= cosine
-                p, q = p[linked], q[linked]
+        for p, q in near_pairs(turned[:, cuts[block]], left, right, budget[block]):
+            for cut, limit in zip(cuts[:block], budget[:block], strict=True):  # an earlier block has the pair
+                later = _gaps(turned[:, cut], p, q) > limit
+                p, q = p[later], q[later]
+            linked = np.einsum("ij,ij->i", x[p], x[q]) >= cosine
+            p, q = p[linked], q[linked]
+            if len(p):
                 np.add.at(links, p, n[q])
                 np.add.at(links, q, n[p])
                 labels = _join_labels(labels, p, q)

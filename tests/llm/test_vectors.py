@@ -135,3 +135,17 @@ def test_nearest_keeps_doubles(spark):
     got = hnsw.nearest(df, df.where("vec_id = 3"), k=3).orderBy("rank").collect()
     assert [r.vec_id for r in got] == [2, 1, 4]
     assert [r.score for r in got] == [rows[1][1][0] - 1, rows[0][1][0] - 1, 1e39]
+
+
+@pytest.mark.parametrize(("rows", "others"), [(1, 1), (700, 700), (2500, 300), (300, 2500)])
+def test_near_pairs_of_tiles_against_all_pairs(rows, others):
+    rng = np.random.default_rng(rows)
+    own = subspace_join.unit(rng.standard_normal((rows + others, 32)))[:, :16]
+    own[::7] = own[0] + 1e-3 * rng.standard_normal((len(own[::7]), 16))  # a dense group over all tiles
+    left, right = np.arange(rows), np.arange(rows, rows + others)
+    gaps = ((own[:, None] - own[None]) ** 2).sum(axis=2)
+    for budget in (0.05, float(gaps[0, 7 if rows > 7 else 1])):  # the second is met exactly, or as rounding has it
+        for a, b in ((left, right), (left, left)):
+            got = [pair for p, q in subspace_join.near_pairs(own, a, b, budget + 1e-9) for pair in zip(p.tolist(), q.tolist(), strict=True)]
+            want = {(i, j) for i, j in zip(*np.nonzero(gaps <= budget + 1e-9), strict=True) if i < len(left) and (j < len(left)) == (a is b) and (a is not b or i < j)}
+            assert len(got) == len(set(got)) and set(got) == want
