@@ -8,8 +8,8 @@ left is the text.
 
 Tags that say what a branch is for count as presentation: a navigation or footer has no importance whatever it holds, and
 where pages name their article, only that is looked at, if it holds enough of the text that is left (`main_branches`).
-Class names are weaker evidence (`settle`): a branch called sidebar goes if it is a small part of its page or if the
-entropies say so too. So a host of a few pages, where entropies say nothing, gives the same text as a large one. Nodes of
+Class names and forms are weaker evidence (`settle`): a branch called sidebar goes if it is a small part of its page or if
+the entropies say so too; reader comments go unless they are all there is. So a host of a few pages, where entropies say nothing, gives the same text as a large one. Nodes of
 the tree are elements that form blocks; inline elements belong to their block.
 """
 
@@ -34,7 +34,7 @@ from footfall.sources.staging import stage
 
 #: Tags without content, tags whose content is no text, and tags that begin a block (fixed values of HTML).
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style template noscript iframe object svg math textarea title select canvas audio video".split())
+RAW = frozenset("script style template noscript iframe object svg annotation annotation-xml textarea title select canvas audio video".split())
 BLOCKS = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset "
     "h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table tbody td tfoot th thead tr ul".split()
@@ -47,8 +47,8 @@ SIBLINGS = {
 }
 #: Where a search for an element to close ends.
 SCOPES = {"li": {"ul", "ol", "menu"}, "tr": {"table"}, "td": {"table"}, "th": {"table"}, "dt": {"dl"}, "dd": {"dl"}, "option": {"select"}}
-#: Tags, roles and words of class names that tell a branch which is never main text.
-ASIDE_TAGS = frozenset("nav footer aside header form menu dialog button head search".split())
+#: Tags, roles and words of class names that tell a branch which is never main text. A header of an article holds its headline.
+ASIDE_TAGS = frozenset("nav footer aside header menu dialog button head search".split())
 ASIDE_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar".split())
 ASIDE_WORDS = frozenset(
     "ad ads advert adverts advertisement advertising adsense banner sponsor sponsored promo promotion cookie cookies consent gdpr notice alert popup modal "
@@ -65,6 +65,8 @@ CARRIERS = frozenset(
 TEASERS = frozenset("teaser teasers card cards preview previews tile tiles snippet snippets".split())
 ARTICLE_WORDS = ASIDE_WORDS | TEASERS
 TITLED = frozenset("post article entry story blog".split())
+#: Names of threads of reader comments, which go however long they are.
+THREAD_WORDS = frozenset("comment comments disqus respond".split())
 #: Characters of a branch that are a small part of any page that has other text.
 LINE = 80
 #: Blocks whose classes and ids name asides.
@@ -88,10 +90,11 @@ SPACE = re.compile(r"\s+")
 class Node:
     """An element: its name in the tree (tag, classes, id), its children (elements and texts), and its parent."""
 
-    __slots__ = ("aside", "children", "name", "named", "outside", "parent", "size", "tag")
+    __slots__ = ("aside", "children", "name", "named", "outside", "parent", "size", "tag", "thread")
 
-    def __init__(self, tag: str, name: str, aside: bool, parent: Node | None, named: bool = False):
-        self.tag, self.name, self.aside, self.parent, self.named, self.children = tag, name, aside, parent, named, []
+    def __init__(self, tag: str, name: str, aside: bool, parent: Node | None, named: bool = False, thread: bool = False):
+        self.tag, self.name, self.aside, self.parent, self.named, self.thread = tag, name, aside, parent, named, thread
+        self.children: list = []
 
 
 #: What ``names_aside`` has said in this worker. A dictionary travels with the function; a caching decorator would only be found
@@ -112,19 +115,27 @@ def names_aside(label: str, asides: frozenset[str] = ASIDE_WORDS) -> bool:
     return said
 
 
+def _in_article(node: Node | None) -> bool:
+    while node is not None and node.tag not in ("article", "main"):
+        node = node.parent
+    return node is not None
+
+
 def _element(tag: str, attributes: str, parent: Node) -> Node:
+    headline = tag == "header" and _in_article(parent)
     if "=" not in attributes and "hidden" not in attributes:
-        return Node(tag, tag, tag in ASIDE_TAGS, parent)
+        return Node(tag, tag, tag in ASIDE_TAGS and not headline, parent, tag == "form")
     known = {k.lower(): html.unescape(a or b or c or "") for k, a, b, c in ATTRIBUTES.findall(attributes)}
     labels = f"{known.get('class', '')} {known.get('id', '')}".lower()
     hidden = "hidden" in known or known.get("aria-hidden") == "true" or "display:none" in known.get("style", "").replace(" ", "").lower()
-    aside = bool(tag in ASIDE_TAGS or known.get("role", "").lower() in ASIDE_ROLES or hidden)
+    aside = bool(tag in ASIDE_TAGS and not headline or known.get("role", "").lower() in ASIDE_ROLES or hidden)
     words = ASIDE_WORDS if tag != "article" else ARTICLE_WORDS
     # Words of inline elements and headings tell what they say, not what they are for.
-    named = not aside and tag in NAMED and any(names_aside(x, words) for x in labels.split())
+    named = not aside and not headline and tag in NAMED and any(names_aside(x, words) for x in labels.split())
+    thread = named and any(names_aside(x, THREAD_WORDS) for x in labels.split())
     # Numbers in classes and ids differ from page to page; they are one name in the tree.
     label = re.sub(r"\d+", "#", SPACE.sub(".", labels.strip()))
-    return Node(tag, f"{tag}.{label}" if label else tag, aside, parent, named)
+    return Node(tag, f"{tag}.{label}" if label else tag, aside, parent, named or not aside and tag == "form", thread)
 
 
 def parse(page: str) -> Node:
@@ -186,8 +197,9 @@ def parse(page: str) -> Node:
 def settle(root: Node, named: list[Node], held: list[Node]) -> None:
     """Make asides of the named elements that are a small part of their page: no longer than the text outside of named
     elements, or than a line. Others are branches like any (the entropies may still remove them), all of their name with
-    them, and what lies in them outside of further named elements counts as outside from then on. Elements that hold a main element or the page's
-    article are never asides; of several articles alike in length none is the page's. ``named`` and ``held`` (articles and main elements) are in page order.
+    them, and what lies in them outside of further named elements counts as outside from then on. Threads of reader comments are
+    asides whatever their length if text lies outside. Elements that hold a main element or the page's article are never asides; of
+    several articles alike in length none is the page's. Forms are named elements: some hold the whole page. ``named`` and ``held`` (articles and main elements) are in page order.
     """
     order, todo = [], [root]
     while todo:
@@ -236,7 +248,8 @@ def settle(root: Node, named: list[Node], held: list[Node]) -> None:
         nonlocal n
         for alike in inside.get(top, {}).values():
             n += 1
-            heapq.heappush(queue, (holds.isdisjoint(alike), -max(x.size for x in alike), n, alike))
+            size = max(min(x.size, 1) if x.thread else x.size for x in alike)
+            heapq.heappush(queue, (holds.isdisjoint(alike), -size, n, alike))
 
     add(root)
     rest = root.outside

@@ -15,6 +15,7 @@ from footfall.llm.queries import QUERIES
 from footfall.llm import style_tree
 from footfall.llm.style_tree import extract, importance, low_branches, main_text, node_features
 
+LONG = prose(1, 60)
 PAGES = "page_id long, url string, html string, text string"
 
 
@@ -39,6 +40,15 @@ def pages(spark, rows):
     ("<script>only", ""),
     ("<p>unclosed <b", "unclosed"),
     ("<ARTICLE><P>up</P></ARTICLE>", "up"),
+    ("<body><header>site</header><article><header class='header'><h1>T</h1></header><p>x</p><footer>f</footer></article>", "T\nx"),
+    ("<p>where <math><mi>x</mi><mo>=</mo><mn>1</mn><annotation>x=1</annotation></math> holds</p>", "where x=1 holds"),
+    ("<body><form action='/'><nav>n</nav><article><h1>T</h1><p>x</p></article><input name='q'></form></body>", "T\nx"),
+    (f"<body><nav>n</nav><form id='aspnet'><h1>T</h1><p>{LONG}</p><form>search</form></form><div>c 2024</div></body>", f"T\n{LONG}\nc 2024"),
+    (f"<body><h1>T</h1><p>{LONG}</p><form class='f'><label>name</label><select><option>o</select></form></body>", f"T\n{LONG}"),
+    ("<body><h1>T</h1><p>short</p><div id='comments'>" + f"<div class='comment'><p>{LONG}</p></div>" * 40 + "</div></body>", "T\nshort"),
+    ("<article><p>short</p></article><ol class='comment-list'>" + f"<li>{LONG}</li>" * 40 + "</ol>", "short"),
+    (f"<body><div class='comments'><p>{LONG}</p></div></body>", LONG),
+    (f"<body><div class='comments'><main><p>x</p></main></div><div class='respond'>{LONG}</div></body>", "x"),
     ("<div " * 3 + "<p>&lt;p&gt;&#233;&copy;</p>", "<p>é©"),
 ])
 def test_blocks_of_a_page(page, text):
@@ -96,9 +106,6 @@ def test_odd_rows_and_empty_table(spark):
     assert extract(df.limit(0)).count() == 0
 
 
-LONG = prose(1, 60)
-
-
 @pytest.mark.parametrize(("page", "text"), [
     (f"<body><div class='site has-sidebar'><p>{LONG}</p><div class='sidebar'>s</div></div></body>", LONG),
     (f"<body><div class='layout no-sidebar'><article><p>{LONG}</p></article></div></body>", LONG),
