@@ -79,8 +79,16 @@ class Runs:
         if len(self.levels[level]) == self.fanout:
             full, self.levels[level] = self.levels[level], []
             self._push(level + 1, self._write(merged(self._read(full))))
-            for name, _ in full:
-                self.spark.sql(f"DROP TABLE {name}")
+            self._forget(full)
+
+    def _forget(self, runs: list[tuple[str, str]]) -> None:
+        """Take runs out of the catalog; their files stay in the shared folder until it is discarded."""
+        for name, _ in runs:
+            self.spark.sql(f"DROP TABLE {name}")
+
+    def close(self) -> None:
+        self._forget(self.runs())
+        self.levels = []
 
     def total(self) -> DataFrame:
         """All runs merged."""
@@ -117,6 +125,7 @@ def repeated_lines(
         once = batch.distinct()
         runs.add(once.groupBy(*KEY).agg(F.count("*").alias("n"), F.max("doc").alias("holder")))
     frequent = stage(runs.total().where(F.col("n") >= min_docs).select(*KEY, "holder"), "frequent-lines")
+    runs.close()
     hits = lines.join(frequent, list(KEY)).where(F.col("doc") != F.col("holder"))
     return hits.groupBy("doc").agg(F.collect_set(F.struct(*KEY)).alias("dropped"))
 

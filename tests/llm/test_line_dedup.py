@@ -73,3 +73,10 @@ def test_runs_merge_and_know_their_holders(spark):
         runs.add(spark.createDataFrame(batch, "h1 long, h2 long, n long, holder long"))
     assert [len(level) for level in runs.levels] == [0, 0, 1]
     assert sorted(map(tuple, runs.total().collect())) == [(1, 1, 6, 90), (2, 2, 1, 91), (3, 3, 5, 51)]
+
+
+def test_no_run_stays_in_the_catalog(spark):
+    before = {t.name for t in spark.catalog.listTables()}
+    docs = spark.createDataFrame([(i, "a line that several documents hold, and that is long\nown") for i in range(9)], "doc_id long, text string")
+    assert sum(r.n_dropped for r in line_dedup.dedup_lines(docs).collect()) == 8
+    assert {t.name for t in spark.catalog.listTables()} == before
