@@ -7,6 +7,8 @@ triangles are merged by factorising them again, one below the other. That keeps
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
+from operator import add
 
 import numpy as np
 import pandas as pd
@@ -15,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from footfall.operators.joins import salted_join
+from footfall.sources.staging import stage
 
 TOLERANCE = 1e-8  # part of a column's spread around its mean that the columns before it must leave unexplained
 ROUNDING = 1e-13  # part of a column's length that is noise of the arithmetic
@@ -190,22 +193,26 @@ def simple_ols_by_group(data: DataFrame, group: str, predictor: str, responses:
 def normal_equations(
     data: DataFrame, fits: DataFrame, group: str, predictors: list[str], responses: list[str]
 ) -> DataFrame:
-    """Largest product of a predictor with the residuals, per group and response: 0 for a least squares fit."""
+    """Largest product of a predictor with the residuals, per group and response: 0 for a least squares fit.
+
+    Coefficients are written, so that Spark knows how short they are and lets them, not the rows, come to the join. All products
+    of a row are added up where the row is, and tasks return one row per group.
+    """
     terms = ["intercept", *predictors]
     pos = F.array_position(F.array(*map(F.lit, terms)), F.col("term"))
     by_term = F.sort_array(F.collect_list(F.struct(pos.alias("pos"), *(f"c{i + 1}" for i in range(len(responses))))))
-    coefficients = fits.groupBy(group).agg(by_term.alias("b"))
-    x = F.array(F.lit(1.0), *(F.col(p).cast("double") for p in predictors))
+    coefficients = stage(fits.groupBy(group).agg(by_term.alias("b")), "coefficients")
+    x = [F.lit(1.0), *(F.col(p).cast("double") for p in predictors)]
+    names = [f"r{i + 1}" for i in range(len(responses))]
 
     def residual(y: str, c: str) -> Column:
-        products = F.zip_with("x", "b", lambda value, b: value * F.coalesce(b[c], F.lit(0.0)))
-        return F.col(y) - F.aggregate(products, F.lit(0.0), lambda total, p: total + p)
+        products = (value * F.coalesce(F.col("b")[j][c], F.lit(0.0)) for j, value in enumerate(x))
+        return F.col(y) - reduce(add, products, F.lit(0.0))
+
+    def gap(r: str) -> Column:
+        sums = [F.abs(F.sum(value * F.col(r))) for value in x]
+        return (F.greatest(*sums) if len(sums) > 1 else sums[0]).alias(f"gap_{r}")
 
-    names = [f"r{i + 1}" for i in range(len(responses))]
     residuals = [residual(y, f"c{i + 1}").alias(r) for i, (r, y) in enumerate(zip(names, responses, strict=True))]
-    rows = salted_join(data.withColumn("x", x), coefficients, [group], spread_by=["imei"])
-    products = rows.select(group, "x", *residuals).select(group, *names, F.posexplode("x").alias("pos", "value"))
-    sums = products.groupBy(group, "pos").agg(
-        F.count("*").alias("n"), *(F.abs(F.sum(F.col("value") * F.col(r))).alias(f"gap_{r}") for r in names)
-    )
-    return sums.groupBy(group).agg(F.max("n").alias("n"), *(F.max(f"gap_{r}").alias(f"gap_{r}") for r in names))
+    rows = salted_join(data, coefficients, [group], spread_by=["imei"])
+    return rows.select(group, *predictors, *residuals).groupBy(group).agg(F.count("*").alias("n"), *map(gap, names))

@@ -16,6 +16,7 @@ from footfall.catalogue.views import AD_DAYS, SNAPSHOT, USE_DAYS, Views
 from footfall.functions.calendar import Campaign
 from footfall.operators import categories, cohort, did, exposure, facts, ols, panel, portrait
 from footfall.plans import ad_effect
+from footfall.sources import staging
 
 DAYS = (20210201, 20210425)
 CAMPAIGN = Campaign.from_days((20210201, 20210301, 20210329, 20210426))
@@ -374,6 +375,29 @@ def test_normal_equations_show_a_wrong_fit(spark, regression):
     assert min(r.gap_r2 for r in ols.normal_equations(df, wrong, "app", X, ["y1", "y2"]).collect()) > 0.1
 
 
+def test_normal_equations_move_and_multiply_no_rows(spark):
+    """The rows meet short coefficients where they are, and are not repeated for every predictor."""
+    data = spark.range(20000).select(
+        F.concat(F.lit("a"), (F.col("id") % 2).cast("string")).alias("app"), F.col("id").alias("imei"),
+        F.when(F.col("id") != 7, F.sin("id")).alias("x1"), F.cos("id").alias("x2"), F.sqrt("id").alias("y1"),
+    )
+    fits = spark.createDataFrame(
+        [(app, term, c) for app in ("a0", "a1") for term, c in (("intercept", 2.0), ("x1", 0.5), ("x2", None))], "app string, term string, c1 double"
+    )
+    data = staging.stage(data.withColumn("other", F.md5(F.col("imei").cast("string"))), "rows")
+    gaps = ols.normal_equations(data, fits, "app", ["x1", "x2"], ["y1"])
+    plan = gaps._jdf.queryExecution().executedPlan().toString()
+    assert "posexplode" not in plan and plan.count("BroadcastExchange") == 1
+    assert "x1" not in plan.split("BroadcastExchange")[1]
+    got = {r.app: r for r in gaps.collect()}
+    for a in (0, 1):
+        i = np.arange(a, 20000, 2, dtype=float)
+        whole = i != 7  # a row with a gap is counted and has no residual
+        r = np.sqrt(i) - 2.0 - 0.5 * np.sin(i)
+        sums = [abs((value * r)[whole].sum()) for value in (np.ones(len(i)), np.sin(i), np.cos(i))]
+        assert got[f"a{a}"].n == 10000 and got[f"a{a}"].gap_r1 == pytest.approx(max(sums))
+
+
 def test_effect_of_both_kinds_end_to_end(spark):
     v = Views(spark, str(DATA))
     tables = ad_effect.AdTables(v.ads, v.exposures, v.app_use, v.browsers, v.people, v.city_level)
