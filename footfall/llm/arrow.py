@@ -18,16 +18,18 @@ def slices(batch: pa.RecordBatch, rows: int = ROWS, size: int = BYTES) -> Iterat
         yield batch.slice(start, step)
 
 
-def map_slices(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch]], schema: str) -> DataFrame:
+def map_slices(
+    df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch]], schema: str, size: int = BYTES
+) -> DataFrame:
     """``mapInArrow`` with a function that ``make`` builds once per task, so tables it loads are loaded once.
 
-    The function may return ``None`` for a piece without output.
+    The function gets pieces of some ``size`` bytes. It may return ``None`` for a piece without output.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = None
         for batch in batches:
-            for piece in slices(batch):
+            for piece in slices(batch, size=size):
                 work = work or make()
                 out = work(piece)
                 if out is not None and out.num_rows:

@@ -36,8 +36,8 @@ HUBS, CHUNK, LOAD = 2, 2048, 1 << 20
 MARGIN = 0.18
 #: Ids that are broadcast at most, to pick their texts in the scan: 16 MB.
 SHORT_LIST = 1_000_000
-#: Words whose hash a task keeps.
-CACHED = 500_000
+#: Words whose hash a task keeps, and bytes of text it shingles at once: a byte of text takes some 50 of memory on its way.
+CACHED, PIECE = 1 << 16, 1 << 20
 U64 = np.uint64
 
 
@@ -168,7 +168,7 @@ def signatures(docs: DataFrame, id_col: str, text: str, bands: int = BANDS, rows
 
     kind = docs.schema[id_col].dataType.simpleString()
     named = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("doc"), F.col(text).alias("text"))
-    return map_slices(named, make, f"doc {kind}, f1 long, f2 long, bands array<long>, mini binary, weight long")
+    return map_slices(named, make, f"doc {kind}, f1 long, f2 long, bands array<long>, mini binary, weight long", PIECE)
 
 
 def likely(pairs: DataFrame, minis: DataFrame, least: float) -> DataFrame:
@@ -273,7 +273,7 @@ def flat_bags(named: DataFrame, shingle: int) -> DataFrame:
 
         return work
 
-    return map_slices(named, make, f"doc {named.schema['doc'].dataType.simpleString()}, shingles binary, counts binary")
+    return map_slices(named, make, f"doc {named.schema['doc'].dataType.simpleString()}, shingles binary, counts binary", PIECE)
 
 
 def bucket_links(close: DataFrame, bags: DataFrame, similarity: float) -> DataFrame:
@@ -331,7 +331,7 @@ def verified(pairs: DataFrame, named: DataFrame, similarity: float, shingle: int
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bags_of = Shingler(shingle)
         for batch in batches:
-            for piece in slices(batch):
+            for piece in slices(batch, size=PIECE):
                 a, left = piece.column("a").to_pylist(), texts(piece, "left")
                 fresh = [i for i in range(len(a)) if not i or a[i] != a[i - 1]]
                 place = np.cumsum([not i or a[i] != a[i - 1] for i in range(len(a))]) - 1

@@ -1,13 +1,17 @@
 from __future__ import annotations
 
 import random
+import tracemalloc
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from helpers import documents, odd_rows, prose
 from pyspark.sql import functions as F
 
+from footfall.llm import near_dedup
+from footfall.llm.arrow import BYTES, slices
 from footfall.llm.graph import components
 from footfall.llm.near_dedup import (
     Bags,
@@ -160,3 +164,26 @@ def test_components(spark):
     assert got == {x: root(x) for x in parent if x not in loops}
     assert max(Counter(got.values()).values()) >= 71
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+@pytest.mark.parametrize("step", ["signatures", "flat_bags"])
+def test_a_task_needs_little_memory_for_a_large_batch(spark, monkeypatch, step):
+    """Workers of all stages stay alive beside the JVM, and memory that was once taken stays with them."""
+    rng = random.Random(3)
+    words = [f"w{i:04d}" for i in range(5000)]
+    batch = pa.table({"doc": list(range(1500)), "text": [" ".join(rng.choices(words, k=600)) for _ in range(1500)]}).to_batches()[0]
+    held = {}
+
+    def keep(df, make, schema, size=BYTES):
+        held.update(work=make(), size=size)
+
+    monkeypatch.setattr(near_dedup, "map_slices", keep)
+    docs = spark.createDataFrame([(1, "a")], "doc int, text string")
+    signatures(docs, "doc", "text") if step == "signatures" else flat_bags(docs, 5)
+    tracemalloc.start()
+    made = 0
+    for piece in slices(batch, size=held["size"]):
+        made += held["work"](piece).num_rows
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert made == 1500 and peak < 100 << 20
