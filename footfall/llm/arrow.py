@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -18,6 +19,14 @@ def slices(batch: pa.RecordBatch, rows: int = ROWS, size: int = BYTES) -> Iterat
         yield batch.slice(start, step)
 
 
+def give_back() -> None:
+    """Return freed memory to the system at a task's end: a worker waits for later stages, and would keep it all that time."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+    if trim:
+        trim(0)
+
+
 def map_slices(
     df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch]], schema: str, size: int = BYTES
 ) -> DataFrame:
@@ -34,6 +43,8 @@ def map_slices(
                 out = work(piece)
                 if out is not None and out.num_rows:
                     yield out
+        work = batch = piece = out = None
+        give_back()
 
     return df.mapInArrow(run, schema)
 

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers.pre_tokenizers import ByteLevel
 
-from footfall.llm.arrow import map_slices, slices, texts
+from footfall.llm.arrow import give_back, map_slices, slices, texts
 from footfall.llm.files import publish
 from footfall.sources.staging import stage
 
@@ -342,6 +342,8 @@ def word_counts(docs: DataFrame, text: str = "text") -> DataFrame:
                     yield counted()
         if pieces:
             yield counted()
+        split = batch = part = None
+        give_back()
 
     return docs.select(text).mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 

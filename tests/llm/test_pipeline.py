@@ -6,6 +6,7 @@ import hashlib
 from collections import Counter, defaultdict
 
 import corpus_pipeline
+import pyarrow as pa
 import pytest
 from helpers import DATA, documents, odd_rows
 from test_line_dedup import brute as brute_lines
@@ -13,7 +14,7 @@ from test_mixing import words
 from test_near_dedup import brute as brute_classes
 from tokenizers import Tokenizer
 
-from footfall.llm import mixing
+from footfall.llm import arrow, mixing
 from footfall.llm.queries import BYTE_BPE, toxic_chain
 from footfall.llm.toxicity import Features
 from footfall.sources.staging import stage
@@ -74,3 +75,21 @@ def test_odd_rows_and_empty_table(spark):
     for name, function in corpus_pipeline.STAGES:
         given = stage(function(spark, given, DATA), name)
     assert given.count() == 0
+
+
+def test_texts_go_to_python_in_small_batches(spark):
+    docs = documents(spark, [(i, "x" * 20_000) for i in range(400)]).coalesce(1)
+
+    def size(batches):
+        yield pa.RecordBatch.from_pydict({"size": [max(b.nbytes for b in batches)]})
+
+    corpus_pipeline.drop_near_copies(spark, docs, DATA)
+    assert max(r.size for r in docs.mapInArrow(size, "size long").collect()) < 2 << 20
+
+
+def test_a_task_gives_back_its_memory(spark, tmp_path, monkeypatch):
+    mark = str(tmp_path / "given")
+    monkeypatch.setattr(arrow, "give_back", lambda: open(mark, "w").close())
+    docs = documents(spark, [(1, "a"), (2, "b")]).coalesce(1)
+    found = arrow.map_slices(docs.select("doc_id"), lambda: lambda batch: batch, "doc_id long").collect()
+    assert sorted(r.doc_id for r in found) == [1, 2] and (tmp_path / "given").exists()
