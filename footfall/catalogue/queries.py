@@ -440,8 +440,8 @@ def topic_terms_rounding(v: Views) -> DataFrame:
 def topic_fit(v: Views) -> DataFrame:
     """The fit of the topics: user-days, how far Jensen's bound is from the likelihood, and whether topics explain more than the
     categories' overall shares do."""
-    rows = _training(v)
-    model = topics.fit_topics(rows, 20)
+    rows = topics.vector_rows(_scaled(v), vw.CATEGORIES)
+    model = topics.fit_topics(topics.dealt(rows, vw.LDA_PARTITIONS), 20)
     mixes = model.transform(rows).select(*features.USER_DAY, "features", vector_to_array("topicDistribution").alias("mix"))
     bounds = topics.likelihood_bounds(mixes, topics.term_weights(model, vw.CATEGORIES), vw.CATEGORIES)
     return bounds.agg(
@@ -452,8 +452,8 @@ def topic_fit(v: Views) -> DataFrame:
 
 
 def _mix(v: Views) -> DataFrame:
-    rows = _training(v)
-    return topics.topic_mix(topics.fit_topics(rows, 20), rows)
+    rows = topics.vector_rows(_scaled(v), vw.CATEGORIES)
+    return topics.topic_mix(topics.fit_topics(topics.dealt(rows, vw.LDA_PARTITIONS), 20), rows)
 
 
 @query

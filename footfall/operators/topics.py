@@ -26,14 +26,24 @@ TOP_TERMS = 20
 NO_TOPIC = -1
 
 
-def training_rows(scaled: DataFrame, names: list[str], n_partitions: int) -> DataFrame:
-    """Feature vectors in a fixed layout, written once because every fit reads them many times.
+def vector_rows(scaled: DataFrame, names: list[str]) -> DataFrame:
+    """Feature vectors, written once because every fit and the mixes of its model read them."""
+    return stage(feature_vectors(scaled, names, USER_DAY), "training_rows")
+
+
+def dealt(vectors: DataFrame, n_partitions: int) -> DataFrame:
+    """Written vectors in a fixed layout, to fit on.
 
     How written files are read back depends on the number of cores, and the fits draw their samples per partition. So
-    the rows are dealt and sorted again on the way in: ``n_partitions`` belongs to the model, like its seed.
+    the rows are dealt and sorted again on the way in: ``n_partitions`` belongs to the model, like its seed. What a model says
+    of a row does not depend on the layout; mixes are taken from the written rows, by as many tasks as there are cores.
     """
-    written = stage(feature_vectors(scaled, names, USER_DAY), "training_rows")
-    return written.repartition(n_partitions, "imei").sortWithinPartitions(*USER_DAY)
+    return vectors.repartition(n_partitions, "imei").sortWithinPartitions(*USER_DAY)
+
+
+def training_rows(scaled: DataFrame, names: list[str], n_partitions: int) -> DataFrame:
+    """Feature vectors, written and dealt out to fit on."""
+    return dealt(vector_rows(scaled, names), n_partitions)
 
 
 @contextmanager

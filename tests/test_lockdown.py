@@ -11,6 +11,8 @@ from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
 
 from conftest import DATA
+from footfall.catalogue import queries
+from footfall.catalogue import views as vw
 from footfall.catalogue.views import CATEGORIES, DAYS, SNAPSHOT, USE_DAYS, Views
 from footfall.functions.calendar import Weeks
 from footfall.operators import activity, features, kmodes, places, topics
@@ -297,6 +299,19 @@ def test_topics_do_not_depend_on_how_rows_are_read(spark, tmp_path):
     assert found[0] == found[1]
 
 
+def test_mixes_are_taken_from_the_written_rows(spark, monkeypatch):
+    names = vw.CATEGORIES
+    rng = random.Random(5)
+    data = [("c", u, 20240101 + d, *[rng.random() for _ in names]) for u in range(20) for d in range(3)]
+    scaled = spark.createDataFrame(data, "city string, imei int, dayno int, " + ", ".join(f"{n} double" for n in names))
+    monkeypatch.setattr(queries, "_scaled", lambda v: scaled)
+    mix = queries._mix(None)
+    assert "REPARTITION_BY_NUM" not in mix._jdf.queryExecution().toString()
+    train = topics.training_rows(scaled, names, vw.LDA_PARTITIONS)
+    again = topics.topic_mix(topics.fit_topics(train, 20), train)
+    assert mix.count() == 60 and mix.exceptAll(again).count() == 0
+
+
 def test_use_outside_the_study_is_left_out(spark):
     use = [(u, "p", 5.0, d) for u in range(12) for d in (20240101, 20240201)]
     use = spark.createDataFrame(use, "imei int, pack_name string, duration double, dayno int")
