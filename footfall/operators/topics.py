@@ -4,19 +4,23 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator
 from contextlib import contextmanager
+from functools import reduce
 from multiprocessing.pool import ThreadPool
 
+import numpy as np
 from pyspark import StorageLevel, inheritable_thread_target
 from pyspark.ml.clustering import LDA, LDAModel
 from pyspark.ml.functions import vector_to_array
+from pyspark.ml.linalg import Vectors
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from footfall.functions.numeric import first_argmax
+from footfall.operators import variational
 from footfall.operators.features import USER_DAY, feature_vectors
-from footfall.sources.staging import stage
+from footfall.sources.staging import stage, staging_path
 
 # The settings of the original fits.
 SEED = 36
@@ -24,6 +28,10 @@ MAX_ITER = 50
 SWEEP = range(3, 21)
 TOP_TERMS = 20
 NO_TOPIC = -1
+BATCH = 0.05  # share of the rows that MLlib draws, with replacement, in a round
+
+RUN = 65536  # places numbered from one row
+LIKELIHOOD_TASKS = 4  # per core
 
 
 def vector_rows(scaled: DataFrame, names: list[str]) -> DataFrame:
@@ -72,23 +80,109 @@ def sweep(
     parallelism: int = 4,
     keep: Callable[[int, LDAModel], None] | None = None,
 ) -> DataFrame:
-    """Log likelihood and log perplexity for each number of topics; several fits run side by side.
+    """Log likelihood and log perplexity for each number of topics.
 
-    ``keep`` is handed every fitted model, to write what should stay of it.
+    All models of a sweep draw the same user-days in a round, so a round is one job for all of them, and so are the likelihoods.
+    ``keep`` is handed every fitted model, to write what should stay of it; such models are MLlib's, and several fits run side
+    by side.
     """
+    ks = list(ks)
+    if keep or not ks:
+        found, weight = _sweep_kept(rows, ks, max_iter, parallelism, keep)
+    else:
+        found, weight = _sweep_together(rows, ks, max_iter, parallelism)
+    fits = [(k, -value / weight, value) for k, value in zip(ks, found, strict=True)]
+    return rows.sparkSession.createDataFrame(fits, "k int, log_perplexity double, log_likelihood double")
 
+
+def _total(rows: DataFrame) -> float:
+    return float(rows.agg(Summarizer.sum(F.col("features"))).first()[0].toArray().sum())
+
+
+def _sweep_kept(
+    rows: DataFrame, ks: list[int], max_iter: int, parallelism: int, keep: Callable[[int, LDAModel], None] | None
+) -> tuple[list[float], float]:
     def likelihood(k: int) -> float:
         model = _fit(rows, k, max_iter)
-        if keep:
-            keep(k, model)
+        keep(k, model)
         return model.logLikelihood(rows)
 
-    ks = list(ks)
     with _cached(rows), ThreadPool(parallelism) as pool:
-        weight = float(rows.agg(Summarizer.sum(F.col("features"))).first()[0].toArray().sum())
-        found = pool.map(inheritable_thread_target(rows.sparkSession)(likelihood), ks)
-    fits = [(k, -value / weight, value) for k, value in zip(ks, found, strict=True)]
-    return rows.sparkSession.createDataFrame(fits, "k int, log_perplexity double, log_likelihood double")
+        weight = _total(rows)
+        return pool.map(inheritable_thread_target(rows.sparkSession)(likelihood), ks), weight
+
+
+def _sweep_together(rows: DataFrame, ks: list[int], max_iter: int, parallelism: int) -> tuple[list[float], float]:
+    """The scores of MLlib's fits, from its draws and its rules.
+
+    MLlib gives the topics to start from. The driver holds topics and sums over a round, as in MLlib; rows are read by all cores.
+    """
+    spark = rows.sparkSession
+    numbered = stage(rows.select(F.monotonically_increasing_id().alias("id"), "features"), "sweep_rows")
+    weight = _total(numbered)
+    terms = len(numbered.first()["features"])
+    one = spark.createDataFrame([(Vectors.sparse(terms, []),)], ["features"])
+
+    def start(k: int) -> tuple[variational.Topics, int]:
+        model = _fit(one, k, 0)
+        weights = model.topicsMatrix().toArray().T.copy()
+        seed = model._java_obj.oldLocalModel().getSeed()  # likelihoods have their own, which Python does not show
+        return variational.Topics(k, weights, model.estimatedDocConcentration().toArray(), 1.0 / k), seed
+
+    with ThreadPool(parallelism) as pool:
+        begun = pool.map(inheritable_thread_target(spark)(start), ks)
+    models = [m for m, _ in begun]
+    seeds, drawn, size = _batches(numbered, max_iter)
+    for i, seed in seeds:
+        batch = _arrays(drawn.where(F.col("round") == i))
+        parts = batch.mapInArrow(variational.round_sums(models, seed), variational.STATS).collect()
+        for j, m in enumerate(models):
+            mine = [p for p in parts if p["model"] == j]
+            stat = sum((np.array(p["stat"]) for p in mine), np.zeros(m.weights.size)).reshape(m.weights.shape)
+            logs = sum((np.array(p["log_theta"]) for p in mine), np.zeros(m.k))
+            m.learn(sum(p["n"] for p in mine), stat, logs, size, BATCH)
+    spread = numbered.repartition(LIKELIHOOD_TASKS * spark.sparkContext.defaultParallelism, "id")
+    bounds = _arrays(spread).mapInArrow(variational.bound_sums(models, begun[0][1]), variational.BOUNDS)
+    sums = {r["model"]: r["bound"] for r in bounds.groupBy("model").agg(F.sum("bound").alias("bound")).collect()}
+    return [sums.get(j, 0.0) + m.topics_bound() for j, m in enumerate(models)], weight
+
+
+def _arrays(rows: DataFrame) -> DataFrame:
+    return rows.select("id", vector_to_array("features").alias("x"))
+
+
+def _batches(numbered: DataFrame, max_iter: int) -> tuple[list[tuple[int, int]], DataFrame, int]:
+    """The rows that every round draws, as MLlib draws them, written by round: rounds with their seeds, rows, size of the corpus.
+
+    A sample depends on the places of the rows in their partitions, so places are drawn and meet their rows in one join. A round
+    that draws nothing is left out.
+    """
+    spark = numbered.sparkSession
+    part = F.shiftright("id", variational.ID_BITS)
+    counts = {r[0]: r[1] for r in numbered.groupBy(part).count().collect()}
+    sizes = F.array(*(F.lit(counts.get(p, 0)).cast("long") for p in range(max(counts) + 1)))
+    runs = spark.range(0, max(counts) + 1, 1, max(counts) + 1).select("id", sizes[F.col("id").cast("int")].alias("n"))
+    firsts = F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.lit(RUN).cast("long")))
+    cut = runs.where("n > 0").select("id", "n", firsts.alias("lo"))
+    place = F.explode(F.sequence("lo", F.least(F.col("lo") + RUN, F.col("n")) - 1, F.lit(1).cast("long"))).alias("place")
+    ids = cut.select("id", place).select((F.shiftleft("id", variational.ID_BITS) + F.col("place")).alias("id"))
+    places, shape = ids._jdf.javaRDD(), ids._jdf.schema()
+    draw = spark._jvm.java.util.Random(SEED)
+    draw.nextLong()  # what the topics started from
+    seeds, samples = [], []
+    for i in range(max_iter):
+        sample = places.sample(True, BATCH, draw.nextLong())
+        if sample.isEmpty():
+            continue
+        seeds.append((i, draw.nextLong()))
+        found = DataFrame(spark._jsparkSession.createDataFrame(sample, shape), spark)
+        samples.append(found.select(F.lit(i).alias("round"), "id"))
+    if not samples:
+        return [], numbered, sum(counts.values())
+    drawn = reduce(DataFrame.unionAll, samples).join(numbered, "id").select("id", "features", "round")
+    path = staging_path(spark, "sweep_batches")
+    drawn.write.partitionBy("round").parquet(path)
+    return seeds, spark.read.schema(drawn.schema).parquet(path), sum(counts.values())
 
 
 def topic_terms(model: LDAModel, names: list[str], n_terms: int = TOP_TERMS) -> DataFrame:
