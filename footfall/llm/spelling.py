@@ -28,8 +28,9 @@ from footfall.sources.staging import stage
 LETTERS = "A-Za-zÀ-ÿ"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 MIN_CHARS, MIN_COUNT, RATIO, NOISE = 6, 5, 5, 199
-#: The alphabet bounds the edges of the upper levels: 90 letters give no more than 90 and 8,190 of them.
-SMALL_LEVELS = 2
+#: Edges of a level that are broadcast at most, as bytes of rows. Those of the upper two levels fit (90 letters give no more than
+#: 90 and 8,190 of them) unless words are very long, and so do those of the last levels.
+FEW_BYTES, ROW_BYTES = 4 << 20, 96
 
 
 def runs(docs: DataFrame, id_col: str, text: str, min_chars: int, noise: int) -> DataFrame:
@@ -64,18 +65,28 @@ def next_char(skip: int = 0) -> Column:
 @dataclass(frozen=True)
 class Level:
     """One level of the trie: ``edges`` (node, first, label, child, child_n, leaf) and the ``paths`` (word, n, pos, node,
-    node_n) that come to its nodes and go on. ``child_n`` and ``node_n`` are counts, null where no word ends."""
+    node_n) that come to its nodes and go on. ``child_n`` and ``node_n`` are counts, null where no word ends. ``few`` says whether
+    the edges are broadcast."""
 
     edges: DataFrame
     paths: DataFrame
+    few: bool
 
 
-def step(states: DataFrame, edges: DataFrame, on: list[str], level: int) -> DataFrame:
-    """States with the edges of their nodes. The edges of upper levels are few and go to every task; below, the states of
-    one node are dealt to several tasks, each with the node's edges."""
-    if level < SMALL_LEVELS:
+def are_few(edges: DataFrame) -> bool:
+    """Whether the written ``edges`` are at most ``FEW_BYTES`` as rows; files say little, as names of nodes repeat in them."""
+    chars = sum((F.octet_length(c) for c in ("node", "label", "child")), F.lit(ROW_BYTES))
+    size = edges.agg(F.sum(chars.cast("long")).alias("size")).first().size
+    return size is None or size <= FEW_BYTES
+
+
+def step(states: DataFrame, edges: DataFrame, on: list[str], few: bool) -> DataFrame:
+    """States with the edges of their nodes. Few edges go to every task; else the states of one node are dealt to several
+    tasks, each with the node's edges. Spark must not choose to broadcast those: it goes by the size of their files, without
+    the copies for each task, and the driver would hold them all."""
+    if few:
         return states.join(F.broadcast(edges), on)
-    return salted_join(states, edges, on, spread_by=["word"])
+    return salted_join(states, edges.hint("merge"), on, spread_by=["word"])
 
 
 def trie(words: DataFrame) -> list[Level]:
@@ -97,9 +108,9 @@ def trie(words: DataFrame) -> list[Level]:
             (F.col("least.word") == F.col("most")).alias("leaf"),
         )
         edges = stage(edges, "trie-edges")
-        levels.append(Level(edges, paths))
+        levels.append(Level(edges, paths, are_few(edges)))
         on = paths.withColumn("first", next_char())
-        down = step(on, edges, ["node", "first"], len(levels) - 1).where(F.char_length("word") > F.char_length("child"))
+        down = step(on, edges, ["node", "first"], levels[-1].few).where(F.char_length("word") > F.char_length("child"))
         paths = down.select(
             "word", "n", F.char_length("child").alias("pos"), F.col("child").alias("node"), F.col("child_n").alias("node_n")
         )
@@ -107,9 +118,10 @@ def trie(words: DataFrame) -> list[Level]:
     return levels
 
 
-def moved(states: DataFrame, skipped: int, label: str) -> DataFrame:
-    """States that have read ``label`` after ``skipped`` characters; those at the end of their word say whether they met one."""
-    pos = F.col("pos") + skipped + F.char_length(label)
+def moved(states: DataFrame, skipped: Column) -> DataFrame:
+    """States that are down their edge, with ``skipped`` characters read beside its label; those at the end of their word say
+    whether they met one."""
+    pos = F.col("pos") + skipped + F.char_length("label")
     done = pos == F.char_length("word")
     return states.where(~done & ~F.col("leaf") | done & F.col("child_n").isNotNull()).select(
         "word", "n", pos.alias("pos"), F.col("child").alias("node"), F.when(done, F.col("child_n")).alias("near_n")
@@ -125,19 +137,21 @@ def one_edit_states(levels: list[Level]) -> Iterable[DataFrame]:
     """Level by level, the states with one edit after that level's edges: ``word, n, pos, node, near_n``, where ``near_n`` is
     the count of the node's word if the state has come to the end of both words."""
     before = None
-    for depth, level in enumerate(levels):
+    for level in levels:
         edges = level.edges.withColumn("tail", F.substr("label", F.lit(2)))
         # The word without its last character: it ends at this node.
         shorter = level.paths.where(F.col("node_n").isNotNull() & (F.col("pos") + 1 == F.char_length("word")))
         found = shorter.select("word", "n", F.char_length("word").alias("pos"), "node", F.col("node_n").alias("near_n"))
-        aside = step(level.paths, edges, ["node"], depth).where(F.col("first") != next_char())
-        replaced = aside.where((F.col("first") > next_char()) & reads("tail", 1))
-        omitted = aside.where(reads("label", 1))
-        found = found.unionByName(moved(replaced, 1, "tail")).unionByName(moved(omitted, 1, "label"))
+        # A word may go down one edge both ways, so the edges are joined once for the two of them.
+        aside = step(level.paths, edges, ["node"], level.few).where(F.col("first") != next_char())
+        replaced, omitted = (F.col("first") > next_char()) & reads("tail", 1), reads("label", 1)
+        ways = F.explode(F.array(F.when(replaced, F.lit(0)), F.when(omitted, F.lit(1)))).alias("skipped")
+        edited = aside.where(replaced | omitted).select("*", ways).where("skipped is not null")
+        found = found.unionByName(moved(edited, F.col("skipped")))
         if before is not None:
             open_states = before.where("near_n is null").drop("near_n").withColumn("first", next_char())
-            kept = step(open_states, edges, ["node", "first"], depth).where(reads("label", 0))
-            found = found.unionByName(moved(kept, 0, "label"))
+            kept = step(open_states, edges, ["node", "first"], level.few).where(reads("label", 0))
+            found = found.unionByName(moved(kept, F.lit(0)))
         before = stage(found, "trie-states")
         yield before
 
@@ -155,11 +169,11 @@ def near_pairs(words: DataFrame) -> DataFrame:
 
 def last_forms(forms: DataFrame, longest: int) -> DataFrame:
     """``word, root``: where the chain of ``forms`` (word, form) from a word ends, if it has ``longest`` links at most. Each round
-    doubles the part of a chain that is known."""
+    doubles the part of a chain that is known. Nothing is broadcast, as every round reads the forms twice as often."""
     chains = forms.select("word", F.col("form").alias("root"))
     for _ in range(math.ceil(math.log2(max(longest, 1)))):
         later = chains.select(F.col("word").alias("root"), F.col("root").alias("later"))
-        chains = chains.join(later, "root", "left").select("word", F.coalesce("later", "root").alias("root"))
+        chains = chains.join(later.hint("merge"), "root", "left").select("word", F.coalesce("later", "root").alias("root"))
     return chains
 
 
@@ -200,5 +214,5 @@ def spelling_variants(
     highest = chosen.agg(F.max("form_n").alias("n")).first().n
     longest = 0 if highest is None else math.floor(math.log(highest / min_count, ratio) + 1e-9)
     roots = last_forms(chosen.where(F.col("form").isNotNull()), longest)
-    out = chosen.join(roots, "word", "left")
+    out = chosen.join(roots.hint("merge"), "word", "left")
     return out.select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")

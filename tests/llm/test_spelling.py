@@ -9,6 +9,7 @@ import pytest
 from helpers import DATA, documents, odd_rows
 from pyspark.sql import functions as F
 
+from footfall.llm import spelling
 from footfall.llm.queries import QUERIES
 from footfall.llm.spelling import common_chars, last_forms, near_pairs, spelling_variants, trie
 
@@ -82,6 +83,36 @@ def test_trie_holds_every_word_once(spark):
     assert len(levels) == 4
 
 
+def broadcast_rows(spark, first):
+    """Rows of every broadcast of the executions from number ``first`` on, and the number after the last."""
+    store, rows, last = spark._jsparkSession.sharedState().statusStore(), [], first
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    for at in range(store.executionsCount()):
+        one = store.executionsList().apply(at)
+        if one.executionId() < first:
+            continue
+        last = max(last, one.executionId() + 1)
+        values, nodes = store.executionMetrics(one.executionId()), store.planGraph(one.executionId()).allNodes()
+        for node in (nodes.apply(i) for i in range(nodes.size())):
+            if node.name() == "BroadcastExchange":
+                metrics = [node.metrics().apply(i) for i in range(node.metrics().size())]
+                found = [values.get(m.accumulatorId()) for m in metrics if m.name() == "number of output rows"]
+                rows += [int(v.get().replace(",", "")) for v in found if v.isDefined()]
+    return rows, last
+
+
+def test_only_few_edges_are_broadcast(spark, monkeypatch):
+    """Files of edges are small beside their rows, so Spark broadcast them with a copy for every salt."""
+    monkeypatch.setattr(spelling, "FEW_BYTES", 40_000, raising=False)
+    rng = random.Random(5)
+    words = {"".join(rng.choice("abcdeé") for _ in range(rng.randint(6, 9))) for _ in range(3000)}
+    _, first = broadcast_rows(spark, 0)
+    near, pairs = near_words(words), near_pairs(spark.createDataFrame([(w, 1) for w in words], "word string, n long"))
+    assert {(r.word, r.near) for r in pairs.collect()} == {(w, x) for w in words for x in near[w]}
+    sent, _ = broadcast_rows(spark, first)
+    assert sent and 36 in sent and max(sent) < 40_000 / 90
+
+
 def test_common_chars(spark):
     cases = [("abc", "abd", 2), ("abc", "abc", 3), ("ab", "abc", 2), ("", "a", 0), ("", "", 0), ("éa", "éb", 1), ("x", "y", 0)]
     df = spark.createDataFrame(cases, "a string, b string, n int")
