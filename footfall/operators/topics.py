@@ -8,14 +8,16 @@ from functools import reduce
 from multiprocessing.pool import ThreadPool
 
 import numpy as np
+import pyarrow as pa
 from pyspark import StorageLevel, inheritable_thread_target
 from pyspark.ml.clustering import LDA, LDAModel
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import Vectors
 from pyspark.ml.stat import Summarizer
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from footfall.functions.numeric import first_argmax
 from footfall.operators import variational
@@ -32,6 +34,7 @@ BATCH = 0.05  # share of the rows that MLlib draws, with replacement, in a round
 
 RUN = 65536  # places numbered from one row
 LIKELIHOOD_TASKS = 4  # per core
+BOUND_ROWS = 256  # whose topics x terms are held at a time, so that they fit a cache
 
 
 def vector_rows(scaled: DataFrame, names: list[str]) -> DataFrame:
@@ -219,42 +222,57 @@ def likelihood_bounds(mixes: DataFrame, weights: DataFrame, names: list[str]) ->
     ``mixes`` are user-days with their ``features`` and ``mix``. ``likelihood`` adds up the logarithms of the categories'
     probabilities. ``bound`` is Jensen's bound with the share of each topic in each category, which meets the likelihood when the
     shares belong to the mix; ``one_topic`` is the likelihood under the categories' overall shares, which is what a model
-    without topics says.
+    without topics says. Weights and overall shares are read at once; the rows go to NumPy in blocks, as Spark's functions on arrays
+    take each of a row's topics x terms through an interpreter. Every row has its features and mix.
     """
     by_topic = F.array_sort(F.collect_list(F.struct("topic", "weight")))
     listed = weights.groupBy("term").agg(F.transform(by_topic, lambda t: t["weight"]).alias("w"))
     position = F.array_position(F.array(*map(F.lit, names)), F.col("term"))
     table = listed.agg(F.array_sort(F.collect_list(F.struct(position.alias("pos"), "w"))).alias("all"))
-    beta = table.select(F.transform("all", lambda t: t["w"])).scalar()  # names x topics
-    rows = mixes.withColumn("x", vector_to_array("features"))
+    beta = table.select(F.transform("all", lambda t: t["w"])).first()[0]  # names x topics
+    rows = mixes.select(*USER_DAY, vector_to_array("features").alias("x"), "mix")
     sums = rows.select(F.posexplode("x").alias("pos", "v")).groupBy("pos").agg(F.sum("v").alias("v"))
     ordered = sums.agg(F.array_sort(F.collect_list(F.struct("pos", "v"))).alias("all"), F.sum("v").alias("total"))
-    shares = ordered.select(F.transform("all", lambda t: t["v"] / F.col("total"))).scalar()
-
-    def plus(a: Column, b: Column) -> Column:
-        return a + b
-
-    def added(values: Column) -> Column:
-        return F.aggregate(values, F.lit(0.0), plus)
-
-    def logs(amounts: Column, chances: Column) -> Column:
-        return added(F.zip_with(amounts, chances, lambda v, p: F.when(v > 0, v * F.ln(p)).otherwise(F.lit(0.0))))
-
-    known = rows.withColumns({"beta": beta, "shares": shares})
-    joint = known.withColumn("joint", F.transform("beta", lambda w: F.zip_with(w, "mix", lambda b, t: b * t)))
-    chances = joint.withColumn("p", F.transform("joint", added))
-
-    def jensen(parts: Column, p: Column) -> Column:
-        return added(F.transform(parts, lambda j: F.when(j > 0, j / p * F.ln(j / (j / p))).otherwise(F.lit(0.0))))
-
-    per_term = F.zip_with("joint", "p", jensen)
-    return chances.select(
-        *USER_DAY,
-        added(F.col("x")).alias("size"),
-        logs(F.col("x"), F.col("p")).alias("likelihood"),
-        added(F.zip_with("x", per_term, lambda v, b: v * b)).alias("bound"),
-        logs(F.col("x"), F.col("shares")).alias("one_topic"),
-    )
+    shares = ordered.select(F.transform("all", lambda t: t["v"] / F.col("total"))).first()[0]
+    keys = [rows.schema[c] for c in USER_DAY]
+    found = [StructField(c, DoubleType()) for c in ("size", "likelihood", "bound", "one_topic")]
+    return rows.mapInArrow(_row_bounds(np.array(beta), np.array(shares)), StructType([*keys, *found]))
+
+
+def _matrix(batch: pa.RecordBatch, name: str) -> np.ndarray:
+    return batch.column(name).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
+
+
+def _logs(amounts: np.ndarray, chances: np.ndarray) -> pa.Array:
+    """Logarithms of the chances of a row's terms, as often as they occur; null if a term that occurs has no chance."""
+    there = ~(amounts <= 0)
+    found = np.multiply(amounts, np.log(chances, where=there, out=np.zeros(there.shape)), where=there, out=np.zeros(there.shape))
+    return pa.array(found.sum(axis=1), mask=(there & (chances <= 0)).any(axis=1))
+
+
+def _row_bounds(beta: np.ndarray, shares: np.ndarray) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Sizes, likelihoods and bounds of the rows of a task, a block of rows x terms x topics at a time."""
+
+    def jensen(joint: np.ndarray, p: np.ndarray) -> np.ndarray:
+        there = ~(joint <= 0)
+        part = np.divide(joint, p[:, :, None], where=there, out=np.ones(joint.shape))
+        logs = np.divide(joint, part, where=there, out=np.ones(joint.shape))
+        return np.einsum("rtk,rtk->rt", part, np.log(logs, out=logs))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, BOUND_ROWS):
+                piece = batch.slice(at, BOUND_ROWS)
+                x, mix = _matrix(piece, "x"), _matrix(piece, "mix")
+                joint = beta * mix[:, None, :]
+                p = joint.sum(axis=2)
+                with np.errstate(divide="ignore", invalid="ignore"):
+                    bound = (x * jensen(joint, p)).sum(axis=1)
+                    likelihood, one_topic = _logs(x, p), _logs(x, np.broadcast_to(shares, x.shape))
+                columns = [*map(piece.column, USER_DAY), pa.array(x.sum(axis=1)), likelihood, pa.array(bound), one_topic]
+                yield pa.RecordBatch.from_arrays(columns, [*USER_DAY, "size", "likelihood", "bound", "one_topic"])
+
+    return run
 
 
 def topic_mix(model: LDAModel, rows: DataFrame) -> DataFrame:

@@ -2,13 +2,15 @@ from __future__ import annotations
 
 import hashlib
 import itertools
+import math
 import random
 from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
-from pyspark.ml.linalg import Vectors
+from pyspark.ml.linalg import Vectors, VectorUDT
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, StructType
 
 from conftest import DATA
 from footfall.catalogue import queries
@@ -367,3 +369,34 @@ def test_likelihood_and_its_bound_against_numpy(spark):
     ties = spark.createDataFrame([(0, "a", 0.254), (0, "b", 0.254), (0, "c", 0.492), (1, "c", 1.0)], "topic int, term string, weight double")
     listed = sorted(tuple(r) for r in topics.heaviest_terms(ties, 2).collect())
     assert listed == [(0, 1, "c", 0.49), (0, 2, "a", 0.25), (1, 1, "c", 1.0)]
+
+
+def test_likelihood_bounds_go_to_numpy_in_blocks(spark, monkeypatch):
+    """Functions on arrays took most of the time: they are interpreted, several times for each topic and term of a row."""
+    monkeypatch.setattr(topics, "BOUND_ROWS", 3, raising=False)
+    names, rng = ["k0", "k1", "k2", "k3"], random.Random(8)
+    beta = [[0.4, 0.1], [0.3, 0.0], [0.3, 0.9], [0.0, 0.0]]  # a topic without k1, and k3 in none
+    weights = spark.createDataFrame([(t, names[i], beta[i][t]) for i in range(4) for t in (0, 1)], "topic int, term string, weight double")
+    rows = [(u, [rng.choice([0.0, rng.random()]), rng.random(), 2 * rng.random(), 0.0], rng.random()) for u in range(1, 40)]
+    rows += [(None, [0.0] * 4, 0.5), (7, [0.0, 1.0, 0.0, 0.0], 0.5), (7, [0.0, 1.0, 0.0, 0.0], 0.5), (50, [1.0, 0.0, 0.0, 2.0], 0.3)]
+    values = [("c", u, 3, Vectors.dense(x), [t, 1 - t]) for u, x, t in rows]
+    kind = StructType().add("city", "string").add("imei", "long").add("dayno", "integer").add("features", VectorUDT()).add("mix", ArrayType(DoubleType()))
+    bounds = topics.likelihood_bounds(spark.createDataFrame(values, kind).repartition(2), weights, names)
+    assert [f.simpleString() for f in bounds.schema][:3] == ["city:string", "imei:bigint", "dayno:int"]
+
+    totals = [sum(x[i] for _, x, _ in rows) for i in range(4)]
+
+    def by_hand(u, x, t):
+        joint = [[b * m for b, m in zip(w, (t, 1 - t))] for w in beta]
+        p = [sum(j) for j in joint]
+        unknown = any(v > 0 and not c for v, c in zip(x, p))
+        likelihood = None if unknown else sum(v * math.log(c) for v, c in zip(x, p) if v > 0)
+        bound = sum(v * sum(j / c * math.log(j / (j / c)) for j in js if j > 0) for v, js, c in zip(x, joint, p))
+        one = sum(v * math.log(s / sum(totals)) for v, s in zip(x, totals) if v > 0)
+        return tuple(None if v is None else round(v, 9) for v in (u, sum(x), likelihood, bound, one))
+
+    got = Counter(tuple(None if v is None else round(v, 9) + 0.0 for v in (r.imei, r["size"], r.likelihood, r.bound, r.one_topic)) for r in bounds.collect())
+    assert got == Counter(tuple(None if v is None else v + 0.0 for v in by_hand(*r)) for r in rows)
+    assert sum(k[2] is None for k in got) == 1
+    plan = bounds._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "zip_with" not in plan and "transform(" not in plan
