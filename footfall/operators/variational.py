@@ -123,7 +123,8 @@ def _words(seeds: np.ndarray, n: int) -> np.ndarray:
 def _accepted(x: np.ndarray, u: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Gamma variates from normal and uniform ones, and which of them are kept (Marsaglia and Tsang)."""
     d = SHAPE - 1.0 / 3.0
-    v = (1.0 + x / np.sqrt(9.0 * d)) ** 3
+    root = 1.0 + x / np.sqrt(9.0 * d)
+    v = root * root * root  # a power's last digit is not the same for arrays and single numbers on every processor
     x2 = x * x
     with np.errstate(divide="ignore", invalid="ignore"):
         kept = (v > 0) & ((u < 1.0 - 0.0331 * x2 * x2) | (np.log(u) < 0.5 * x2 + d * (1.0 - v + np.log(v))))
